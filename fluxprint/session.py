@@ -4,8 +4,9 @@ from __future__ import annotations
 
 import os
 import tempfile
+import uuid
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 
 def build(master: str = "local[*]", name: str = "fluxprint", shuffle_partitions: int = 8,
@@ -42,3 +43,14 @@ def shared_dir(spark: SparkSession) -> str:
         chosen = tempfile.mkdtemp(prefix="fluxprint-")
         spark.conf.set("spark.checkpoint.dir", chosen)
     return chosen.rstrip("/")
+
+
+def materialize(df: DataFrame, name: str) -> DataFrame:
+    """Write a reused table once to the shared folder and go on from the files.
+
+    A lost executor then costs a re-read, not the whole lineage, and the next
+    joins see the table's real size when they choose between broadcast and shuffle.
+    """
+    path = f"{shared_dir(df.sparkSession)}/{name}-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
