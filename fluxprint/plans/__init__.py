@@ -1,4 +1,4 @@
 """Queries over the driver's tables, grouped by subject."""
 
-from fluxprint.plans import behaviour  # noqa: F401
+from fluxprint.plans import behaviour, devices  # noqa: F401
 from fluxprint.plans.registry import ORACLES, QUERIES  # noqa: F401
