@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from fluxprint.functions.scalars import certificate_names, is_endpoint_domain, null_if_unset
 
-FOREVER = 2**62
+FOREVER = 2**53
 
 
 def covers(start: Column, end: Column, t: Column) -> Column:
@@ -21,22 +21,49 @@ def overlaps(a_start: Column, a_end: Column, b_start: Column, b_end: Column) ->
     return (b_end.isNull() | (a_start < b_end)) & (a_end.isNull() | (b_start < a_end))
 
 
+def merged_spans(spans: DataFrame, keys: Sequence[str], start: str, end: str) -> DataFrame:
+    """Spans of each key joined where they touch, as ``keys, _s, _e``."""
+    w = Window.partitionBy(*keys).orderBy("_s", "_e")
+    rows = spans.select(*keys, F.coalesce(F.col(start).cast("double"), F.lit(float(-FOREVER))).alias("_s"),
+                        F.coalesce(F.col(end).cast("double"), F.lit(float(FOREVER))).alias("_e"))
+    reach = F.max("_e").over(w.rowsBetween(Window.unboundedPreceding, -1))
+    fresh = F.coalesce(F.col("_s") > reach, F.lit(True)).cast("int")
+    numbered = rows.withColumn("_new", fresh).withColumn("_island", F.sum("_new").over(
+        w.rowsBetween(Window.unboundedPreceding, 0)))
+    return numbered.groupBy(*keys, "_island").agg(F.min("_s").alias("_s"), F.max("_e").alias("_e")).drop("_island")
+
+
+def contested(spans: DataFrame, resource: Sequence[str], owner: str, start: str, end: str) -> DataFrame:
+    """Stretches of time in which a resource has several owners at once.
+
+    Each owner's spans are merged first. A running count of opened and closed
+    spans then exceeds one exactly while two owners overlap, so spans are sorted
+    once and never paired.
+    """
+    whole = merged_spans(spans, [*resource, owner], start, end)
+    steps = whole.select(*resource, F.explode(F.array(
+        F.struct(F.col("_s").alias("at"), F.lit(1).alias("d")), F.struct(F.col("_e").alias("at"), F.lit(-1).alias("d"))
+    )).alias("_x")).select(*resource, "_x.at", "_x.d")
+    w = Window.partitionBy(*resource).orderBy("at", "d")
+    live = steps.select(*resource, F.col("at").alias("_s"), F.lead("at").over(w).alias("_e"),
+                        F.sum("d").over(w.rowsBetween(Window.unboundedPreceding, 0)).alias("owners"))
+    return live.filter((F.col("owners") > 1) & (F.col("_e") > F.col("_s")))
+
+
 def ownership_segments(leases: DataFrame, key: str = "ip") -> DataFrame:
-    """Cut overlapping leases of one address into disjoint segments.
+    """Merged leases per owner, plus a marked row for every contested stretch.
 
-    Each segment names its owner and how many devices claim it, so a lookup
-    finds at most one segment and an ambiguous claim is still visible.
+    Outside contested stretches a lookup meets one row at most; inside one it
+    also meets the marked row, which makes the lookup fail.
     """
-    spans = leases.select(key, "device", F.coalesce("lease_start", F.lit(-FOREVER)).alias("_s"),
-                          F.coalesce("lease_end", F.lit(FOREVER)).alias("_e"))
-    cuts = spans.select(key, F.explode(F.array("_s", "_e")).alias("_s")).distinct()
-    cuts = cuts.withColumn("_e", F.lead("_s").over(Window.partitionBy(key).orderBy("_s"))).filter("_e is not null")
-    c, s = cuts.alias("c"), spans.alias("s")
-    inside = c.join(s, (F.col(f"c.{key}") == F.col(f"s.{key}")) & (F.col("s._s") <= F.col("c._s"))
-                    & (F.col("s._e") >= F.col("c._e")))
-    return inside.groupBy(F.col(f"c.{key}").alias(key), F.col("c._s").alias("segment_start"),
-                          F.col("c._e").alias("segment_end")).agg(
-        F.min("s.device").alias("owner"), F.count_distinct("s.device").alias("owners"))
+    spans = leases.select(key, "device", "lease_start", "lease_end")
+    own = merged_spans(spans, [key, "device"], "lease_start", "lease_end").select(
+        key, F.col("_s").alias("segment_start"), F.col("_e").alias("segment_end"), F.col("device").alias("owner"),
+        F.lit(1).alias("owners"))
+    twice = contested(spans, [key], "device", "lease_start", "lease_end").select(
+        key, F.col("_s").alias("segment_start"), F.col("_e").alias("segment_end"),
+        F.lit("contested").alias("owner"), F.col("owners").cast("int").alias("owners"))
+    return own.unionByName(twice)
 
 
 # C1
@@ -104,7 +131,8 @@ def clipped_inventory(grid: DataFrame, leases: DataFrame, window: int) -> DataFr
     moved = ((F.col("lease_start") > start) & (F.col("lease_start") < end)) | (
         (F.col("lease_end") > start) & (F.col("lease_end") < end))
     return live.select(
-        "device", "window_start", "ip", F.greatest("lease_start", start).alias("clip_start"),
+        "device", "window_start", "ip",
+        F.when(F.col("_d").isNotNull(), F.greatest("lease_start", start)).alias("clip_start"),
         F.when(F.col("_d").isNotNull(), F.least(F.coalesce("lease_end", end), end)).alias("clip_end"),
         F.coalesce(moved, F.lit(False)).alias("_moved"), F.col("_d").isNull().alias("_none"))
 
