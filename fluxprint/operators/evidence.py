@@ -86,8 +86,9 @@ def link_traces(events: DataFrame) -> DataFrame:
 def assemble_traces(events: DataFrame) -> DataFrame:
     """One row per trace: newest value per kind, counts, and stage latencies."""
     def of(kind: str, column: str) -> Column:
-        mine = F.col("kind") == kind
-        return F.max_by(F.col(column), F.when(mine, F.col("recorded_at")))
+        # equal instants are decided by the value, so the result has no order
+        newest = F.max(F.when(F.col("kind") == kind, F.struct("recorded_at", column)))
+        return newest[column]
 
     def at(kind: str) -> Column:
         return F.max(F.when(F.col("kind") == kind, F.col("recorded_at")))

@@ -72,8 +72,8 @@ def relationship_rollup(exchanges: DataFrame, telemetry: DataFrame, windows: int
 # I9
 def security_alerts(proposals: DataFrame, key: str = "proposal_id") -> DataFrame:
     """Newest row of each proposal; a partial max, no sort of a whole key."""
-    fields = [c for c in proposals.columns if c != key]
-    newest = proposals.groupBy(key).agg(F.max_by(F.struct(*fields), "window_start").alias("_row"))
+    fields = ["window_start", *[c for c in proposals.columns if c not in (key, "window_start")]]
+    newest = proposals.groupBy(key).agg(F.max(F.struct(*fields)).alias("_row"))
     return newest.select(key, "_row.*")
 
 
@@ -101,7 +101,7 @@ def action_lifecycle(outcomes: DataFrame) -> DataFrame:
     """
     states = F.array_sort(F.collect_list(F.struct("recorded_at", "status")))
     return outcomes.groupBy("decision_id").agg(
-        F.max_by("status", "recorded_at").alias("status"), F.max("recorded_at").alias("updated_at"),
+        F.max(F.struct("recorded_at", "status"))["status"].alias("status"), F.max("recorded_at").alias("updated_at"),
         F.count(F.lit(1)).alias("changes"), F.array_join(F.transform(states, lambda s: s["status"]), ">").alias("lifecycle"))
 
 
