@@ -140,14 +140,19 @@ def destination_ports(minutes: Minutes) -> DataFrame:
 
 
 # F2, F4, G4
-def destinations(minutes: Minutes) -> DataFrame:
+def destinations(minutes: Minutes, memory: DataFrame | None = None) -> DataFrame:
     """Distinct destinations, and the share of rows towards unseen ones.
 
     Only available windows enter the memory, and an outage does not clear it.
+    ``memory`` holds what earlier windows outside this table have seen, as
+    ``device, peer_address, first_seen``.
     """
     per_peer = (minutes.view.filter("originated").groupBy(*KEYS, "peer_address").agg(F.count(F.lit(1)).alias("n"))
                 .join(minutes.grid.select(*KEYS, "available"), KEYS))
     first = F.min(F.when(F.col("available"), F.col("window_start"))).over(Window.partitionBy("device", "peer_address"))
+    if memory is not None:
+        per_peer = per_peer.join(memory, ["device", "peer_address"], "left")
+        first = F.least(first, F.col("first_seen"))
     marked = per_peer.withColumn("new", first.isNull() | (first >= F.col("window_start")))
     return marked.groupBy(*KEYS).agg(
         F.count(F.lit(1)).alias("unique_destinations"),
