@@ -14,10 +14,10 @@ from fluxprint.plans import devices as V
 from fluxprint.plans.registry import query, r
 from fluxprint.session import configure, materialize, shared_dir
 from fluxprint.streaming import features, ledger, telemetry
+from fluxprint.streaming.state import VersionedTables, drain
 
 W = A.WINDOW
 LATE = 3600
-ROCKS = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 
 
 def event_stream(spark: SparkSession, sf: str) -> DataFrame:
@@ -25,15 +25,8 @@ def event_stream(spark: SparkSession, sf: str) -> DataFrame:
     return configure(spark).readStream.schema(schema).parquet(f"{sf}/events*.parquet")
 
 
-def run_stream(stream: DataFrame, name: str) -> DataFrame:
-    """Drain a stream into files of the shared folder and read them back."""
-    spark = stream.sparkSession
-    root = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
-    spark.conf.set("spark.sql.streaming.stateStore.providerClass", ROCKS)
-    started = (stream.writeStream.outputMode("append").format("parquet").option("path", f"{root}/rows")
-               .option("checkpointLocation", f"{root}/checkpoint").trigger(availableNow=True).start())
-    started.awaitTermination()
-    return spark.read.schema(stream.schema).parquet(f"{root}/rows")
+def new_tables(spark: SparkSession, name: str) -> VersionedTables:
+    return VersionedTables(f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}")
 
 
 def packets(c: DataFrame) -> DataFrame:
@@ -53,7 +46,7 @@ pk AS (
     floor(t / {5 * A.DAY}) * {5 * A.DAY} AS fs, k % 2 = 0 AS fo, cents, event_type FROM conn),
 kw AS (
   SELECT ws, uid, orig_h, resp_h, fs, coalesce(sum(cents) FILTER (WHERE fo), 0)::BIGINT AS ob, coalesce(sum(cents) FILTER (WHERE NOT fo), 0)::BIGINT AS rb,
-    count(*) FILTER (WHERE fo) AS op, count(*) FILTER (WHERE NOT fo) AS rp, max(t) - fs AS dur FROM pk GROUP BY ALL),
+    count(*) FILTER (WHERE fo) AS op, count(*) FILTER (WHERE NOT fo) AS rp, max(t) - any_value(fs) AS dur FROM pk GROUP BY ws, uid, orig_h, resp_h, fs),
 kf AS (
   SELECT kw.*, coalesce((SELECT min(t) FROM pk WHERE pk.uid = kw.uid AND event_type = 'view') < ws + {W}, false) AS est,
     coalesce((SELECT min(t) FROM pk WHERE pk.uid = kw.uid AND event_type = 'error') < ws + {W}, false) AS rej,
@@ -73,7 +66,9 @@ def _(spark, sf):
 @query("k1_interval_telemetry_stream", f"WITH {K1_BASE}, {K1} SELECT * FROM k1 WHERE window_start + {W} <= (SELECT max(t) FROM conn) - {LATE}")
 def _(spark, sf):
     rows = packets(A.connections(spark, sf, event_stream(spark, sf)))
-    return run_stream(telemetry.interval_telemetry_stream(rows, W, f"{LATE} seconds"), "intervals")
+    sink = telemetry.IntervalTelemetry(new_tables(spark, "intervals"), W, retain=6 * A.DAY)
+    drain(telemetry.closed_sums(rows, W, f"{LATE} seconds"), sink.process, f"{sink.tables.root}/checkpoint")
+    return sink.tables.all(spark, "telemetry")
 
 
 def samples(spark: SparkSession, sf: str) -> DataFrame:
@@ -113,11 +108,11 @@ def _(spark, sf):
 
 
 ARRIVALS = f"""
-ar AS (SELECT 's' || device % 20 AS stream, CASE WHEN k % 4 = 0 THEN ws - {2 * W} ELSE ws END AS window_start, 'h' || k % 2 AS payload_hash, t AS at FROM conn),
+ar AS (SELECT 's' || device % 20 AS stream, CASE WHEN k % 4 = 0 THEN ws - {2 * W} ELSE ws END AS window_start, 'h' || k % 2 AS payload_hash, t AS "at" FROM conn),
 ing AS (
   SELECT *, CASE WHEN ok THEN 'accepted' WHEN known IS NULL THEN 'out_of_order' WHEN known = payload_hash THEN 'replay' ELSE 'conflict' END AS status
   FROM (SELECT *, max(CASE WHEN ok THEN payload_hash END) OVER (PARTITION BY stream, window_start) AS known FROM (
-    SELECT *, coalesce(window_start > max(window_start) OVER (PARTITION BY stream ORDER BY at ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), true) AS ok FROM ar)))"""
+    SELECT *, coalesce(window_start > max(window_start) OVER (PARTITION BY stream ORDER BY "at" ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), true) AS ok FROM ar)))"""
 
 
 def arrivals(c: DataFrame) -> DataFrame:
@@ -127,7 +122,7 @@ def arrivals(c: DataFrame) -> DataFrame:
                     F.concat(F.lit("h"), (F.col("k") % 2).cast("string")).alias("payload_hash"), F.col("ts").alias("at"))
 
 
-INGEST = f"WITH {A.EVENTS_SQL}, {ARRIVALS} SELECT stream, window_start, payload_hash, {r('at')} AS at, status FROM ing"
+INGEST = f"""WITH {A.EVENTS_SQL}, {ARRIVALS} SELECT stream, window_start, payload_hash, {r('"at"')} AS "at", status FROM ing"""
 
 
 @query("k4_ingest", INGEST)
@@ -137,7 +132,9 @@ def _(spark, sf):
 
 @query("k4_ingest_stream", INGEST)
 def _(spark, sf):
-    return run_stream(ledger.ingest_stream(arrivals(A.connections(spark, sf, event_stream(spark, sf)))), "ingest")
+    sink = ledger.Ingest(new_tables(spark, "ingest"))
+    drain(arrivals(A.connections(spark, sf, event_stream(spark, sf))), sink.process, f"{sink.tables.root}/checkpoint")
+    return sink.tables.all(spark, "ingested")
 
 
 @query("k4_conflicts", f"WITH {A.EVENTS_SQL}, {ARRIVALS} SELECT stream, window_start, count(*) AS arrivals FROM ar GROUP BY ALL HAVING count(DISTINCT payload_hash) > 1")
@@ -148,16 +145,16 @@ def _(spark, sf):
 TIMEOUT = 43_200.0
 BRANCH = f"""
 br AS (SELECT device || ':' || (floor(t / {2 * A.DAY})::BIGINT) AS observation, CASE event_type WHEN 'click' THEN 'window' WHEN 'view' THEN 'gnn'
-    WHEN 'error' THEN 'gnn' ELSE 'mud' END AS branch, 'h' || k % 2 AS payload_hash, t AS at FROM conn),
-op AS (SELECT observation, min(at) AS o FROM br WHERE branch = 'window' GROUP BY ALL),
-fi AS (SELECT observation, o, min(at) FILTER (WHERE branch = 'gnn') AS g, min(at) FILTER (WHERE branch = 'mud') AS m,
-    min_by(payload_hash, at) FILTER (WHERE branch = 'gnn') AS gh, min_by(payload_hash, at) FILTER (WHERE branch = 'mud') AS mh
-  FROM op LEFT JOIN (SELECT * FROM br JOIN op USING (observation) WHERE at >= op.o AND at < op.o + {TIMEOUT}::DOUBLE AND branch <> 'window') x USING (observation, o)
+    WHEN 'error' THEN 'gnn' ELSE 'mud' END AS branch, 'h' || k % 2 AS payload_hash, t AS "at" FROM conn),
+op AS (SELECT observation, min("at") AS o FROM br WHERE branch = 'window' GROUP BY ALL),
+fi AS (SELECT observation, o, min("at") FILTER (WHERE branch = 'gnn') AS g, min("at") FILTER (WHERE branch = 'mud') AS m,
+    min_by(payload_hash, "at") FILTER (WHERE branch = 'gnn') AS gh, min_by(payload_hash, "at") FILTER (WHERE branch = 'mud') AS mh
+  FROM op LEFT JOIN (SELECT * FROM br JOIN op USING (observation) WHERE "at" >= op.o AND "at" < op.o + {TIMEOUT}::DOUBLE AND branch <> 'window') x USING (observation, o)
   GROUP BY ALL),
 cl AS (SELECT *, g IS NULL OR m IS NULL AS partial, CASE WHEN g IS NOT NULL AND m IS NOT NULL THEN greatest(g, m) ELSE o + {TIMEOUT}::DOUBLE END AS closed FROM fi),
 fa AS (
-  SELECT br.*, CASE WHEN o IS NULL OR at < o THEN 'early' WHEN at = CASE branch WHEN 'gnn' THEN g ELSE m END THEN 'accepted'
-    WHEN at > closed OR (partial AND at >= closed) THEN 'late' WHEN payload_hash = CASE branch WHEN 'gnn' THEN gh ELSE mh END THEN 'duplicate' ELSE 'conflict' END AS fate
+  SELECT br.*, CASE WHEN o IS NULL OR "at" < o THEN 'early' WHEN "at" = CASE branch WHEN 'gnn' THEN g ELSE m END THEN 'accepted'
+    WHEN "at" > closed OR (partial AND "at" >= closed) THEN 'late' WHEN payload_hash = CASE branch WHEN 'gnn' THEN gh ELSE mh END THEN 'duplicate' ELSE 'conflict' END AS fate
   FROM br LEFT JOIN cl USING (observation) WHERE branch <> 'window')"""
 
 
@@ -175,21 +172,21 @@ def _(spark, sf):
     return ledger.deadline_join(branches(A.connections(spark, sf)), TIMEOUT)[0]
 
 
-@query("k5_branch_fates", f"WITH {A.EVENTS_SQL}, {BRANCH} SELECT observation, branch, payload_hash, {r('at')} AS at, fate FROM fa")
+@query("k5_branch_fates", f"""WITH {A.EVENTS_SQL}, {BRANCH} SELECT observation, branch, payload_hash, {r('"at"')} AS "at", fate FROM fa""")
 def _(spark, sf):
     return ledger.deadline_join(branches(A.connections(spark, sf)), TIMEOUT)[1]
 
 
-@query("k5_deadline_join_stream", f"""WITH {A.EVENTS_SQL}, {BRANCH} SELECT observation, branch, payload_hash, {r('at')} AS at, fate FROM fa
+@query("k5_deadline_join_stream", f"""WITH {A.EVENTS_SQL}, {BRANCH} SELECT observation, branch, payload_hash, {r('"at"')} AS "at", fate FROM fa
   UNION ALL SELECT observation, 'window', NULL, {r('closed')}, CASE WHEN partial THEN 'closed_partial' ELSE 'closed_complete' END FROM cl
-    WHERE NOT partial OR floor(o * 1000) / 1000 + {TIMEOUT}::DOUBLE <= floor(((SELECT max(at) FROM br) - {LATE}) * 1000) / 1000
-      OR EXISTS (SELECT 1 FROM br WHERE br.observation = cl.observation AND at >= o + {TIMEOUT}::DOUBLE)""")
+    WHERE closed <= (SELECT max("at") FROM br) - {LATE}""")
 def _(spark, sf):
-    rows = branches(A.connections(spark, sf, event_stream(spark, sf)))
-    return run_stream(ledger.deadline_join_stream(rows, TIMEOUT, f"{LATE} seconds"), "deadline")
-
-
-INCREMENTAL = ["tx_ip_bytes", "unique_destinations", "flow_burst_max_10s", "stream_count_1h"]
+    sink = ledger.DeadlineJoin(new_tables(spark, "deadline"), TIMEOUT, LATE)
+    drain(branches(A.connections(spark, sf, event_stream(spark, sf))), sink.process, f"{sink.tables.root}/checkpoint")
+    done = sink.tables.all(spark, "closed").select(
+        "observation", F.lit("window").alias("branch"), F.lit(None).cast("string").alias("payload_hash"), F.col("closed_at").alias("at"),
+        F.when(F.col("partial"), "closed_partial").otherwise("closed_complete").alias("fate"))
+    return sink.tables.all(spark, "fates").unionByName(done)
 
 
 @query("k6_incremental_features", V.sql(f"""SELECT c.device, c.ws AS window_start, c.tx_ip_bytes, coalesce(ud, 0) AS unique_destinations,
@@ -204,16 +201,14 @@ INCREMENTAL = ["tx_ip_bytes", "unique_destinations", "flow_burst_max_10s", "stre
 def _(spark, sf):
     """The batch operators over three deliveries, with the state carried between them."""
     view = materialize(V.minutes(spark, sf).view, "view")
-    root = f"{shared_dir(spark)}/incremental-{uuid.uuid4().hex}"
-    sink = features.IncrementalFeatures(A.devices(spark, sf), A.outages(spark, sf), V.CLOCK, A.START, root)
+    sink = features.IncrementalFeatures(A.devices(spark, sf), A.outages(spark, sf), V.CLOCK, A.START, new_tables(spark, "incremental"))
     cuts = [A.START, A.START + 9 * A.DAY, A.START + 17 * A.DAY, A.END + W]
     for i, (lo, hi) in enumerate(zip(cuts, cuts[1:])):
         sink.process(view.filter((F.col("flow_start") >= lo) & (F.col("flow_start") < hi)), i)
     # the last window stays open until later traffic arrives; close it here
-    tail = view.filter(F.lit(False)).unionByName(view.limit(0))
     sink.lateness = -W
-    sink.process(tail, len(cuts) - 1)
-    return sink.result(spark).filter("available").select(
+    sink.process(view.filter(F.lit(False)), len(cuts) - 1)
+    return sink.tables.all(spark, "features").filter("available").select(
         "device", "window_start", "tx_ip_bytes", "unique_destinations", "new_destination_fraction", "rolling_tx_mean_15m", "flow_gap_min")
 
 
@@ -223,7 +218,7 @@ def _(spark, sf):
     return features.peer_limit_violations(met, 25)
 
 
-@query("k8_freshness", f"""WITH {A.EVENTS_SQL} SELECT uid, {r(f'greatest(0, {A.TRAIN_END} - (ws + {W}))')} AS age_seconds,
+@query("k8_freshness", f"""WITH {A.EVENTS_SQL} SELECT uid, {r(f'greatest(0, {A.TRAIN_END} - (ws + {W}))::DOUBLE')} AS age_seconds,
   greatest(0, {A.TRAIN_END} - (ws + {W})) <= {A.DAY} AS fresh FROM conn""")
 def _(spark, sf):
     age, fresh = evidence.freshness(F.lit(float(A.TRAIN_END)), bucket_start(F.col("ts"), W) + W, float(A.DAY))
@@ -233,7 +228,7 @@ def _(spark, sf):
 @query("k9_status_counters", f"""WITH {A.EVENTS_SQL}, {BRANCH} SELECT count(*) FILTER (WHERE closed > {A.TRAIN_END}) AS open_observations,
   count(*) FILTER (WHERE closed <= {A.TRAIN_END}) AS closed_observations,
   {r(f'greatest(0, {A.TRAIN_END}.0::DOUBLE - min(o) FILTER (WHERE closed > {A.TRAIN_END}))')} AS oldest_open_age_seconds,
-  (SELECT count(*) FROM fa WHERE fate = 'late' AND at <= {A.TRAIN_END}) AS late_branches, (SELECT count(DISTINCT o_custkey) FROM orders) AS decisions,
+  (SELECT count(*) FROM fa WHERE fate = 'late' AND "at" <= {A.TRAIN_END}) AS late_branches, (SELECT count(DISTINCT o_custkey) FROM orders) AS decisions,
   (SELECT count(*) FROM orders WHERE o_orderstatus = 'P') AS pending_actions FROM cl WHERE o <= {A.TRAIN_END}""")
 def _(spark, sf):
     closed, fates = ledger.deadline_join(branches(A.connections(spark, sf)), TIMEOUT)

@@ -2,13 +2,12 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from dataclasses import dataclass
 
-import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
-from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
+
+from fluxprint.streaming.state import VersionedTables
 
 BRANCHES = ["gnn", "mud"]
 
@@ -30,46 +29,34 @@ def classify_ingest(arrivals: DataFrame) -> DataFrame:
     return marked.select(*arrivals.columns, status.alias("status"))
 
 
-class _Ingest(StatefulProcessor):
-    """Remembers the accepted windows of a stream and the newest one."""
-
-    def __init__(self, ttl_ms: int) -> None:
-        self.ttl_ms = ttl_ms
-
-    def init(self, handle: StatefulProcessorHandle) -> None:
-        key = T.StructType([T.StructField("window_start", T.LongType())])
-        value = T.StructType([T.StructField("payload_hash", T.StringType())])
-        self.seen = handle.getMapState("seen", key, value, ttlDurationMs=self.ttl_ms)
-        self.last = handle.getValueState("last", key)
-
-    def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
-        frame = pd.concat(list(rows)).sort_values(["at", "payload_hash"], ignore_index=True)
-        last = self.last.get()[0] if self.last.exists() else None
-        out = []
-        for row in frame.itertuples(index=False):
-            slot = (int(row.window_start),)
-            if self.seen.containsKey(slot):
-                out.append("replay" if self.seen.getValue(slot)[0] == row.payload_hash else "conflict")
-            elif last is not None and row.window_start <= last:
-                out.append("out_of_order")
-            else:
-                self.seen.updateValue(slot, (row.payload_hash,))
-                last = int(row.window_start)
-                out.append("accepted")
-        if last is not None:
-            self.last.update((last,))
-        frame["status"] = out
-        yield frame
-
-    def close(self) -> None:
-        pass
-
-
-def ingest_stream(arrivals: DataFrame, ttl_ms: int = 7 * 86_400_000) -> DataFrame:
-    """Streaming form of :func:`classify_ingest`; old windows leave the state by age."""
-    schema = T.StructType([*arrivals.schema.fields, T.StructField("status", T.StringType())])
-    return arrivals.groupBy("stream").transformWithStateInPandas(_Ingest(ttl_ms), outputStructType=schema, outputMode="Append",
-                                                                timeMode="ProcessingTime")
+@dataclass(frozen=True)
+class Ingest:
+    """``foreachBatch`` form of :func:`classify_ingest`.
+
+    The accepted windows of the last ``retain`` seconds are the state, one row
+    per stream and window. They stand before the new rows, which therefore get
+    the fate they would have had in one run over everything.
+    """
+
+    tables: VersionedTables
+    retain: int = 7 * 86_400
+
+    def process(self, arrivals: DataFrame, batch_id: int) -> None:
+        fresh = arrivals.withColumn("_new", F.lit(True))
+        held = self.tables.before(arrivals.sparkSession, "accepted", batch_id)
+        if held is not None:
+            fresh = fresh.unionByName(held.withColumn("_new", F.lit(False)))
+        rows = self.tables.write(classify_ingest(fresh), "classified", batch_id)
+        self.tables.write(rows.filter("_new").drop("_new"), "ingested", batch_id)
+        accepted = rows.filter("status = 'accepted'").drop("_new", "status")
+        top = accepted.groupBy("stream").agg(F.max("window_start").alias("_top"))
+        self.tables.write(accepted.join(top, "stream").filter(F.col("window_start") >= F.col("_top") - self.retain).drop("_top"),
+                          "accepted", batch_id)
+
+
+def first_arrivals(arrivals: DataFrame, event_time: str, keys: list[str], within: str) -> DataFrame:
+    """Plain replays removed by the built-in stateful operator, for streams without conflicts."""
+    return arrivals.withWatermark(event_time, within).dropDuplicatesWithinWatermark(keys)
 
 
 def conflicts(arrivals: DataFrame, keys: list[str], value: str = "payload_hash") -> DataFrame:
@@ -115,74 +102,53 @@ def deadline_join(arrivals: DataFrame, timeout: float) -> tuple[DataFrame, DataF
             .when(F.coalesce(is_first, F.lit(False)), "accepted")
             .when(~((at < closing) | ((at == closing) & ~F.col("partial"))), "late")
             .when(F.col("payload_hash") == first_hash, "duplicate").otherwise("conflict"))
-    return closed, rows.select("observation", "branch", "payload_hash", "at", fate.alias("fate"))
-
-
-OUTPUT = T.StructType([
-    T.StructField("observation", T.StringType()), T.StructField("branch", T.StringType()), T.StructField("payload_hash", T.StringType()),
-    T.StructField("at", T.DoubleType()), T.StructField("fate", T.StringType())])
-
-
-class _Deadline(StatefulProcessor):
-    """Open observations with their branches; a timer closes what stays partial."""
-
-    def __init__(self, timeout: float) -> None:
-        self.timeout = timeout
-
-    def init(self, handle: StatefulProcessorHandle) -> None:
-        self.handle = handle
-        self.state = handle.getValueState("state", T.StructType([
-            T.StructField("opened_at", T.DoubleType()), T.StructField("gnn", T.StringType()), T.StructField("mud", T.StringType()),
-            T.StructField("closed_at", T.DoubleType())]))
-
-    def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
-        frame = pd.concat(list(rows))
-        frame["_rank"] = (frame["branch"] != "window").astype(int)
-        opened, gnn, mud, closed = self.state.get() if self.state.exists() else (None,) * 4
-        out = []
-        for row in frame.sort_values(["at", "_rank", "payload_hash"]).itertuples(index=False):
-            if opened is not None and closed is None and row.at >= opened + self.timeout:
-                closed = opened + self.timeout
-                out.append((key[0], "window", None, closed, "closed_partial"))
-            if row.branch == "window":
-                if opened is None:
-                    opened = float(row.at)
-                    self.handle.registerTimer(int((opened + self.timeout) * 1000))
-                continue
-            held = {"gnn": gnn, "mud": mud}
-            if opened is None:
-                fate = "early"
-            elif closed is not None and row.at > closed or closed == opened + self.timeout:
-                fate = "late"
-            elif held[row.branch] is None:
-                fate = "accepted"
-                held[row.branch] = row.payload_hash
-            else:
-                fate = "duplicate" if held[row.branch] == row.payload_hash else "conflict"
-            gnn, mud = held["gnn"], held["mud"]
-            out.append((key[0], row.branch, row.payload_hash, float(row.at), fate))
-            if fate == "accepted" and gnn is not None and mud is not None:
-                closed = float(row.at)
-                out.append((key[0], "window", None, closed, "closed_complete"))
-        self.state.update((opened, gnn, mud, closed))
-        yield pd.DataFrame(out, columns=OUTPUT.names)
-
-    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
-        opened, gnn, mud, closed = self.state.get()
-        if closed is None:
-            closed = opened + self.timeout
-            self.state.update((opened, gnn, mud, closed))
-            yield pd.DataFrame([(key[0], "window", None, closed, "closed_partial")], columns=OUTPUT.names)
-
-    def close(self) -> None:
-        pass
-
-
-def deadline_join_stream(arrivals: DataFrame, timeout: float, lateness: str) -> DataFrame:
-    """Streaming form: fates as they arrive, and one closing row per observation."""
-    timed = arrivals.withColumn("event_time", F.timestamp_micros((F.col("at") * 1_000_000).cast("bigint")))
-    return timed.withWatermark("event_time", lateness).groupBy("observation").transformWithStateInPandas(
-        _Deadline(timeout), outputStructType=OUTPUT, outputMode="Append", timeMode="EventTime")
+    return closed, rows.select(*arrivals.columns, fate.alias("fate"))
+
+
+@dataclass(frozen=True)
+class DeadlineJoin:
+    """``foreachBatch`` form of :func:`deadline_join`.
+
+    State are the arrivals of observations that opened within ``retain``
+    seconds. Every arrival gets its fate in its own batch; an observation is
+    reported closed once event time, less ``lateness``, has reached its closing.
+    """
+
+    tables: VersionedTables
+    timeout: float
+    lateness: float = 0.0
+    retain: float = 7 * 86_400.0
+
+    def process(self, arrivals: DataFrame, batch_id: int) -> None:
+        spark = arrivals.sparkSession
+        held = self.tables.before(spark, "held", batch_id)
+        marks = self.tables.before(spark, "mark", batch_id)
+        before = marks.first()[0] if marks is not None else None
+        seen = arrivals.agg(F.max("at")).first()[0]     # one number: how far event time has come
+        mark = max((x for x in (before, None if seen is None else seen - self.lateness) if x is not None), default=None)
+        rows = arrivals.withColumn("_new", F.lit(True))
+        if held is not None:
+            rows = rows.unionByName(held.withColumn("_new", F.lit(False)))
+        closed, fates = deadline_join(rows, self.timeout)
+        self.tables.write(fates.filter("_new").drop("_new"), "fates", batch_id)
+        due = F.lit(False) if mark is None else F.col("closed_at") <= mark
+        done = F.lit(False) if before is None else F.col("closed_at") <= before
+        self.tables.write(closed.filter(due & ~done), "closed", batch_id)
+        newest = F.max("at").over(Window.partitionBy("observation"))
+        keep = rows.drop("_new").withColumn("_newest", newest)
+        self.tables.write(keep.filter(F.lit(mark is None) | (F.col("_newest") >= F.lit(mark or 0.0) - self.retain)).drop("_newest"),
+                          "held", batch_id)
+        self.tables.write(spark.createDataFrame([(mark,)], "mark double"), "mark", batch_id)
+
+
+def joined_streams(behaviour: DataFrame, policy: DataFrame, keys: list[str], event_time: str, lateness: str) -> DataFrame:
+    """Plain case of two streams: the built-in outer join, which emits a lone branch after the watermark."""
+    b = behaviour.withWatermark(event_time, lateness).alias("b")
+    p = policy.withWatermark(event_time, lateness).alias("p")
+    condition = F.col(f"b.{event_time}") == F.col(f"p.{event_time}")
+    for k in keys:
+        condition = condition & (F.col(f"b.{k}") == F.col(f"p.{k}"))
+    return b.join(p, condition, "full_outer")
 
 
 # K9

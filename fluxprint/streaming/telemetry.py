@@ -2,15 +2,13 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from dataclasses import dataclass
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
-from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
 from fluxprint.functions.scalars import bucket_start
+from fluxprint.streaming.state import VersionedTables
 
 # Fixed value: seconds without an answer after which an attempt counts as failed.
 HANDSHAKE_SECONDS = 3.0
@@ -54,40 +52,41 @@ def interval_telemetry(packets: DataFrame, window: int) -> DataFrame:
     return _outcome(rows.withColumns({s: F.min(s).over(upto) for s in SIGNALS}), window)
 
 
-class _CarrySignals(StatefulProcessor):
-    """Keeps each connection's earliest signals across windows."""
-
-    def init(self, handle: StatefulProcessorHandle) -> None:
-        schema = T.StructType([T.StructField(s, T.DoubleType()) for s in SIGNALS])
-        self.first = handle.getValueState("first", schema, ttlDurationMs=86_400_000)
-
-    def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
-        frame = pd.concat(list(rows)).sort_values("window_start", ignore_index=True)
-        known = self.first.get() if self.first.exists() else (None,) * len(SIGNALS)
-        for name, before in zip(SIGNALS, known):
-            seen = frame[name].astype("float64").fillna(float("inf")).cummin()
-            frame[name] = seen.clip(upper=float("inf") if before is None else before)
-        last = frame.iloc[-1]
-        self.first.update(tuple(None if last[s] == float("inf") else float(last[s]) for s in SIGNALS))
-        yield frame.replace({s: {float("inf"): None} for s in SIGNALS})
-
-    def close(self) -> None:
-        pass
+def closed_sums(packets: DataFrame, window: int, lateness: str) -> DataFrame:
+    """Sums of closed windows from a stream; a packet of a closed window is dropped."""
+    timed = packets.withColumn("event_time", F.timestamp_micros((F.col("ts") * 1_000_000).cast("bigint")))
+    sums = timed.withWatermark("event_time", lateness).groupBy(F.window("event_time", f"{window} seconds"), *CONNECTION).agg(*_sums())
+    return sums.select(F.unix_seconds("window.start").alias("window_start"), *CONNECTION, "orig_ip_bytes", "resp_ip_bytes",
+                       "orig_pkts", "resp_pkts", "observed_duration", *SIGNALS)
 
 
-def interval_telemetry_stream(packets: DataFrame, window: int, lateness: str) -> DataFrame:
-    """The same rows from a stream; a packet of a closed window is dropped.
+@dataclass(frozen=True)
+class IntervalTelemetry:
+    """``foreachBatch`` sink for :func:`closed_sums`: adds the connection outcome.
 
-    The sums stay in a built-in windowed aggregate. Only one small row per
-    connection and closed window reaches the processor that carries signals.
+    Only a connection's earliest signals are state; a connection that sent
+    nothing for ``retain`` seconds is forgotten.
     """
-    timed = packets.withColumn("event_time", F.timestamp_micros((F.col("ts") * 1_000_000).cast("bigint")))
-    sums = timed.withWatermark("event_time", lateness).groupBy(F.window("event_time", f"{window} seconds"), *CONNECTION).agg(*_sums())
-    rows = sums.select(F.unix_seconds("window.start").alias("window_start"), *CONNECTION, "orig_ip_bytes", "resp_ip_bytes",
-                       "orig_pkts", "resp_pkts", "observed_duration", *SIGNALS)
-    carried = rows.groupBy("uid").transformWithStateInPandas(
-        _CarrySignals(), outputStructType=rows.schema, outputMode="Append", timeMode="ProcessingTime")
-    return _outcome(carried, window)
+
+    tables: VersionedTables
+    window: int
+    retain: int = 86_400
+
+    def process(self, sums: DataFrame, batch_id: int) -> None:
+        spark = sums.sparkSession
+        upto = Window.partitionBy("uid").orderBy("window_start").rowsBetween(Window.unboundedPreceding, 0)
+        rows = sums.withColumns({s: F.min(s).over(upto) for s in SIGNALS})
+        known = self.tables.before(spark, "signals", batch_id)
+        if known is not None:
+            rows = rows.join(known.select("uid", *[F.col(s).alias("_" + s) for s in SIGNALS]), "uid", "left").withColumns(
+                {s: F.least(s, "_" + s) for s in SIGNALS})
+        done = self.tables.write(_outcome(rows, self.window), "telemetry", batch_id)
+        signals = sums.select("uid", "window_start", *SIGNALS)
+        if known is not None:
+            signals = signals.unionByName(known)
+        held = signals.groupBy("uid").agg(F.max("window_start").alias("window_start"), *[F.min(s).alias(s) for s in SIGNALS])
+        newest = done.agg(F.max("window_start").alias("m")).scalar()
+        self.tables.write(held.filter(newest.isNull() | (F.col("window_start") >= newest - self.retain)), "signals", batch_id)
 
 
 # K2
