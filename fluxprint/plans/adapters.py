@@ -7,10 +7,11 @@ twice: as DataFrame code and, for the oracle, as SQL.
 
 from __future__ import annotations
 
+from functools import lru_cache
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from fluxprint.functions.scalars import bucket_start
 from fluxprint.schemas import DEVICE_TYPES
 from fluxprint.session import configure
 
@@ -21,110 +22,100 @@ TRAIN_END = START + 21 * DAY     # the profile is frozen on the first 70 %
 WINDOW = 21_600                  # the table is sparse, so windows are six hours
 
 
+@lru_cache(maxsize=64)
+def _parquet(spark: SparkSession, path: str) -> DataFrame:
+    return spark.read.parquet(path)
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return configure(spark).read.parquet(f"{sf_dir}/{name}.parquet")
+    """One listing and one footer read per table and session; the data are read by each query."""
+    return _parquet(configure(spark), f"{sf_dir}/{name}.parquet")
 
 
 def epoch(ts: Column) -> Column:
     return F.unix_micros(ts.cast("timestamp")) / F.lit(1_000_000.0)
 
 
-def address(device: Column) -> Column:
+def address(device: str) -> str:
     """A private IPv4 address per device number."""
-    return F.concat_ws(".", F.lit("10"), *[
-        (F.floor(device / F.lit(d)) % 256).cast("string") for d in (65536, 256)], (device % 256).cast("string"))
+    return (f"concat_ws('.', '10', cast(floor({device} / 65536) % 256 as string), cast(floor({device} / 256) % 256 as string), "
+            f"cast({device} % 256 as string))")
 
 
-def hardware_address(device: Column) -> Column:
-    text = F.lpad(F.lower(F.hex(device)), 12, "0")
-    return F.regexp_replace(text, r"(..)(?!$)", "$1:")
+def hardware_address(device: str) -> str:
+    return f"regexp_replace(lpad(lower(hex({device})), 12, '0'), '(..)(?!$)', '$1:')"
 
 
 def connections(spark: SparkSession, sf_dir: str, raw: DataFrame | None = None) -> DataFrame:
     """Every event as one connection; ``raw`` may be a stream of the same table."""
     events = table(spark, sf_dir, "events") if raw is None else raw
-    kind, k = F.col("event_type"), F.get_json_object("props", "$.k").cast("bigint")
-    cents = F.round(F.col("value") * 100).cast("bigint")
-    peer = F.when(k < 40, F.concat(F.lit("203.0.113."), (k % 2).cast("string"))).otherwise(address(k - 40))
-    return events.select(
-        F.col("event_id"), F.concat(F.lit("C"), F.col("event_id").cast("string")).alias("uid"),
-        F.col("user_id").alias("device"), epoch(F.col("ts")).alias("ts"), k.alias("k"), kind.alias("event_type"),
-        address(F.col("user_id")).alias("orig_h"), peer.alias("resp_h"),
-        (F.lit(40000) + F.col("event_id") % 20000).cast("int").alias("orig_p"),
-        F.when(kind.isin("click", "view"), 443).when(kind == "purchase", 8080).when(kind == "error", 22)
-        .otherwise(53).alias("resp_p"),
-        F.when(kind == "signup", "udp").otherwise("tcp").alias("proto"),
-        F.when(kind == "click", "ssl").when(kind.isin("view", "purchase"), "http").when(kind == "signup", "dns")
-        .alias("service"),
-        F.when(kind == "error", "S0").otherwise("SF").alias("conn_state"),
-        cents.alias("orig_bytes"), F.floor(cents / 3).cast("bigint").alias("resp_bytes"),
-        (1 + F.floor(cents / 1000)).cast("bigint").alias("orig_pkts"),
-        F.floor(cents / 2000).cast("bigint").alias("resp_pkts"),
-        F.col("value"), hardware_address(F.col("user_id")).alias("orig_mac"))
+    base = events.selectExpr(
+        "event_id", "user_id as device", "event_type", "value", "unix_micros(cast(ts as timestamp)) / 1000000.0D as ts",
+        "cast(get_json_object(props, '$.k') as bigint) as k", "cast(round(value * 100) as bigint) as cents")
+    return base.selectExpr(
+        "event_id", "concat('C', event_id) as uid", "device", "ts", "k", "event_type", f"{address('device')} as orig_h",
+        f"case when k < 40 then concat('203.0.113.', k % 2) else {address('(k - 40)')} end as resp_h",
+        "cast(40000 + event_id % 20000 as int) as orig_p",
+        "case when event_type in ('click', 'view') then 443 when event_type = 'purchase' then 8080 when event_type = 'error' then 22 "
+        "else 53 end as resp_p", "if(event_type = 'signup', 'udp', 'tcp') as proto",
+        "case when event_type = 'click' then 'ssl' when event_type in ('view', 'purchase') then 'http' when event_type = 'signup' then 'dns' end as service",
+        "if(event_type = 'error', 'S0', 'SF') as conn_state", "cents as orig_bytes", "cast(floor(cents / 3) as bigint) as resp_bytes",
+        "cast(1 + floor(cents / 1000) as bigint) as orig_pkts", "cast(floor(cents / 2000) as bigint) as resp_pkts", "value",
+        f"{hardware_address('device')} as orig_mac")
 
 
 def flows(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return connections(spark, sf_dir).filter(F.col("event_type") != "signup")
+    return connections(spark, sf_dir).filter("event_type <> 'signup'")
 
 
 def dns_queries(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return connections(spark, sf_dir).filter(F.col("event_type") == "signup").select(
-        "device", "ts", F.concat(F.lit("h"), (F.col("k") % 20).cast("string"), F.lit(".example.net")).alias("query"))
+    return connections(spark, sf_dir).filter("event_type = 'signup'").selectExpr(
+        "device", "ts", "concat('h', k % 20, '.example.net') as query")
 
 
 def tls_names(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return connections(spark, sf_dir).filter(F.col("event_type") == "view").select(
-        "device", "ts", F.concat(F.lit("h"), (F.col("k") % 7).cast("string"), F.lit(".example.net")).alias("name"))
+    return connections(spark, sf_dir).filter("event_type = 'view'").selectExpr(
+        "device", "ts", "concat('h', k % 7, '.example.net') as name")
 
 
 def both_directions(flow_rows: DataFrame) -> DataFrame:
-    """Flows as seen by the opener and, for inventory peers, by the receiver."""
-    opened = flow_rows.withColumn("initiated", F.lit(True))
-    received = (flow_rows.filter(F.col("k") >= 40).withColumn("device", F.col("k") - 40)
-                .withColumn("initiated", F.lit(False)))
-    return opened.unionByName(received)
+    """Flows as seen by the opener and, for inventory peers, by the receiver; one pass."""
+    ends = "if(k >= 40, array(named_struct('d', device, 'i', true), named_struct('d', k - 40, 'i', false)), array(named_struct('d', device, 'i', true)))"
+    return flow_rows.withColumn("_e", F.expr(f"explode({ends})")).withColumns(
+        {"device": F.col("_e.d"), "initiated": F.col("_e.i")}).drop("_e")
 
 
 def telemetry(spark: SparkSession, sf_dir: str, window: int = WINDOW) -> DataFrame:
     """Interval telemetry: one row per connection and window."""
-    c = connections(spark, sf_dir)
-    failed = F.col("event_type") == "error"
-    return c.select(
-        bucket_start(F.col("ts"), window).alias("window_start"), "uid", "orig_h", "resp_h", "orig_p", "resp_p", "proto",
-        F.col("ts").alias("flow_start"), F.col("orig_bytes").alias("orig_ip_bytes"),
-        F.col("resp_bytes").alias("resp_ip_bytes"), "orig_pkts", "resp_pkts",
-        (F.col("value") / 100).alias("observed_duration"),
-        ((F.col("proto") == "tcp") & ~failed & (F.col("k") % 5 != 0)).alias("established"), failed.alias("failed"),
-        (F.col("proto") == "tcp").alias("tcp_syn_observed"), (F.col("k") % 11 != 0).alias("new_flow"),
-        "orig_mac", F.lit(None).cast("string").alias("resp_mac"))
+    return connections(spark, sf_dir).selectExpr(
+        f"cast(floor(ts / {window}) * {window} as bigint) as window_start", "uid", "orig_h", "resp_h", "orig_p", "resp_p", "proto",
+        "ts as flow_start", "orig_bytes as orig_ip_bytes", "resp_bytes as resp_ip_bytes", "orig_pkts", "resp_pkts",
+        "value / 100 as observed_duration", "proto = 'tcp' and event_type <> 'error' and k % 5 <> 0 as established",
+        "event_type = 'error' as failed", "proto = 'tcp' as tcp_syn_observed", "k % 11 <> 0 as new_flow", "orig_mac",
+        "cast(null as string) as resp_mac")
 
 
 def devices(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Inventory: every user is a device; its kind follows its number."""
-    ids = table(spark, sf_dir, "events").select(F.col("user_id").alias("id")).distinct()
-    kinds = F.array(*[F.lit(t) for t in DEVICE_TYPES])
-    return ids.select(
-        F.concat(F.lit("d"), F.col("id").cast("string")).alias("device"), "id",
-        F.element_at(kinds, (F.col("id") % len(DEVICE_TYPES)).cast("int") + 1).alias("device_type"),
-        hardware_address(F.col("id")).alias("mac"))
+    ids = table(spark, sf_dir, "events").selectExpr("user_id as id").distinct()
+    kinds = ", ".join(f"'{t}'" for t in DEVICE_TYPES)
+    return ids.selectExpr("concat('d', id) as device", "id", f"element_at(array({kinds}), cast(id % {len(DEVICE_TYPES)} as int) + 1) as device_type",
+                          f"{hardware_address('id')} as mac")
 
 
 def leases(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Address leases: one in seven ends half way, one in seven has only its MAC."""
-    d = devices(spark, sf_dir)
-    lapses = F.col("id") % 7 == 0
-    return d.filter(F.col("id") % 7 != 3).select(
-        "device", address(F.col("id")).alias("ip"), F.lit(START).cast("bigint").alias("lease_start"),
-        F.when(lapses, START + 15 * DAY).otherwise(END).cast("bigint").alias("lease_end"))
+    return devices(spark, sf_dir).filter("id % 7 <> 3").selectExpr(
+        "device", f"{address('id')} as ip", f"cast({START} as bigint) as lease_start",
+        f"cast(if(id % 7 = 0, {START + 15 * DAY}, {END}) as bigint) as lease_end")
 
 
 def outages(spark: SparkSession, sf_dir: str) -> DataFrame:
     """One in ten devices is dark for a day; the sensor is dark for six hours."""
-    d = devices(spark, sf_dir)
-    own = d.filter(F.col("id") % 10 == 4).select(
-        "device", F.lit(START + 10 * DAY).alias("start"), F.lit(START + 11 * DAY).alias("end"))
-    return own.unionByName(d.select("device", F.lit(START + 20 * DAY).alias("start"),
-                                    F.lit(START + 20 * DAY + WINDOW).alias("end")))
+    dark = f"""explode(filter(array(
+        if(id % 10 = 4, named_struct('start', {START + 10 * DAY}, 'end', {START + 11 * DAY}), null),
+        named_struct('start', {START + 20 * DAY}, 'end', {START + 20 * DAY + WINDOW})), x -> x is not null)) as o"""
+    return devices(spark, sf_dir).selectExpr("device", dark).selectExpr("device", "o.start as start", "o.end as end")
 
 
 # The same mappings for the oracle.

@@ -33,15 +33,20 @@ def configure(spark: SparkSession) -> SparkSession:
     return spark
 
 
+_LOCAL_DIRS: dict[str, str] = {}
+
+
 def shared_dir(spark: SparkSession) -> str:
     """Folder that every executor sees: ``spark.checkpoint.dir`` of the session.
 
-    Only where the cluster names none (a test) is a new local folder made and set.
+    Only where the session names none (a test) a new local folder is made, one
+    per application.
     """
     chosen = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if not chosen:
-        chosen = tempfile.mkdtemp(prefix="fluxprint-")
-        spark.conf.set("spark.checkpoint.dir", chosen)
+        app = spark.sparkContext.applicationId
+        chosen = _LOCAL_DIRS.setdefault(app, "") or tempfile.mkdtemp(prefix="fluxprint-")
+        _LOCAL_DIRS[app] = chosen
     return chosen.rstrip("/")
 
 

@@ -39,7 +39,7 @@ def flow_files(spark: SparkSession, path: str | list[str], schema: T.StructType)
 # A7
 def permission_documents(spark: SparkSession, path: str | list[str]) -> DataFrame:
     """Facts of permission documents, one document per file."""
-    text = spark.read.option("wholetext", True).text(path)
+    text = spark.read.text(path, wholetext=True)
     return policy.document_facts(text.select(F.col("_metadata.file_name").alias("document_id"), F.col("value").alias("text")))
 
 
