@@ -186,6 +186,31 @@ def ipv6_in_network(address: pd.Series, network: pd.Series) -> pd.Series:
     return pd.Series([_ipv6_in(a, n) for a, n in zip(address, network)], dtype=bool)
 
 
+@F.pandas_udf(T.ArrayType(T.StringType()))
+def ipv6_prefixes(address: pd.Series) -> pd.Series:
+    """All enclosing networks of an IPv6 address as text; NULL if it is none."""
+    def one(value: str | None) -> list[str] | None:
+        try:
+            number = int(ipaddress.IPv6Address(value))
+        except ValueError:
+            return None
+        return [f"{ipaddress.IPv6Address(number >> (128 - b) << (128 - b))}/{b}" for b in range(129)]
+
+    return address.map(one)
+
+
+@F.pandas_udf(T.StringType())
+def ipv6_network(network: pd.Series) -> pd.Series:
+    """An IPv6 network in canonical text, host bits cleared; NULL if malformed."""
+    def one(value: str | None) -> str | None:
+        try:
+            return str(ipaddress.IPv6Network(value, strict=False))
+        except ValueError:
+            return None
+
+    return network.map(one)
+
+
 @F.pandas_udf(T.BooleanType())
 def is_private_ipv6(address: pd.Series) -> pd.Series:
     def one(value: str | None) -> bool:

@@ -62,6 +62,10 @@ def order_statistics(rows: DataFrame, keys: Sequence[str], value: str,
     one task is about ``1 / cells**levels`` of a group's value range. Cell
     borders come from minima and maxima, so a recomputed task gets the same ones.
     """
+    if not keys:
+        # one group is a group like any other: a computed key, not a join without one
+        keyed = rows.withColumn("_all", F.pmod(F.hash(value), F.lit(1)))
+        return order_statistics(keyed, ["_all"], value, ranks, cells, levels).drop("_all")
     keys = list(keys)
     v = F.col("_v")
     folded = (rows.filter(F.col(value).isNotNull()).withColumn("_v", F.col(value).cast("double"))
@@ -120,8 +124,6 @@ def quantiles(rows: DataFrame, keys: Sequence[str], value: str, fractions: Mappi
 
 def _null_safe(left: DataFrame, right: DataFrame, on: Sequence[str]) -> DataFrame:
     """Inner join whose keys may be NULL, each key kept once."""
-    if not on:
-        return left.crossJoin(right)
     renamed = right.select(*[F.col(c).alias("_r_" + c) if c in on else F.col(c) for c in right.columns])
     condition = None
     for key in on:

@@ -34,8 +34,12 @@ def proposals(exchanges: DataFrame, scores: DataFrame) -> DataFrame:
 
 # G5
 def consecutive_windows(rows: DataFrame, window: int) -> DataFrame:
-    """Run length of each scope's windows; repeats inside a window do not count."""
-    seen = rows.select(*SCOPE, "window_start").distinct()
+    """Run length of each scope's windows; repeats inside a window do not count.
+
+    ``first_uid`` names the first proposal of the scope in the window. A flood of
+    proposals is folded by the partial aggregate, so only windows are sorted.
+    """
+    seen = rows.groupBy(*SCOPE, "window_start").agg(F.min("flow_uid").alias("first_uid"))
     return ordered.islands(seen, SCOPE, "window_start", window).withColumnRenamed("consecutive", "consecutive_windows")
 
 
@@ -51,16 +55,16 @@ def apply_cooldown(rows: DataFrame, window: int, cooldown: float, escalate_after
     last = F.lag("window_start").over(Window.partitionBy(*SCOPE).orderBy("window_start"))
     state = runs.withColumn("_since", F.col("window_start") - last)
     keys = [*SCOPE, "window_start"]
-    s = state.select(*[F.col(k).alias("_s_" + k) for k in keys], "consecutive_windows", "_since")
+    s = state.select(*[F.col(k).alias("_s_" + k) for k in keys], "consecutive_windows", "_since", "first_uid")
     condition = None
     for k in keys:
         term = F.col(k).eqNullSafe(F.col("_s_" + k))
         condition = term if condition is None else condition & term
     joined = rows.join(s, condition).drop(*["_s_" + k for k in keys])
     # only the first proposal of a scope in a window sees the time since the last one
-    first = F.row_number().over(Window.partitionBy(*keys).orderBy("flow_uid")) == 1
+    first = F.col("flow_uid").eqNullSafe(F.col("first_uid"))
     cool = F.coalesce(first & (F.col("_since") < cooldown), F.lit(False))
-    out = joined.withColumn("scope_key", digest(*SCOPE)).withColumn("cooldown_active", cool)
+    out = joined.withColumn("scope_key", digest(*SCOPE)).withColumn("cooldown_active", cool).drop("first_uid")
     if escalate_after is not None:
         hit = ((F.col("tier") == "alert") & (F.col("reason") == "forbidden_exchange")
                & (F.col("consecutive_windows") >= escalate_after))

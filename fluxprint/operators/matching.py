@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from fluxprint.functions.scalars import ipv4_number, network_parts, truncate_ipv4
+from fluxprint.functions.scalars import ipv4_number, ipv6_network, ipv6_prefixes, network_parts, truncate_ipv4
 
 
 # C11
@@ -59,18 +59,23 @@ def latest_until(points: DataFrame, spans: DataFrame, keys: Sequence[str], t: st
 
 # B16, C10
 def in_networks(addresses: DataFrame, networks: DataFrame, on: Sequence[str]) -> DataFrame:
-    """``(on, address, network)`` for every IPv4 address inside a network of its key.
+    """``(on, address, network)`` for every address inside a network of its key.
 
     Each distinct address is looked up once per prefix length, so a range test
-    becomes an equality join; malformed text matches nothing.
+    becomes an equality join; malformed text matches nothing. IPv6 takes the
+    same path, with its 128-bit prefixes made in Arrow batches.
     """
     base, bits = network_parts(F.col("network"))
-    nets = networks.select(*on, "network", base.alias("_base"), bits.alias("_bits")).filter("_base is not null").distinct()
-    number = ipv4_number(F.col("address"))
-    keys = addresses.select(*on, "address", number.alias("_n")).filter("_n is not null").distinct().withColumn(
+    wanted = networks.select(*on, "network").distinct()
+    ips = addresses.select(*on, "address").distinct()
+    nets = wanted.select(*on, "network", base.alias("_base"), bits.alias("_bits")).filter("_base is not null")
+    keys = ips.withColumn("_n", ipv4_number(F.col("address"))).filter("_n is not null").withColumn(
         "_bits", F.explode(F.sequence(F.lit(0), F.lit(32))))
     keys = keys.withColumn("_base", truncate_ipv4(F.col("_n"), F.col("_bits")))
-    return keys.join(nets, [*on, "_base", "_bits"]).select(*on, "address", "network")
+    v4 = keys.join(nets, [*on, "_base", "_bits"]).select(*on, "address", "network")
+    nets6 = wanted.filter(F.col("network").contains(":")).withColumn("_net", ipv6_network("network")).filter("_net is not null")
+    keys6 = ips.filter(F.col("address").contains(":")).withColumn("_net", F.explode(ipv6_prefixes("address")))
+    return v4.unionByName(keys6.join(nets6, [*on, "_net"]).select(*on, "address", "network"))
 
 
 def suffixes(name: Column) -> Column:

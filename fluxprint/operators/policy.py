@@ -157,11 +157,7 @@ def match_facts(facts: DataFrame, names: DataFrame, ports: DataFrame, addresses:
         "device", F.lit("port").alias("kind"), F.col("port").alias("fact"))
     hit_n = matching.in_networks(addresses, kinds["network"], ["device"]).select(
         "device", F.lit("network").alias("kind"), F.col("network").alias("fact"))
-    v6 = kinds["network"].filter(F.col("network").contains(":")).join(
-        addresses.filter(F.col("address").contains(":")).distinct(), "device")
-    hit_6 = v6.filter(ipv6_in_network(F.col("address"), F.col("network"))).select(
-        "device", F.lit("network").alias("kind"), F.col("network").alias("fact"))
-    hits = hit_d.unionByName(hit_p).unionByName(hit_n).unionByName(hit_6).distinct().withColumn("matched", F.lit(True))
+    hits = hit_d.unionByName(hit_p).unionByName(hit_n).distinct().withColumn("matched", F.lit(True))
     checkable = facts.filter(F.col("kind").isin("domain", "port", "network")).select("device", "kind", "fact").distinct()
     return checkable.join(hits, ["device", "kind", "fact"], "left").withColumn(
         "matched", F.coalesce("matched", F.lit(False)))

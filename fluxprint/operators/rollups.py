@@ -117,8 +117,9 @@ def overview(devices: DataFrame, windows: DataFrame, now: float, stale_after: fl
                     F.count_if((F.col("sensor") == "healthy") & ~F.col("partial")).alias("healthy_windows"),
                     F.count(latency).alias("timed_windows"), F.max("window_end").alias("_last"))
     age = F.greatest(F.lit(0.0), F.lit(now) - F.col("_last"))
-    # each side is a single row
-    return d.crossJoin(w).crossJoin(ranks).select(
+    # the other two are single rows, taken in as scalar subqueries
+    one = d.withColumn("_w", w.select(F.struct("*").alias("s")).scalar()).withColumn("_r", ranks.select(F.struct("*").alias("s")).scalar())
+    return one.select("devices", "active_devices", "anomalous_devices", "_w.*", "_r.*").select(
         "devices", "active_devices", "anomalous_devices", "windows", "healthy_windows", "timed_windows",
         ((F.col("_lo") + F.col("_hi")) / 2).alias("p50_window_to_join"), F.col("_p95").alias("p95_window_to_join"),
         age.alias("observation_age_seconds"), (age <= stale_after).alias("evidence_fresh"))

@@ -401,7 +401,7 @@ SCOPE = "target_device_id, scope_proto, scope_ip, scope_port, tier"
 
 @query("g5_consecutive_windows", sql(f"SELECT {SCOPE}, window_start, consecutive_windows FROM runs"))
 def _(spark, sf):
-    return decisions.consecutive_windows(decisions.proposals(outcomes(spark, sf), scores(spark, sf)), W)
+    return decisions.consecutive_windows(decisions.proposals(outcomes(spark, sf), scores(spark, sf)), W).drop("first_uid")
 
 
 @query("g6_cooldown", sql(f"""SELECT p.target_device_id, p.scope_ip, p.scope_port, p.window_start, p.flow_uid, consecutive_windows,

@@ -134,10 +134,9 @@ class DeadlineJoin:
         due = F.lit(False) if mark is None else F.col("closed_at") <= mark
         done = F.lit(False) if before is None else F.col("closed_at") <= before
         self.tables.write(closed.filter(due & ~done), "closed", batch_id)
-        newest = F.max("at").over(Window.partitionBy("observation"))
-        keep = rows.drop("_new").withColumn("_newest", newest)
-        self.tables.write(keep.filter(F.lit(mark is None) | (F.col("_newest") >= F.lit(mark or 0.0) - self.retain)).drop("_newest"),
-                          "held", batch_id)
+        live = rows.groupBy("observation").agg(F.max("at").alias("_newest")).filter(
+            F.lit(mark is None) | (F.col("_newest") >= F.lit(mark or 0.0) - self.retain))
+        self.tables.write(rows.drop("_new").join(live, "observation", "left_semi"), "held", batch_id)
         self.tables.write(spark.createDataFrame([(mark,)], "mark double"), "mark", batch_id)
 
 

@@ -51,10 +51,11 @@ def test_band_match_matches_brute_force(spark):
 
 
 def test_networks_and_names(spark):
-    nets = spark.createDataFrame([("10.0.0.0/8",), ("0.0.0.0/0",), ("10.1.2.3/32",), ("bad",)], "network string").withColumn("d", F.lit(1))
-    ips = spark.createDataFrame([("10.1.2.3",), ("8.8.8.8",), ("junk",)], "address string").withColumn("d", F.lit(1))
+    nets = spark.createDataFrame([("10.0.0.0/8",), ("0.0.0.0/0",), ("10.1.2.3/32",), ("bad",), ("fd00::1/8",)], "network string").withColumn("d", F.lit(1))
+    ips = spark.createDataFrame([("10.1.2.3",), ("8.8.8.8",), ("junk",), ("FD00:0::5",), ("fe80::1",)], "address string").withColumn("d", F.lit(1))
     got = {(r["address"], r["network"]) for r in matching.in_networks(ips, nets, ["d"]).collect()}
-    assert got == {("10.1.2.3", "10.0.0.0/8"), ("10.1.2.3", "0.0.0.0/0"), ("10.1.2.3", "10.1.2.3/32"), ("8.8.8.8", "0.0.0.0/0")}
+    assert got == {("10.1.2.3", "10.0.0.0/8"), ("10.1.2.3", "0.0.0.0/0"), ("10.1.2.3", "10.1.2.3/32"), ("8.8.8.8", "0.0.0.0/0"),
+                   ("FD00:0::5", "fd00::1/8")}
     facts = spark.createDataFrame([("d", "example.com"), ("d", "deep.api.example.org")], "device string, domain string")
     seen = spark.createDataFrame([("d", "a.example.com"), ("d", "example.org"), ("d", "badexample.com"), ("e", "example.com")], "device string, name string")
     assert {(r["domain"], r["name"]) for r in matching.related_names(facts, seen, ["device"]).collect()} == {

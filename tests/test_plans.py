@@ -9,7 +9,6 @@ SF = "/root/testdata/sf0.001"
 # Queries whose plan may hold an unkeyed join or a single-task window, and why.
 ALLOWED = {
     "i9_limited_alerts": "ranks at most `limit` rows",
-    "i11_overview": "joins three one-row aggregates",
 }
 # Queries that run jobs while they are built (stored tables, streams).
 EAGER = ("d14", "d15", "e6", "e8", "e9", "e10", "a9", "f_feature", "k1_interval_telemetry_stream", "k4_ingest_stream", "k5_deadline_join_stream", "k6")
