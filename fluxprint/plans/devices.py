@@ -105,6 +105,7 @@ def grid(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def minutes(spark: SparkSession, sf: str, keep=lambda df, name: df) -> D.Minutes:
+    """View and grid; ``keep`` stores them for features that read them several times."""
     return D.Minutes(keep(D.endpoint_view(resolved(spark, sf)), "view"), keep(grid(spark, sf), "grid"), CLOCK)
 
 
@@ -170,7 +171,7 @@ def _(spark, sf):
 
 @query("f3_median_duration", sql(f"""SELECT device, ws AS window_start, {rounded(['median_observed_flow_duration'])} FROM vol"""))
 def _(spark, sf):
-    return D.median_duration(minutes(spark, sf))
+    return D.median_duration(minutes(spark, sf, materialize))
 
 
 @query("f4_new_destinations", sql(f"""SELECT device, ws AS window_start, {r('avg(nw)')} AS new_destination_fraction FROM (
@@ -231,7 +232,7 @@ def _(spark, sf):
       FROM grid g JOIN st ON st.device = g.device AND st.epoch = g.epoch AND t >= g.ws - {15 * W} AND t < g.ws + {W}
       WHERE available) WHERE gap > 0 GROUP BY ALL) USING (device, ws) WHERE available"""), digits=4)
 def _(spark, sf):
-    return D.rolling_gap_variation(minutes(spark, sf))
+    return D.rolling_gap_variation(minutes(spark, sf, materialize))
 
 
 @query("f10_streams", sql(f"""SELECT device, ws AS window_start, count(*) AS stream_count_1h, max(n) AS stream_max_starts_1h,
@@ -246,7 +247,7 @@ def _(spark, sf):
           FROM grid g JOIN st ON st.device = g.device AND st.epoch = g.epoch AND t >= g.ws - {60 * W} AND t < g.ws + {W}
           WHERE available) GROUP BY ALL) GROUP BY ALL"""), digits=4)
 def _(spark, sf):
-    return D.stream_features(minutes(spark, sf))
+    return D.stream_features(minutes(spark, sf, materialize))
 
 
 F11 = ["unique_initiators", "unique_inbound_ports"]

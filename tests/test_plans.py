@@ -11,7 +11,7 @@ ALLOWED = {
     "i9_limited_alerts": "ranks at most `limit` rows",
 }
 # Queries that run jobs while they are built (stored tables, streams).
-EAGER = ("d14", "d15", "e6", "e8", "e9", "e10", "a9", "f_feature", "k1_interval_telemetry_stream", "k4_ingest_stream", "k5_deadline_join_stream", "k6")
+EAGER = ("d14", "d15", "e6", "e8", "e9", "e10", "a9", "f_feature", "f3_median", "f9", "f10", "k1_interval_telemetry_stream", "k4_ingest_stream", "k5_deadline_join_stream", "k6")
 
 
 def test_every_oracle_has_a_query():
