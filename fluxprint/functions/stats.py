@@ -105,13 +105,13 @@ def order_statistics(rows: DataFrame, keys: Sequence[str], value: str,
     return _null_safe(totals.select(*keys, "n"), values, keys)
 
 
-def quantiles(rows: DataFrame, keys: Sequence[str], value: str, fractions: Mapping[str, float]) -> DataFrame:
+def quantiles(rows: DataFrame, keys: Sequence[str], value: str, fractions: Mapping[str, float], levels: int = 2) -> DataFrame:
     """Exact interpolated (type 7) quantiles of groups of any size."""
     ranks: dict[str, Callable[[Column], Column]] = {}
     for name, f in fractions.items():
         ranks["_f_" + name] = lambda n, f=f: F.floor(F.lit(float(f)) * (n - 1))
         ranks["_c_" + name] = lambda n, f=f: F.ceil(F.lit(float(f)) * (n - 1))
-    found = order_statistics(rows, keys, value, ranks)
+    found = order_statistics(rows, keys, value, ranks, levels=levels)
     n = F.col("n")
 
     def between(name: str, f: float) -> Column:
