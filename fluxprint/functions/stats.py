@@ -105,6 +105,7 @@ def order_statistics(rows: DataFrame, keys: Sequence[str], value: str,
     return _null_safe(totals.select(*keys, "n"), values, keys)
 
 
+# D8
 def quantiles(rows: DataFrame, keys: Sequence[str], value: str, fractions: Mapping[str, float], levels: int = 2) -> DataFrame:
     """Exact interpolated (type 7) quantiles of groups of any size."""
     ranks: dict[str, Callable[[Column], Column]] = {}

@@ -25,12 +25,6 @@ def unpivot(rows: DataFrame, keys: Sequence[str], columns: Sequence[str], name:
     return doubles.unpivot(list(keys), list(columns), name, value).filter(F.col(value).isNotNull())
 
 
-# D8
-def quartiles(value: str) -> list:
-    """Exact interpolated quartiles. For groups bounded by a number of windows."""
-    return [F.percentile(value, F.array(F.lit(0.25), F.lit(0.5), F.lit(0.75))).alias("_q")]
-
-
 # D9
 def robust_stats(windows: DataFrame, features: Sequence[str] = tuple(BASELINE_FEATURES),
                  linear: Sequence[str] = tuple(LINEAR_FEATURES), key: str = "device") -> DataFrame:
