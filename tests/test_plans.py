@@ -2,7 +2,8 @@
 
 import pytest
 
-from __spark_entry__ import entry, oracle_sql, queries
+from __spark_entry__ import entry
+from fluxprint.plans import ORACLES, QUERIES
 
 SF = "/root/testdata/sf0.001"
 
@@ -15,8 +16,8 @@ EAGER = ("d14", "d15", "e6", "e8", "e9", "e10", "a9", "f_feature", "f3_median",
 
 
 def test_every_oracle_has_a_query():
-    assert set(oracle_sql()) <= set(queries())
-    assert set(queries()) - set(oracle_sql()) == {"e10_injected_changes"}
+    assert set(ORACLES) <= set(QUERIES)
+    assert set(QUERIES) - set(ORACLES) == {"e10_injected_changes"}
 
 
 def test_entry(spark):
@@ -24,9 +25,9 @@ def test_entry(spark):
     assert df.count() > 0 and {"device", "window_start", "deviation_score"} <= set(df.columns)
 
 
-@pytest.mark.parametrize("name", [n for n in queries() if not n.startswith(EAGER)])
+@pytest.mark.parametrize("name", [n for n in QUERIES if not n.startswith(EAGER)])
 def test_no_unkeyed_join_and_no_single_task_window(spark, name):
-    plan = queries()[name](spark, SF)._jdf.queryExecution().executedPlan().toString()
+    plan = QUERIES[name](spark, SF)._jdf.queryExecution().executedPlan().toString()
     if name in ALLOWED:
         return
     assert "CartesianProduct" not in plan and "BroadcastNestedLoopJoin" not in plan
@@ -41,4 +42,4 @@ def test_no_unkeyed_join_and_no_single_task_window(spark, name):
 def test_agrees_with_sql(spark, name):
     from check_oracle import connect, difference
 
-    assert difference(queries()[name](spark, SF), connect(SF), oracle_sql()[name]) is None
+    assert difference(QUERIES[name](spark, SF), connect(SF), ORACLES[name]) is None
