@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from fluxprint.llm import langid, ring, warc
+from fluxprint.llm import langid, mixing, ring, templates, warc
 from fluxprint.llm.common import read, text_bytes
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -56,3 +56,13 @@ def op9_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     back = warc.round_trip(read(spark, sf_dir, "pages"))
     checked = back.withColumn("payload_digest", F.when(F.col("digest_ok"), F.col("payload_digest")).otherwise(F.raise_error(F.lit("digest does not match"))))
     return checked.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+
+
+@query("op8_template_decontamination")
+def op8_template_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return templates.leaks(read(spark, sf_dir, "documents"), read(spark, sf_dir, "benchmark"))
+
+
+@query("op3_soft_mixing")
+def op3_soft_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.rates(read(spark, sf_dir, "documents"), read(spark, sf_dir, "labels"))
