@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from fluxprint.llm import kneser, langid, mixing, ring, templates, warc
+from fluxprint.llm import darts, kneser, langid, mixing, ring, templates, warc
 from fluxprint.llm.common import read, text_bytes
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -71,3 +71,8 @@ def op3_soft_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("op10_kneser_ney_quality")
 def op10_kneser_ney_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return kneser.judged(read(spark, sf_dir, "documents"), read(spark, sf_dir, "labels"))
+
+
+@query("op6_dart_minhash")
+def op6_dart_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return darts.classes(read(spark, sf_dir, "documents"))
