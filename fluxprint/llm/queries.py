@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from fluxprint.llm import darts, kneser, langid, mixing, ring, templates, warc
+from fluxprint.llm import darts, itq, kneser, langid, mixing, ring, templates, warc
 from fluxprint.llm.common import read, text_bytes
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -76,3 +76,8 @@ def op10_kneser_ney_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("op6_dart_minhash")
 def op6_dart_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return darts.classes(read(spark, sf_dir, "documents"))
+
+
+@query("op7_itq")
+def op7_itq(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return itq.near_vectors(read(spark, sf_dir, "embeddings"))
