@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from fluxprint.llm import darts, itq, kneser, langid, mixing, ring, templates, warc
+from fluxprint.llm import darts, itq, kneser, langid, mixing, ring, templates, trust, warc
 from fluxprint.llm.common import read, text_bytes
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -81,3 +81,8 @@ def op6_dart_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("op7_itq")
 def op7_itq(spark: SparkSession, sf_dir: str) -> DataFrame:
     return itq.near_vectors(read(spark, sf_dir, "embeddings"))
+
+
+@query("op1_link_trust")
+def op1_link_trust(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return trust.judged(read(spark, sf_dir, "pages"))
