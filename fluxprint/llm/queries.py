@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from fluxprint.llm import darts, itq, kneser, langid, mixing, ring, templates, trust, warc
+from fluxprint.llm import darts, itq, kneser, langid, mixing, repeats, ring, templates, trust, warc
 from fluxprint.llm.common import read, text_bytes
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -86,3 +86,10 @@ def op7_itq(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("op1_link_trust")
 def op1_link_trust(spark: SparkSession, sf_dir: str) -> DataFrame:
     return trust.judged(read(spark, sf_dir, "pages"))
+
+
+@query("op4_run_length_repeats")
+def op4_run_length_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
+    cut = repeats.without_repeats(read(spark, sf_dir, "documents"))
+    removed = F.expr("aggregate(spans, 0L, (n, s) -> n + s.end - s.start)")
+    return cut.select("doc_id", "n_bytes", removed.alias("n_removed"), F.size("spans").cast("bigint").alias("n_spans"), F.sha2("kept", 256).alias("kept_sha256"))
