@@ -25,7 +25,8 @@ UNKNOWN = "und"
 def letters(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
     """Code points of the texts, lower-cased, runs of other characters as one 0; and each text's offsets.
 
-    Each text is framed by zeros, so that n-grams see where words begin and end.
+    A text begins with a 0 after the 0 that ends the one before, so that n-grams see where words
+    begin and end and never reach into another text.
     """
     whole = "\n".join(texts).lower()
     points = np.frombuffer(whole.encode("utf-32-le", "surrogatepass"), np.uint32)
@@ -38,7 +39,8 @@ def letters(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
     symbols = np.append(symbols, np.uint32(0))
     keep = flag_or_first(symbols)
     count = np.concatenate(([0], np.cumsum(keep)))
-    return symbols[keep], count[at]
+    at = count[at]
+    return np.insert(symbols[keep], at[:-1], 0), at + np.arange(len(at))
 
 
 def flag_or_first(symbols: np.ndarray) -> np.ndarray:
