@@ -209,7 +209,7 @@ def judged(docs: DataFrame, labels: DataFrame, order: int = ORDER) -> DataFrame:
     """
     trusted = materialize(labels.filter("quality = 1 and doc_id is not null").select("doc_id").distinct(), "trusted")
     raw = materialize(scored(docs, join_ids(docs.select("doc_id", "text"), trusted, "left_semi"), order), "nll")
-    known = raw.join(trusted.withColumn("trust", F.lit(True)), "doc_id", "left").withColumn("mean", F.col("nll") / F.col("n_bytes"))
+    known = raw.join(trusted.withColumn("trust", F.lit(True)), "doc_id", "left").withColumn("mean", F.expr("nll / nullif(n_bytes, 0)"))
     known = materialize(known.select("doc_id", "lang", "n_bytes", "mean", F.coalesce("trust", F.lit(False)).alias("trust")), "nll-trust")
     middle = _by_language(known, F.col("mean"), [0.5])
     full = _with_language(known, middle).withColumn(
