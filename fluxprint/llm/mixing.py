@@ -4,8 +4,9 @@ A softmax regression over hashed words and a few marks of style, fitted on a bou
 the labelled table, gives each document a posterior over the domains, the classes of that
 table. Projected-gradient least squares then fits a rate per document within [0, max_rate], so
 that the expected tokens of each domain, the sum of rate x tokens x posterior, match their
-targets. A step needs one row of sums over all documents: the rates themselves are never
-gathered, as the rate of a document follows from its own row and the few gradients so far.
+targets. The projection is lazy: the gradients add up in one number per domain, and the rate of a
+document is 1 less its tokens' share of them, cut to the range, which also is the rate nearest to 1.
+So a step needs one row of sums over all documents, and rates are never gathered or stored.
 """
 
 from __future__ import annotations
@@ -126,17 +127,8 @@ def _rows(batch: pa.RecordBatch, k: int) -> np.ndarray:
     return batch.column(1).to_numpy()[:, None] * batch.column(2).flatten().to_numpy().reshape(-1, k)
 
 
-def _rates(a: np.ndarray, gradients: np.ndarray, max_rate: float) -> np.ndarray:
-    """Rates after the given steps: accelerated projected gradient, from rates of 1."""
-    r = ahead = np.ones(len(a))
-    for t, g in enumerate(gradients):
-        last, r = r, np.clip(ahead - a @ g, 0, max_rate)
-        ahead = r + _momentum(t) * (r - last)
-    return r
-
-
-def _momentum(t: int) -> float:
-    return t / (t + 3)
+def _rates(a: np.ndarray, pull: np.ndarray, max_rate: float) -> np.ndarray:
+    return np.clip(1 - a @ pull, 0, max_rate)
 
 
 def rates(docs: DataFrame, labels: DataFrame, targets: dict[str, float] | None = None, max_rate: float = 1.0, sample: int = SAMPLE) -> DataFrame:
@@ -150,17 +142,17 @@ def rates(docs: DataFrame, labels: DataFrame, targets: dict[str, float] | None =
     domains, weights = fit(docs, labels, sample)
     k = weights.shape[1]
     table = materialize(posteriors(docs, (domains, weights)), "posteriors")
-    gradients = np.zeros((0, k))
+    pull = np.zeros(k)
     if domains:
         a = [F.col("tokens") * F.col("posterior")[i] for i in range(k)]
         sums = table.agg(*[F.sum(x) for x in a], *[F.sum(a[i] * a[j]) for i in range(k) for j in range(k)]).first()
         have = np.array([x or 0.0 for x in sums[:k]])
         gram = np.array([x or 0.0 for x in sums[k:]]).reshape(k, k)
-        gradients = descend(table, have, gram, goals(domains, have, targets or TARGETS, max_rate), max_rate)
+        pull = descend(table, have, gram, goals(domains, have, targets or TARGETS, max_rate), max_rate)
 
     def apply(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            r = _rates(_rows(batch, k), gradients, max_rate)
+            r = _rates(_rows(batch, k), pull, max_rate)
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(r)], names=[*batch.schema.names, "rate"])
 
     chance = F.pmod(F.xxhash64(F.lit("copies"), F.col("doc_id")), F.lit(1 << 20)) / float(1 << 20)
@@ -177,27 +169,39 @@ def goals(domains: list[str], have: np.ndarray, targets: dict[str, float], max_r
 
 
 def descend(table: DataFrame, have: np.ndarray, gram: np.ndarray, goal: np.ndarray, max_rate: float) -> np.ndarray:
-    """Gradients of the steps taken. In the norm of the inverse Gram matrix the step length is 1."""
+    """The sum of the gradient steps, one number per domain.
+
+    A step is measured by the inverse Gram matrix of the documents whose rates can still move, with a
+    hundredth of that of all, and halved where it would not lessen the miss.
+    """
     k = len(have)
-    metric = np.linalg.pinv(gram, rcond=1e-10)
-    gradients = np.zeros((0, k))
-    now = ahead = have
-    for step in range(STEPS):
+    inverse = lambda m: np.linalg.pinv(m, rcond=1e-12, hermitian=True)
+    norm = inverse(gram)
+    pull, now, moving = np.zeros(k), have, gram
+    step = inverse(gram) @ (now - goal)
+    for _ in range(STEPS):
         if np.abs(now - goal).max() <= CLOSE * max(goal.max(), 1.0):
             break
-        gradients = np.vstack((gradients, metric @ (ahead - goal)))
 
-        def total(batches: Iterator[pa.RecordBatch], steps: np.ndarray = gradients) -> Iterator[pa.RecordBatch]:
-            part = np.zeros(k)
+        def total(batches: Iterator[pa.RecordBatch], pull: np.ndarray = pull + step) -> Iterator[pa.RecordBatch]:
+            part, square = np.zeros(k), np.zeros((k, k))
             for batch in batches:
                 rows = _rows(batch, k)
-                part += _rates(rows, steps, max_rate) @ rows
-            yield pa.RecordBatch.from_pydict({f"t{i}": [part[i]] for i in range(k)})
-
-        sums = table.mapInArrow(total, ", ".join(f"t{i} double" for i in range(k))).agg(*[F.sum(f"t{i}") for i in range(k)]).first()
-        last, now = now, np.array([x or 0.0 for x in sums])
-        ahead = now + _momentum(step) * (now - last)  # totals are linear in the rates
-    return gradients
+                rate = _rates(rows, pull, max_rate)
+                part += rate @ rows
+                free = rows[(rate > 0) & (rate < max_rate)]
+                square += free.T @ free
+            yield pa.RecordBatch.from_pydict({f"t{i}": [x] for i, x in enumerate([*part, *square.ravel()])})
+
+        width = k + k * k
+        sums = table.mapInArrow(total, ", ".join(f"t{i} double" for i in range(width))).agg(*[F.sum(f"t{i}") for i in range(width)]).first()
+        there = np.array([x or 0.0 for x in sums[:k]])
+        if (there - goal) @ norm @ (there - goal) < (now - goal) @ norm @ (now - goal):
+            pull, now, moving = pull + step, there, np.array([x or 0.0 for x in sums[k:]]).reshape(k, k)
+            step = inverse(moving + 0.01 * gram) @ (now - goal)
+        else:
+            step = step / 2
+    return pull
 
 
 def mix(docs: DataFrame, labels: DataFrame, targets: dict[str, float] | None = None) -> DataFrame:
