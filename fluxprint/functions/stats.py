@@ -7,6 +7,8 @@ from collections.abc import Callable, Mapping, Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from fluxprint.session import materialize
+
 
 # D2
 def entropy_of_counts(n: Column) -> Column:
@@ -52,67 +54,43 @@ def percentiles_nearest(rows: DataFrame, keys: Sequence[str], value: str, fracti
 
 
 def order_statistics(rows: DataFrame, keys: Sequence[str], value: str,
-                     ranks: Mapping[str, Callable[[Column], Column]],
-                     cells: int = 4096, levels: int = 2) -> DataFrame:
+                     ranks: Mapping[str, Callable[[Column], Column]]) -> DataFrame:
     """Exact values at given ranks of groups of any size; one row per group.
 
-    Rows are first folded to ``(keys, value, count)``. Each level then cuts the
-    value range of what is left into ``cells`` equal cells, counts them, and
-    keeps only the cells that hold a wanted rank, so what is finally sorted in
-    one task is about ``1 / cells**levels`` of a group's value range. Cell
-    borders come from minima and maxima, so a recomputed task gets the same ones.
+    Rows are folded to ``(keys, value, count)``, dealt out once by ranges of (keys, value) and
+    stored, so that a group of any size is spread over as many ranges as it needs. The counts per
+    (keys, range), a few rows, tell which range holds each wanted rank; only rows of those ranges
+    are looked at again, each range in its order.
     """
-    if not keys:
-        # one group is a group like any other: a computed key, not a join without one
-        keyed = rows.withColumn("_all", F.pmod(F.hash(value), F.lit(1)))
-        return order_statistics(keyed, ["_all"], value, ranks, cells, levels).drop("_all")
-    keys = list(keys)
-    v = F.col("_v")
+    keys, v = list(keys), F.col("_v")
     folded = (rows.filter(F.col(value).isNotNull()).withColumn("_v", F.col(value).cast("double"))
               .groupBy(*keys, "_v").agg(F.count(F.lit(1)).alias("_n")))
-    totals = folded.groupBy(*keys).agg(F.sum("_n").alias("n"), F.min("_v").alias("_lo"), F.max("_v").alias("_hi"))
-    wanted = totals.select(*keys, F.explode(F.array(*[
-        F.struct(F.lit(name).alias("name"), make(F.col("n")).cast("bigint").alias("rank"))
-        for name, make in ranks.items()])).alias("_w")).select(*keys, "_w.name", "_w.rank")
-
-    frame = _null_safe(folded, totals.drop("n"), keys)
-    group = list(keys)
-    for level in range(levels):
-        cell = f"_cell{level}"
-        # asinh spreads heavy tails over the first level's cells
-        scale = F.asinh if level == 0 else (lambda c: c)
-        width = scale(F.col("_hi")) - scale(F.col("_lo"))
-        share = (scale(v) - scale(F.col("_lo"))) / width
-        frame = frame.withColumn(cell, F.when(width > 0, F.least(F.lit(cells - 1), F.floor(share * cells)))
-                                 .otherwise(F.lit(0)).cast("int"))
-        counts = frame.groupBy(*group, cell).agg(
-            F.sum("_n").alias("_c"), F.min("_v").alias("_clo"), F.max("_v").alias("_chi"))
-        counts = counts.withColumn("_before", F.sum("_c").over(
-            Window.partitionBy(*group).orderBy(cell).rowsBetween(Window.unboundedPreceding, -1)))
-        counts = counts.withColumn("_before", F.coalesce("_before", F.lit(0)))
-        hits = _null_safe(wanted, counts, group).filter(
-            (F.col("rank") >= F.col("_before")) & (F.col("rank") < F.col("_before") + F.col("_c")))
-        wanted = hits.select(*group, cell, "name", (F.col("rank") - F.col("_before")).alias("rank"))
-        kept = hits.select(*group, cell, F.col("_clo").alias("_lo"), F.col("_chi").alias("_hi")).distinct()
-        frame = _null_safe(frame.drop("_lo", "_hi"), kept, [*group, cell])
-        group.append(cell)
-    upto = F.sum("_n").over(Window.partitionBy(*group).orderBy("_v").rowsBetween(Window.unboundedPreceding, 0))
-    placed = frame.withColumn("_upto", upto)
-    found = _null_safe(wanted, placed.select(*group, "_v", "_n", "_upto"), group).filter(
+    dealt = materialize(folded.repartitionByRange(*keys, "_v").withColumn("_range", F.spark_partition_id()), "order-statistics")
+    parts = dealt.groupBy(*keys, "_range").agg(F.sum("_n").alias("_c"))
+    group = Window.partitionBy(*keys)
+    placed = parts.withColumns({
+        "_before": F.sum("_c").over(group.orderBy("_range").rowsBetween(Window.unboundedPreceding, 0)) - F.col("_c"),
+        "n": F.sum("_c").over(group)})
+    wanted = placed.select(*keys, "_range", "_before", "_c", "n", F.explode(F.array(*[
+        F.struct(F.lit(name).alias("name"), make(F.col("n")).cast("bigint").alias("rank")) for name, make in ranks.items()])).alias("_w")) \
+        .select(*keys, "_range", "n", "_w.name", (F.col("_w.rank") - F.col("_before")).alias("rank"), "_c") \
+        .filter((F.col("rank") >= 0) & (F.col("rank") < F.col("_c"))).drop("_c")
+    held = _null_safe(dealt, wanted.select(*keys, "_range").distinct(), [*keys, "_range"])
+    upto = F.sum("_n").over(Window.partitionBy(*keys, "_range").orderBy("_v").rowsBetween(Window.unboundedPreceding, 0))
+    found = _null_safe(held.withColumn("_upto", upto), wanted, [*keys, "_range"]).filter(
         (F.col("rank") < F.col("_upto")) & (F.col("rank") >= F.col("_upto") - F.col("_n")))
-    values = found.groupBy(*keys).agg(
-        *[F.max(F.when(F.col("name") == name, v)).alias(name) for name in ranks])
-    return _null_safe(totals.select(*keys, "n"), values, keys)
+    values = found.groupBy(*keys).agg(F.max("n").alias("n"), *[F.max(F.when(F.col("name") == name, v)).alias(name) for name in ranks])
+    return values.filter("n is not null").select(*keys, "n", *ranks)
 
 
 # D8
-def quantiles(rows: DataFrame, keys: Sequence[str], value: str, fractions: Mapping[str, float], levels: int = 2) -> DataFrame:
+def quantiles(rows: DataFrame, keys: Sequence[str], value: str, fractions: Mapping[str, float]) -> DataFrame:
     """Exact interpolated (type 7) quantiles of groups of any size."""
     ranks: dict[str, Callable[[Column], Column]] = {}
     for name, f in fractions.items():
         ranks["_f_" + name] = lambda n, f=f: F.floor(F.lit(float(f)) * (n - 1))
         ranks["_c_" + name] = lambda n, f=f: F.ceil(F.lit(float(f)) * (n - 1))
-    found = order_statistics(rows, keys, value, ranks, levels=levels)
+    found = order_statistics(rows, keys, value, ranks)
     n = F.col("n")
 
     def between(name: str, f: float) -> Column:
