@@ -50,7 +50,7 @@ def certificate_names(subject: Column) -> Column:
     """Host-shaped common names of a certificate subject, as an array."""
     parts = F.transform(F.split(subject, ","), lambda p: F.trim(p))
     named = F.filter(parts, lambda p: p.startswith("CN="))
-    bare = F.transform(named, lambda p: F.regexp_replace(F.lower(F.trim(F.substring(p, 4, 1_000_000))), r"^[*.]+", ""))
+    bare = F.transform(named, lambda p: F.regexp_replace(F.lower(F.trim(F.substr(p, F.lit(4)))), r"^[*.]+", ""))
     return F.filter(bare, lambda n: looks_like_hostname(n))
 
 

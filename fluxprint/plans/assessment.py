@@ -187,14 +187,14 @@ def _(spark, sf):
 
 
 @query("h2_component_maximum", f"""WITH {EMBED}, c AS (
-  SELECT vec_id, label, (SELECT avg(x) FROM (SELECT unnest(list_sort(list(z) FILTER (WHERE pos < 32), 'DESC')[1:3]) AS x)) AS a,
-    CASE WHEN vec_id % 5 <> 0 THEN (SELECT avg(x) FROM (SELECT unnest(list_sort(list(z) FILTER (WHERE pos >= 32), 'DESC')[1:3]) AS x)) END AS b
-  FROM s GROUP BY vec_id, label), n AS (SELECT label, avg(a) AS na, avg(b) AS nb FROM c GROUP BY label)
+  SELECT vec_id, label, (SELECT avg(x) FROM (SELECT unnest(list_sort(list(z) FILTER (WHERE pos < half), 'DESC')[1:3]) AS x)) AS a,
+    CASE WHEN vec_id % 5 <> 0 THEN (SELECT avg(x) FROM (SELECT unnest(list_sort(list(z) FILTER (WHERE pos >= half), 'DESC')[1:3]) AS x)) END AS b
+  FROM (SELECT *, count(*) OVER (PARTITION BY vec_id) // 2 AS half FROM s) GROUP BY vec_id, label), n AS (SELECT label, avg(a) AS na, avg(b) AS nb FROM c GROUP BY label)
   SELECT vec_id, {r('greatest(a / na, b / nb)')} AS score FROM c JOIN n USING (label)""")
 def _(spark, sf):
     rows = residual_scores(spark, sf).select(
-        "vec_id", "label", residuals.top_k_mean(F.slice("z", 1, 32)).alias("a"),
-        F.when(F.col("vec_id") % 5 != 0, residuals.top_k_mean(F.slice("z", 33, 32))).alias("b"))
+        "vec_id", "label", residuals.top_k_mean(F.expr("slice(z, 1, size(z) div 2)")).alias("a"),
+        F.when(F.col("vec_id") % 5 != 0, residuals.top_k_mean(F.expr("slice(z, size(z) div 2 + 1, size(z))"))).alias("b"))
     scale = rows.groupBy("label").agg(F.avg("a").alias("na"), F.avg("b").alias("nb"))
     return rows.join(scale, "label").select("vec_id", residuals.normalised_maximum(["a", "b"], ["na", "nb"]).alias("score"))
 
@@ -230,7 +230,7 @@ bad AS (SELECT window_start, device, CASE WHEN n % 13 = 0 THEN NULL ELSE behavio
 
 def recorded_scores(spark: SparkSession, sf: str) -> DataFrame:
     """Scores as someone recorded them, with flipped flags and lost values."""
-    n = F.substring("device", 2, 20).cast("int")
+    n = F.substr("device", F.lit(2)).cast("int")
     return P.scores(spark, sf).withColumns({
         "behavioral_score": F.when(n % 13 != 0, F.col("behavioral_score")),
         "behavioral_flag": F.when(n % 7 == 0, ~F.col("behavioral_flag")).otherwise(F.col("behavioral_flag")),
@@ -252,7 +252,7 @@ def _(spark, sf):
   UNION ALL SELECT window_start, device, 'behavioral_score_availability' FROM bad WHERE device[2:]::INT % 19 <> 3 AND device[2:]::INT % 13 = 0"""
     ).replace("\nSELECT window_start", "," + RECORDED + "\nSELECT window_start", 1))
 def _(spark, sf):
-    actual = recorded_scores(spark, sf).filter(F.substring("device", 2, 20).cast("int") % 19 != 3)
+    actual = recorded_scores(spark, sf).filter(F.substr("device", F.lit(2)).cast("int") % 19 != 3)
     return residuals.parity(P.scores(spark, sf), actual, ["window_start", "device"], [
         ("behavioral_score", "behavioral_flag"), ("link_anomaly", "link_flag")])
 
@@ -610,7 +610,7 @@ def _(spark, sf):
     d = d.unionByName(d.filter(n % 6 == 0)).withColumn("device_type", F.when(n % 8 == 1, "toaster").otherwise(F.col("device_type")))
     d = d.withColumn("mac", F.when(n % 2 == 0, F.col("mac")))
     leases = A.leases(spark, sf)
-    m = F.substring("device", 2, 20).cast("int")
+    m = F.substr("device", F.lit(2)).cast("int")
     leases = leases.withColumn("lease_end", F.when(m % 5 == 2, F.col("lease_start")).otherwise(F.col("lease_end")))
     return validation.inventory(d.drop("id"), leases, A.START, A.END, W)
 
@@ -676,7 +676,7 @@ def _(spark, sf):
   UNION ALL SELECT device, 'invalid_port' FROM dev WHERE id % 2 = 0 AND id % 7 = 0"""))
 def _(spark, sf):
     p = P.permissions(spark, sf)
-    n = F.substring("initiator", 2, 20).cast("int")
+    n = F.substr("initiator", F.lit(2)).cast("int")
     e = P.external_rules(spark, sf)
     e = e.withColumns({"fqdn": F.when(F.col("network").isNotNull() & (n % 4 == 0), "x.example.net").otherwise(F.col("fqdn")),
                        "service_port": F.when(F.col("network").isNotNull() & (n % 7 == 0), 0).otherwise(F.col("service_port"))})
@@ -688,7 +688,7 @@ def _(spark, sf):
   UNION ALL SELECT device, direction, 'counts_do_not_sum' FROM tot WHERE device[2:]::INT % 3 <> 0 AND device[2:]::INT % 10 = 0 AND direction = 'in'"""))
 def _(spark, sf):
     counts = D.flow_profile(D.peer_services(V.minutes(spark, sf)).filter(F.col("window_start") < A.TRAIN_END))
-    n = F.substring("device", 2, 20).cast("int")
+    n = F.substr("device", F.lit(2)).cast("int")
     totals = counts.groupBy("device", "direction").agg(F.sum("seen").alias("total"))
     totals = totals.withColumn("total", F.when((n % 10 == 0) & (F.col("direction") == "in"), -1).when(n % 3 == 0, F.col("total") + 1).otherwise(F.col("total")))
     return validation.flow_profile(counts, totals)

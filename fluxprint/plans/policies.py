@@ -156,7 +156,7 @@ def _(spark, sf):
     k = F.col("k")
     ssl = views.select("orig_h", F.when(k % 3 == 0, "-").otherwise(F.concat(F.lit("API"), (k % 6).cast("string"), F.lit(".example.com")))
                        .alias("server_name"), F.concat(F.lit("F"), (k % 12).cast("string"), F.lit(",CA1")).alias("cert_chain_fuids"))
-    n = F.substring("id", 2, 9).cast("int")
+    n = F.substr("id", F.lit(2)).cast("int")
     x509 = ssl.select(F.explode(F.split("cert_chain_fuids", ",")).alias("id")).distinct().withColumn("certificate.subject", F.when(
         F.col("id") == "CA1", "CN=Example Class 3 CA - G4,O=Example").when(n % 4 == 0, "O=None").otherwise(
         F.concat(F.lit("O=Example, CN=*.CDN"), n.cast("string"), F.lit(".example.net"))))
@@ -224,15 +224,15 @@ def _(spark, sf):
 
 
 PAGES = """
-pg AS (SELECT page_id, regexp_extract(url, '^https?://([^/]+)/', 1) AS host, regexp_extract(url, '^https?://[^/]+/([a-z]+)/', 1) AS device,
+pg AS (SELECT page_id, regexp_extract(url, '^https?://([^/]+)/', 1) AS host, coalesce(nullif(regexp_extract(url, '^https?://[^/]+/([a-z]+)/', 1), ''), 'other') AS device,
         starts_with(url, 'https') AS secure FROM pages),
-fd AS (SELECT DISTINCT device, 'domain' AS kind, host[strpos(host, '.') + 1:] AS fact FROM pg WHERE NOT secure AND device <> ''),
-fp AS (SELECT DISTINCT device, 'port' AS kind, 'tcp/' || (page_id % 50) AS fact FROM pg WHERE NOT secure AND device <> ''),
-fn AS (SELECT DISTINCT device, 'network' AS kind, '10.' || (page_id % 20) || '.0.0/16' AS fact FROM pg WHERE NOT secure AND device <> ''),
-onm AS (SELECT DISTINCT device, host AS name FROM pg WHERE secure AND device <> ''),
-opt AS (SELECT DISTINCT device, 'tcp/' || (page_id % 40) AS port FROM pg WHERE secure AND device <> ''),
+fd AS (SELECT DISTINCT device, 'domain' AS kind, host[strpos(host, '.') + 1:] AS fact FROM pg WHERE NOT secure),
+fp AS (SELECT DISTINCT device, 'port' AS kind, 'tcp/' || (page_id % 50) AS fact FROM pg WHERE NOT secure),
+fn AS (SELECT DISTINCT device, 'network' AS kind, '10.' || (page_id % 20) || '.0.0/16' AS fact FROM pg WHERE NOT secure),
+onm AS (SELECT DISTINCT device, host AS name FROM pg WHERE secure),
+opt AS (SELECT DISTINCT device, 'tcp/' || (page_id % 40) AS port FROM pg WHERE secure),
 oad AS (SELECT DISTINCT device, CASE WHEN page_id % 3 = 1 THEN '10.' || (page_id % 30) || '.1.1' ELSE '8.8.' || (page_id % 30) || '.1' END AS address
-        FROM pg WHERE secure AND device <> ''),
+        FROM pg WHERE secure),
 rel AS (SELECT DISTINCT d.device, fact AS domain, name FROM fd d JOIN onm o ON o.device = d.device AND (fact = name
         OR ends_with(name, '.' || fact) OR ends_with(fact, '.' || name))),
 mt AS (
@@ -250,11 +250,11 @@ rd AS (
 
 
 def page_endpoints(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame]:
-    """Facts from plain pages, observed names, ports and addresses from secure ones; the device is the language path."""
+    """Facts from plain pages, observed names, ports and addresses from secure ones; the device is the language path, or ``other``."""
     p = A.table(spark, sf, "pages").select(
         "page_id", F.regexp_extract("url", r"^https?://([^/]+)/", 1).alias("host"),
-        F.regexp_extract("url", r"^https?://[^/]+/([a-z]+)/", 1).alias("device"), F.col("url").startswith("https").alias("secure")
-    ).filter(F.col("device") != "")
+        F.expr(r"coalesce(nullif(regexp_extract(url, '^https?://[^/]+/([a-z]+)/', 1), ''), 'other')").alias("device"),
+        F.col("url").startswith("https").alias("secure"))
     n = F.col("page_id")
     facts = p.filter(~F.col("secure")).select("device", F.explode(F.array(
         F.struct(F.lit("domain").alias("kind"), F.expr("substring(host, instr(host, '.') + 1)").alias("fact")),
@@ -428,7 +428,7 @@ def _(spark, sf):
     "WITH inv AS", ", inv AS", 1)))
 def _(spark, sf):
     s = scores(spark, sf)
-    n = F.substring("device", 2, 20).cast("int")
+    n = F.substr("device", F.lit(2)).cast("int")
     given = s.filter(n % 8 != 0).unionByName(s.filter(n % 10 == 1))
     return evidence.evidence_violations(s.filter(n % 9 != 0), given)
 

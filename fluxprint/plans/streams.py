@@ -66,7 +66,7 @@ def _(spark, sf):
 @query("k1_interval_telemetry_stream", f"WITH {K1_BASE}, {K1} SELECT * FROM k1 WHERE window_start + {W} <= (SELECT max(t) FROM conn) - {LATE}")
 def _(spark, sf):
     rows = packets(A.connections(spark, sf, event_stream(spark, sf)))
-    sink = telemetry.IntervalTelemetry(new_tables(spark, "intervals"), W, retain=6 * A.DAY)
+    sink = telemetry.IntervalTelemetry(new_tables(spark, "intervals"), W)
     drain(telemetry.closed_sums(rows, W, f"{LATE} seconds"), sink.process, f"{sink.tables.root}/checkpoint")
     return sink.tables.all(spark, "telemetry")
 
@@ -242,4 +242,4 @@ def _(spark, sf):
     closed, fates = ledger.deadline_join(branches(A.connections(spark, sf)), TIMEOUT)
     opened = closed.filter(F.col("opened_at") <= A.TRAIN_END).withColumn("status", F.lit("open"))
     held = fates.filter("fate = 'accepted'").select("observation", "branch")
-    return ledger.close_ready(spark, opened, held, float(A.TRAIN_END))
+    return ledger.close_ready(opened, held, float(A.TRAIN_END))

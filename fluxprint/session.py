@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import os
-import tempfile
+import re
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
@@ -33,21 +33,26 @@ def configure(spark: SparkSession) -> SparkSession:
     return spark
 
 
-_LOCAL_DIRS: dict[str, str] = {}
-
-
 def shared_dir(spark: SparkSession) -> str:
     """Folder that every executor sees: ``spark.checkpoint.dir`` of the session.
 
-    Only where the session names none (a test) a new local folder is made, one
-    per application.
+    A session on one machine (``local[...]``) that names none uses Spark's own local
+    folder; any other has to name one, as files of one executor would be missing to the rest.
+    Tables of a run lie in a folder of its own, which :func:`clear` deletes.
     """
-    chosen = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
+    context = spark.sparkContext
+    chosen = spark.conf.get("spark.checkpoint.dir", None) or context.getConf().get("spark.checkpoint.dir")
     if not chosen:
-        app = spark.sparkContext.applicationId
-        chosen = _LOCAL_DIRS.setdefault(app, "") or tempfile.mkdtemp(prefix="fluxprint-")
-        _LOCAL_DIRS[app] = chosen
-    return chosen.rstrip("/")
+        if not re.match(r"local(\[|$)", context.master):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        chosen = context.getConf().get("spark.local.dir") or spark.sparkContext._jvm.System.getProperty("java.io.tmpdir")
+    return f"{chosen.rstrip('/')}/fluxprint-{context.applicationId}"
+
+
+def clear(spark: SparkSession) -> bool:
+    """Delete all tables that this application has stored; frames that read them can't be used afterwards."""
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(shared_dir(spark))
+    return path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
 
 
 def materialize(df: DataFrame, name: str) -> DataFrame:

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from fluxprint.streaming.state import VersionedTables
@@ -12,34 +12,42 @@ from fluxprint.streaming.state import VersionedTables
 BRANCHES = ["gnn", "mud"]
 
 
+INGEST_SLICE = 3600.0
+
+
 # K4
 def classify_ingest(arrivals: DataFrame) -> DataFrame:
     """Accepted, replayed, conflicting or out-of-order windows of each stream.
 
     ``arrivals``: ``stream, window_start, payload_hash, at``. Time must move on:
-    exactly the strict running maxima of ``window_start`` are accepted. A stream
-    is one sensor session, so its rows are bounded by its windows.
+    exactly the strict running maxima of ``window_start`` are accepted. The running
+    maximum is taken within slices of arrival time and carried over them by one row
+    per slice, so no task holds a whole stream; an accepted window is known for ever.
     """
-    before = Window.partitionBy("stream").orderBy("at", "payload_hash").rowsBetween(Window.unboundedPreceding, -1)
-    top = F.max("window_start").over(before)
-    marked = arrivals.withColumn("_ok", top.isNull() | (F.col("window_start") > top))
-    known = F.max(F.when(F.col("_ok"), F.col("payload_hash"))).over(Window.partitionBy("stream", "window_start"))
-    status = (F.when(F.col("_ok"), "accepted").when(known.isNull(), "out_of_order")
-              .when(known == F.col("payload_hash"), "replay").otherwise("conflict"))
-    return marked.select(*arrivals.columns, status.alias("status"))
+    sliced = arrivals.withColumn("_slice", F.floor(F.col("at") / INGEST_SLICE))
+    tops = sliced.groupBy("stream", "_slice").agg(F.max("window_start").alias("_m"))
+    earlier = Window.partitionBy("stream").orderBy("_slice").rowsBetween(Window.unboundedPreceding, -1)
+    carried = tops.select("stream", "_slice", F.max("_m").over(earlier).alias("_carried"))
+    within = Window.partitionBy("stream", "_slice").orderBy("at", "payload_hash").rowsBetween(Window.unboundedPreceding, -1)
+    top = F.greatest("_carried", F.max("window_start").over(within))
+    marked = sliced.join(carried, ["stream", "_slice"]).withColumn("_top", top) \
+        .withColumn("_ok", F.col("_top").isNull() | (F.col("window_start") > F.col("_top")))
+    known = marked.filter("_ok").groupBy("stream", "window_start").agg(F.max("payload_hash").alias("_known"))
+    status = (F.when(F.col("_ok"), "accepted").when(F.col("_known").isNull(), "out_of_order")
+              .when(F.col("_known") == F.col("payload_hash"), "replay").otherwise("conflict"))
+    return marked.join(known, ["stream", "window_start"], "left").select(*arrivals.columns, status.alias("status"))
 
 
 @dataclass(frozen=True)
 class Ingest:
     """``foreachBatch`` form of :func:`classify_ingest`.
 
-    The accepted windows of the last ``retain`` seconds are the state, one row
-    per stream and window. They stand before the new rows, which therefore get
-    the fate they would have had in one run over everything.
+    The accepted windows are the state, one row per stream and window, whatever
+    their age. They stand before the new rows, which therefore get the fate they
+    would have had in one run over everything.
     """
 
     tables: VersionedTables
-    retain: int = 7 * 86_400
 
     def process(self, arrivals: DataFrame, batch_id: int) -> None:
         fresh = arrivals.withColumn("_new", F.lit(True))
@@ -48,10 +56,7 @@ class Ingest:
             fresh = fresh.unionByName(held.withColumn("_new", F.lit(False)))
         rows = self.tables.write(classify_ingest(fresh), "classified", batch_id)
         self.tables.write(rows.filter("_new").drop("_new"), "ingested", batch_id)
-        accepted = rows.filter("status = 'accepted'").drop("_new", "status")
-        top = accepted.groupBy("stream").agg(F.max("window_start").alias("_top"))
-        self.tables.write(accepted.join(top, "stream").filter(F.col("window_start") >= F.col("_top") - self.retain).drop("_top"),
-                          "accepted", batch_id)
+        self.tables.write(rows.filter("status = 'accepted'").drop("_new", "status"), "accepted", batch_id)
 
 
 def first_arrivals(arrivals: DataFrame, event_time: str, keys: list[str], within: str) -> DataFrame:
@@ -93,6 +98,11 @@ def deadline_join(arrivals: DataFrame, timeout: float) -> tuple[DataFrame, DataF
     open observation.
     """
     closed = close_times(arrivals, timeout)
+    return closed, fates_of(arrivals, closed)
+
+
+def fates_of(arrivals: DataFrame, closed: DataFrame) -> DataFrame:
+    """The fate of each branch arrival, given when its observation closed and by what."""
     rows = arrivals.filter(F.col("branch").isin(BRANCHES)).join(closed, "observation", "left")
     first_at = F.when(F.col("branch") == "gnn", F.col("gnn_at")).otherwise(F.col("mud_at"))
     first_hash = F.when(F.col("branch") == "gnn", F.col("gnn_hash")).otherwise(F.col("mud_hash"))
@@ -102,22 +112,22 @@ def deadline_join(arrivals: DataFrame, timeout: float) -> tuple[DataFrame, DataF
             .when(F.coalesce(is_first, F.lit(False)), "accepted")
             .when(~((at < closing) | ((at == closing) & ~F.col("partial"))), "late")
             .when(F.col("payload_hash") == first_hash, "duplicate").otherwise("conflict"))
-    return closed, rows.select(*arrivals.columns, fate.alias("fate"))
+    return rows.select(*arrivals.columns, fate.alias("fate"))
 
 
 @dataclass(frozen=True)
 class DeadlineJoin:
     """``foreachBatch`` form of :func:`deadline_join`.
 
-    State are the arrivals of observations that opened within ``retain``
-    seconds. Every arrival gets its fate in its own batch; an observation is
-    reported closed once event time, less ``lateness``, has reached its closing.
+    State are the arrivals of observations that have not closed, and one row per
+    closed observation (times and hashes), which is never forgotten: a branch that
+    comes after any time is late, and a repeated one is known. An observation is
+    closed once event time, less ``lateness``, has reached its closing.
     """
 
     tables: VersionedTables
     timeout: float
     lateness: float = 0.0
-    retain: float = 7 * 86_400.0
 
     def process(self, arrivals: DataFrame, batch_id: int) -> None:
         spark = arrivals.sparkSession
@@ -126,17 +136,19 @@ class DeadlineJoin:
         before = marks.first()[0] if marks is not None else None
         seen = arrivals.agg(F.max("at")).first()[0]     # one number: how far event time has come
         mark = max((x for x in (before, None if seen is None else seen - self.lateness) if x is not None), default=None)
-        rows = arrivals.withColumn("_new", F.lit(True))
+        past = self.tables.earlier(spark, "closed", batch_id)
+        fresh = arrivals if past is None else arrivals.join(past.select("observation"), "observation", "left_anti")
+        rows = fresh.withColumn("_new", F.lit(True))
         if held is not None:
             rows = rows.unionByName(held.withColumn("_new", F.lit(False)))
         closed, fates = deadline_join(rows, self.timeout)
-        self.tables.write(fates.filter("_new").drop("_new"), "fates", batch_id)
+        fates = fates.filter("_new").drop("_new")
+        if past is not None:
+            fates = fates.unionByName(fates_of(arrivals.join(past.select("observation"), "observation", "left_semi"), past))
+        self.tables.write(fates, "fates", batch_id)
         due = F.lit(False) if mark is None else F.col("closed_at") <= mark
-        done = F.lit(False) if before is None else F.col("closed_at") <= before
-        self.tables.write(closed.filter(due & ~done), "closed", batch_id)
-        live = rows.groupBy("observation").agg(F.max("at").alias("_newest")).filter(
-            F.lit(mark is None) | (F.col("_newest") >= F.lit(mark or 0.0) - self.retain))
-        self.tables.write(rows.drop("_new").join(live, "observation", "left_semi"), "held", batch_id)
+        done = self.tables.write(closed.filter(due), "closed", batch_id)
+        self.tables.write(rows.drop("_new").join(done.select("observation"), "observation", "left_anti"), "held", batch_id)
         self.tables.write(spark.createDataFrame([(mark,)], "mark double"), "mark", batch_id)
 
 
@@ -166,9 +178,9 @@ def status_counters(closed: DataFrame, fates: DataFrame, decisions: DataFrame, n
 
 
 # K10
-def close_ready(spark: SparkSession, observations: DataFrame, branches: DataFrame, now: float) -> DataFrame:
-    """Open observations that have both branches or whose deadline has passed."""
-    return spark.sql("""
-        SELECT o.observation, o.deadline FROM {observations} AS o LEFT JOIN {branches} AS b ON b.observation = o.observation
-        WHERE o.status = 'open' GROUP BY o.observation, o.deadline HAVING count(b.branch) = 2 OR o.deadline <= {now}
-        ORDER BY o.deadline, o.observation""", observations=observations, branches=branches, now=float(now))
+def close_ready(observations: DataFrame, branches: DataFrame, now: float) -> DataFrame:
+    """Open observations, with their deadlines, that need not wait: all branches are there, or time is up."""
+    complete = branches.filter(F.col("branch").isin(BRANCHES)).groupBy("observation") \
+        .agg(F.count_distinct("branch").alias("_present")).filter(F.col("_present") == len(BRANCHES))
+    waiting = observations.filter(F.col("status") == "open").join(complete, "observation", "left")
+    return waiting.filter(F.col("_present").isNotNull() | (F.col("deadline") <= now)).select("observation", "deadline")

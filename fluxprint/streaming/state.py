@@ -28,6 +28,12 @@ class VersionedTables:
         """What the previous batch left; nothing before the first."""
         return spark.read.parquet(self.path(name, version - 1)) if version > 0 else None
 
+    def earlier(self, spark: SparkSession, name: str, version: int) -> DataFrame | None:
+        """What all batches before this one wrote, each row once; nothing before the first."""
+        if version == 0:
+            return None
+        return spark.read.parquet(f"{self.root}/{name}").filter(f"version < {version}").drop("version")
+
     def all(self, spark: SparkSession, name: str) -> DataFrame:
         return spark.read.parquet(f"{self.root}/{name}").drop("version")
 

@@ -64,13 +64,12 @@ def closed_sums(packets: DataFrame, window: int, lateness: str) -> DataFrame:
 class IntervalTelemetry:
     """``foreachBatch`` sink for :func:`closed_sums`: adds the connection outcome.
 
-    Only a connection's earliest signals are state; a connection that sent
-    nothing for ``retain`` seconds is forgotten.
+    Only a connection's earliest signals are state, one row for each, however
+    long it is silent: a forgotten connection could turn from established to failed.
     """
 
     tables: VersionedTables
     window: int
-    retain: int = 86_400
 
     def process(self, sums: DataFrame, batch_id: int) -> None:
         spark = sums.sparkSession
@@ -80,13 +79,12 @@ class IntervalTelemetry:
         if known is not None:
             rows = rows.join(known.select("uid", *[F.col(s).alias("_" + s) for s in SIGNALS]), "uid", "left").withColumns(
                 {s: F.least(s, "_" + s) for s in SIGNALS})
-        done = self.tables.write(_outcome(rows, self.window), "telemetry", batch_id)
+        self.tables.write(_outcome(rows, self.window), "telemetry", batch_id)
         signals = sums.select("uid", "window_start", *SIGNALS)
         if known is not None:
             signals = signals.unionByName(known)
         held = signals.groupBy("uid").agg(F.max("window_start").alias("window_start"), *[F.min(s).alias(s) for s in SIGNALS])
-        newest = done.agg(F.max("window_start").alias("m")).scalar()
-        self.tables.write(held.filter(newest.isNull() | (F.col("window_start") >= newest - self.retain)), "signals", batch_id)
+        self.tables.write(held, "signals", batch_id)
 
 
 # K2

@@ -65,6 +65,34 @@ def test_deadline_literal(spark, tmp_path):
     assert rows(sink.tables.all(spark, "closed"), "observation", "closed_at") == [("w1", 110.0), ("w2", 124.0)]
 
 
+def test_no_answer_depends_on_a_clock(spark, tmp_path):
+    """Gaps of 30 days: stream and batch still agree."""
+    day = 86_400.0
+    data = [("w1", "window", "x", 0.0), ("w1", "gnn", "g", 1.0), ("w2", "window", "x", 30 * day), ("w1", "mud", "m", 30 * day + 1), ("w1", "gnn", "g", 60 * day),
+            ("w2", "mud", "m", 60 * day), ("w3", "gnn", "g", 90 * day)]
+    want = rows(ledger.deadline_join(spark.createDataFrame(data, ARRIVALS), 10.0)[1], "observation", "branch", "at", "fate")
+    sink = ledger.DeadlineJoin(VersionedTables(str(tmp_path / "join")), 10.0)
+    for i, row in enumerate(data):
+        sink.process(spark.createDataFrame([row], ARRIVALS), i)
+    assert rows(sink.tables.all(spark, "fates"), "observation", "branch", "at", "fate") == want
+    assert [w[3] for w in want if w[0] == "w1"] == ["accepted", "late", "late"]
+
+    schema = "stream string, window_start long, payload_hash string, at double"
+    data = [("s", 60, "a", 1.0), ("s", int(30 * day), "b", 30 * day), ("s", 60, "a", 60 * day), ("s", 60, "z", 60 * day + 1)]
+    ingest = ledger.Ingest(VersionedTables(str(tmp_path / "ingest")))
+    for i, row in enumerate(data):
+        ingest.process(spark.createDataFrame([row], schema), i)
+    assert [r[1] for r in rows(ingest.tables.all(spark, "ingested"), "at", "status")] == ["accepted", "accepted", "replay", "conflict"]
+
+
+
+def test_one_stream_is_cut_into_slices(spark):
+    data = [("s", w, f"h{w}", float(k)) for k, w in enumerate(range(0, 40_000, 2))] + [("s", 30, "x", 50_000.0)]
+    got = ledger.classify_ingest(spark.createDataFrame(data, "stream string, window_start long, payload_hash string, at double"))
+    assert {r["status"]: r["count"] for r in got.groupBy("status").count().collect()} == {"accepted": 20_000, "conflict": 1}
+    assert "hashpartitioning(stream#" in got._jdf.queryExecution().executedPlan().toString() and "_slice" in got._jdf.queryExecution().executedPlan().toString()
+
+
 def test_ingest_in_batches(spark, tmp_path):
     data = [("s", 60, "a", 1.0), ("s", 120, "b", 2.0), ("s", 60, "a", 3.0), ("s", 60, "z", 4.0), ("s", 0, "q", 5.0), ("s", 180, "c", 6.0)]
     schema = "stream string, window_start long, payload_hash string, at double"
