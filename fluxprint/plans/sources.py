@@ -8,8 +8,10 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from fluxprint.operators import profile
 from fluxprint.plans import adapters as A
-from fluxprint.plans.registry import query, r
+from fluxprint.plans import behaviour
+from fluxprint.plans.registry import ORACLES, query, r
 from fluxprint.session import shared_dir
 from fluxprint.sources import files, text_logs
 
@@ -104,3 +106,74 @@ def _(spark, sf):
     rows.write.partitionBy("event_type").json(path)
     schema = "uid string, orig_h string, resp_h string, timestamp double"
     return files.merged_events(spark, [path], schema, array=False).select("uid", "orig_h", "resp_h", "timestamp")
+
+
+def folder(spark: SparkSession, name: str) -> str:
+    return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
+
+
+@query("a4_evaluation_records", f"SELECT event_id, event_type, {r('value')} AS value FROM events")
+def _(spark, sf):
+    path = folder(spark, "records")
+    A.table(spark, sf, "events").select("event_id", "event_type", "value").write.json(path)
+    return files.evaluation_records(spark, path, EVENT, array=False)
+
+
+FLOW = T.StructType([T.StructField("event_id", T.LongType()), T.StructField("srcNumPackets", T.LongType()), T.StructField("flowDuration", T.DoubleType()),
+                     T.StructField("ipProto", T.StringType())])
+FLOW_SQL = f"SELECT event_id, ob AS \"srcNumPackets\", {r('value / 100')} AS \"flowDuration\", proto AS \"ipProto\" FROM conn"
+
+
+@query("a5_flow_files", f"WITH {A.EVENTS_SQL} {FLOW_SQL}")
+def _(spark, sf):
+    path = folder(spark, "flow-files")
+    A.connections(spark, sf).select("event_id", F.col("orig_bytes").alias("srcNumPackets"), (F.col("value") / 100).alias("flowDuration"),
+                                    F.col("proto").alias("ipProto")).write.option("header", True).option("compression", "gzip").csv(path)
+    return files.flow_files(spark, path, FLOW)[0].drop("file")
+
+
+@query("a6_frozen_profile", ORACLES["d10_service_summary"])
+def _(spark, sf):
+    path = folder(spark, "profile")
+    windows, shares, endpoints = behaviour.inputs(spark, sf)
+    training = behaviour.training
+    files.write_profile(profile.build_profile(training(windows), training(shares), training(endpoints)), path)
+    return files.read_profile(spark, path, calibrated=False).services
+
+
+@query("a8_nested_lists", f"""SELECT user_id, (row_number() OVER (PARTITION BY user_id ORDER BY event_id) - 1)::INTEGER AS ordinal, event_id,
+  {r('value')} AS value FROM events""")
+def _(spark, sf):
+    path = folder(spark, "policies")
+    # one document per user, as long as the user has events
+    A.table(spark, sf, "events").groupBy("user_id").agg(
+        F.sort_array(F.collect_list(F.struct("event_id", "user_id", "value"))).alias("permissions")).write.json(path)
+    return files.nested_list(spark, path, "permissions array<struct<event_id: bigint, user_id: bigint, value: double>>", "permissions", lines=True)
+
+
+@query("a10_stored_windows", f"WITH {A.EVENTS_SQL} SELECT device, ws AS window_start, count(*) AS flows FROM conn GROUP BY ALL")
+def _(spark, sf):
+    path = folder(spark, "windows")
+    counts = A.telemetry(spark, sf).join(A.connections(spark, sf).select("uid", "device"), "uid").groupBy("device", "window_start").agg(F.count("*").alias("flows"))
+    files.write_windows(counts, path)
+    return spark.read.parquet(path).select("device", "window_start", "flows")
+
+
+@query("a11_latest_snapshot", f"SELECT event_type, count(*) AS n, {r('max(value)')} AS top FROM events GROUP BY ALL")
+def _(spark, sf):
+    path = folder(spark, "snapshots")
+    events = A.table(spark, sf, "events")
+    summary = lambda rows: rows.groupBy("event_type").agg(F.count("*").alias("n"), F.max("value").alias("top"))
+    files.publish(summary(events.filter("event_id % 2 = 0")), path, 1)
+    files.publish(summary(events), path, 2)
+    return files.latest(spark, path)
+
+
+@query("a12_event_log", f"WITH {A.EVENTS_SQL} SELECT {r('t')} AS recorded_at, event_type AS kind, uid AS trace_id, ob AS cents FROM conn")
+def _(spark, sf):
+    path = folder(spark, "log")
+    rows = A.connections(spark, sf).select(F.col("ts").alias("recorded_at"), F.col("event_type").alias("kind"), F.col("uid").alias("decision_id"),
+                                           F.col("orig_bytes").alias("cents"), "event_id")
+    for half in (0, 1):
+        files.append_events(files.event_records(rows.filter(f"event_id % 2 = {half}").drop("event_id"), ["decision_id", "cents"]), path)
+    return spark.read.parquet(path).select("recorded_at", "kind", "trace_id", F.get_json_object("payload", "$.cents").cast("bigint").alias("cents"))

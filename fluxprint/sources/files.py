@@ -2,8 +2,12 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+import gzip
+import io
+import zlib
+from collections.abc import Iterator, Sequence
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -30,10 +34,40 @@ def evaluation_records(spark: SparkSession, path: str, schema: T.StructType, arr
 
 
 # A5
-def flow_files(spark: SparkSession, path: str | list[str], schema: T.StructType) -> DataFrame:
-    """Device-day CSV files by header name; unreadable files are skipped."""
-    return (spark.read.option("header", True).option("enforceSchema", False).option("ignoreCorruptFiles", True)
+def flow_files(spark: SparkSession, path: str | list[str], schema: T.StructType) -> tuple[DataFrame, DataFrame]:
+    """Rows of device-day CSV files by header name, and the files that were skipped with the reason.
+
+    A file is skipped as a whole, so that a broken one does not pass for a short one. Each is
+    looked through once before, in a task of its own.
+    """
+    skipped = _unreadable(spark.read.format("binaryFile").load(path))
+    rows = (spark.read.option("header", True).option("enforceSchema", False).option("ignoreCorruptFiles", True)
             .schema(schema).csv(path).select("*", F.col("_metadata.file_name").alias("file")))
+    return rows.join(skipped.select("file"), "file", "left_anti").select(*schema.names, "file"), skipped
+
+
+def _unreadable(listed: DataFrame) -> DataFrame:
+    """(file, reason) of files that do not inflate to their end or whose header is not text."""
+    def check(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            bad = []
+            for name, content in zip(batch.column(0).to_pylist(), batch.column(1)):
+                view = memoryview(content.as_buffer())
+                try:
+                    if bytes(view[:2]) != b"\x1f\x8b":
+                        header = bytes(view[:1 << 16])
+                    else:
+                        with gzip.open(io.BytesIO(view)) as unzipped:
+                            header = unzipped.read(1 << 16)
+                            while unzipped.read(1 << 20):
+                                pass
+                    header.split(b"\n")[0].decode()
+                except (OSError, EOFError, zlib.error, UnicodeDecodeError) as e:
+                    bad.append((name, str(e)))
+            if bad:
+                yield pa.RecordBatch.from_pydict({"file": [b[0] for b in bad], "reason": [b[1] for b in bad]})
+
+    return listed.select(F.element_at(F.split("path", "/"), -1).alias("file"), "content").mapInArrow(check, "file string, reason string")
 
 
 # A7
@@ -44,9 +78,9 @@ def permission_documents(spark: SparkSession, path: str | list[str]) -> DataFram
 
 
 # A8
-def nested_list(spark: SparkSession, path: str, schema: T.StructType, field: str) -> DataFrame:
-    """One row per entry of a list inside a JSON document, with its place in the list."""
-    documents = spark.read.schema(schema).option("multiLine", True).json(path)
+def nested_list(spark: SparkSession, path: str, schema: T.StructType | str, field: str, lines: bool = False) -> DataFrame:
+    """One row per entry of a list inside a JSON document, with its place in the list; a document per file or per line."""
+    documents = spark.read.schema(schema).option("multiLine", not lines).json(path)
     return documents.select(F.posexplode(field).alias("ordinal", "_item")).select("ordinal", "_item.*")
 
 
@@ -60,8 +94,11 @@ def merged_events(spark: SparkSession, paths: Sequence[str], schema: T.StructTyp
 
 
 # A10
-def write_windows(windows: DataFrame, path: str, fmt: str = "parquet") -> None:
-    windows.write.mode("overwrite").partitionBy("device").format(fmt).save(path)
+def write_windows(windows: DataFrame, path: str, fmt: str = "parquet", pieces: int = 8) -> None:
+    """Windows by day, in ``pieces`` files a day at most; a device's windows of a day lie together in one of them."""
+    dated = windows.withColumn("day", F.floor(F.col("window_start") / 86_400).cast("int"))
+    dated.repartition("day", F.pmod(F.hash("device"), F.lit(pieces))).sortWithinPartitions("day", "device", "window_start") \
+        .write.mode("overwrite").partitionBy("day").format(fmt).save(path)
 
 
 def write_profile(profile: Profile, path: str) -> None:

@@ -1,3 +1,4 @@
+import gzip
 import json
 
 import pytest
@@ -72,7 +73,12 @@ def test_snapshots_and_events(spark, tmp_path):
 def test_flow_files_and_policy_lists(spark, tmp_path):
     (tmp_path / "cam_2016-09-23.csv").write_text("time,dstIp\n5,1.1.1.1\n")
     schema = T.StructType([T.StructField("time", T.DoubleType()), T.StructField("dstIp", T.StringType())])
-    assert files.flow_files(spark, str(tmp_path / "*.csv"), schema).first()["file"] == "cam_2016-09-23.csv"
+    whole = gzip.compress(b"time,dstIp\n" + b"6,1.1.1.2\n" * 5000)
+    (tmp_path / "plug_2016-09-24.csv.gz").write_bytes(whole)
+    (tmp_path / "broken_2016-09-25.csv.gz").write_bytes(whole[:-20])
+    got, skipped = files.flow_files(spark, str(tmp_path / "*.csv*"), schema)
+    assert {r["file"]: r["count"] for r in got.groupBy("file").count().collect()} == {"cam_2016-09-23.csv": 1, "plug_2016-09-24.csv.gz": 5000}
+    assert [r["file"] for r in skipped.collect()] == ["broken_2016-09-25.csv.gz"]
     (tmp_path / "policy.json").write_text(json.dumps({"permissions": [{"initiator": "a"}, {"initiator": "b"}]}, indent=1))
     nested = T.StructType([T.StructField("permissions", T.ArrayType(T.StructType([T.StructField("initiator", T.StringType())])))])
     got = files.nested_list(spark, str(tmp_path / "policy.json"), nested, "permissions").collect()
