@@ -3,12 +3,10 @@
 from __future__ import annotations
 
 import ipaddress
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 
-import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from fluxprint.schemas import DEVICE_TYPES, EXTERNAL_TYPE, SERVICE_PORTS, SERVICES, UNSET
 
@@ -160,9 +158,12 @@ PRIVATE_RANGES = ["0.0.0.0/8", "10.0.0.0/8", "127.0.0.0/8", "169.254.0.0/16", "1
 PUBLIC_EXCEPTIONS = ["192.0.0.9/32", "192.0.0.10/32"]
 
 
-def is_private_ipv4(address: Column) -> Column:
-    number = ipv4_number(address)
+# The same for IPv6, and the ranges inside them that are public.
+PRIVATE_RANGES_6 = ["::1/128", "::/128", "64:ff9b:1::/48", "100::/64", "2001::/23", "2001:db8::/32", "2002::/16", "3fff::/20", "fc00::/7", "fe80::/10"]
+PUBLIC_EXCEPTIONS_6 = ["2001:1::1/128", "2001:1::2/128", "2001:3::/32", "2001:4:112::/48", "2001:20::/28", "2001:30::/28"]
+
 
+def _private_number(number: Column) -> Column:
     def within(ranges: list[str]) -> Column:
         out = F.lit(False)
         for text in ranges:
@@ -173,53 +174,90 @@ def is_private_ipv4(address: Column) -> Column:
     return F.coalesce(within(PRIVATE_RANGES) & ~within(PUBLIC_EXCEPTIONS), F.lit(False))
 
 
-def _ipv6_in(address: str | None, network: str | None) -> bool:
-    try:
-        return ipaddress.ip_address(address) in ipaddress.ip_network(network, strict=False)
-    except ValueError:
-        return False
+def is_private_ipv4(address: Column) -> Column:
+    return _private_number(ipv4_number(address))
+
+
+def _once(value: Column, use: Callable[[Column], Column]) -> Column:
+    """``use`` of a value that is long to compute and used often: it becomes the variable of a lambda."""
+    return F.get(F.transform(F.array(value), use), F.lit(0))
 
 
-@F.pandas_udf(T.BooleanType())
-def ipv6_in_network(address: pd.Series, network: pd.Series) -> pd.Series:
-    """128-bit membership has no built-in; Arrow batches, bad text is False."""
-    return pd.Series([_ipv6_in(a, n) for a, n in zip(address, network)], dtype=bool)
+def ipv6_digits(address: Column) -> Column:
+    """The 32 hexadecimal digits of an IPv6 address in any of its spellings; NULL for anything else."""
+    text = F.lower(address)
+    tail = F.regexp_extract(text, r"(?<=:)(\d+\.\d+\.\d+\.\d+)$", 1)
+    number = ipv4_number(tail)
+    plain = F.when(tail == "", text).when(number.isNotNull(), F.concat(
+        F.regexp_replace(text, r"[\d.]+$", ""), F.lower(F.hex(F.shiftright(number, 16))), F.lit(":"), F.lower(F.hex(number.bitwiseAND(0xFFFF)))))
+    listed = r"^([0-9a-f]{1,4}(:[0-9a-f]{1,4})*)?$"
 
+    def digits(halves: Column) -> Column:
+        first, second = F.get(halves, F.lit(0)), F.coalesce(F.get(halves, F.lit(1)), F.lit(""))
+        left, right = (F.filter(F.split(h, ":"), lambda g: g != "") for h in (first, second))
+        many = F.size(left) + F.size(right)
+        shaped = first.rlike(listed) & second.rlike(listed) & (((F.size(halves) == 1) & (many == 8)) | ((F.size(halves) == 2) & (many <= 7)))
+        zeros = F.array_repeat(F.lit("0"), F.greatest(F.lit(8) - many, F.lit(0)))
+        return F.when(shaped, F.array_join(F.transform(F.concat(left, zeros, right), lambda g: F.lpad(g, 4, "0")), ""))
+
+    return _once(F.when(address.contains(":"), F.split(plain, "::")), digits)
+
+
+def canonical_ip(address: Column) -> Column:
+    """One text per address: IPv4 as it is, IPv6 lower-case with its longest run of zero groups as ``::``; NULL if malformed."""
+    def shortest(text: Column) -> Column:
+        out = text
+        for n in range(2, 9):
+            run = rf"^(.*?)(?:^|:)0(?::0){{{n - 1}}}(?::|$)(.*)$"
+            out = F.when(text.rlike(run), F.regexp_replace(text, run, "$1::$2")).otherwise(out)
+        return out
 
-@F.pandas_udf(T.ArrayType(T.StringType()))
-def ipv6_prefixes(address: pd.Series) -> pd.Series:
-    """All enclosing networks of an IPv6 address as text; NULL if it is none."""
-    def one(value: str | None) -> list[str] | None:
-        try:
-            number = int(ipaddress.IPv6Address(value))
-        except ValueError:
-            return None
-        return [f"{ipaddress.IPv6Address(number >> (128 - b) << (128 - b))}/{b}" for b in range(129)]
+    groups = lambda digits: F.transform(F.sequence(F.lit(0), F.lit(7)), lambda i: F.regexp_replace(F.substr(digits, i * 4 + 1, F.lit(4)), "^0{1,3}", ""))
+    six = _once(_once(ipv6_digits(address), lambda d: F.when(d.isNotNull(), F.array_join(groups(d), ":"))), shortest)
+    return F.when(ipv4_number(address).isNotNull(), address).otherwise(six)
 
-    return address.map(one)
 
+def valid_ip(address: Column) -> Column:
+    return F.coalesce(ipv4_number(address).isNotNull() | ipv6_digits(address).isNotNull(), F.lit(False))
 
-@F.pandas_udf(T.StringType())
-def ipv6_network(network: pd.Series) -> pd.Series:
-    """An IPv6 network in canonical text, host bits cleared; NULL if malformed."""
-    def one(value: str | None) -> str | None:
-        try:
-            return str(ipaddress.IPv6Network(value, strict=False))
-        except ValueError:
-            return None
 
-    return network.map(one)
+def truncate_ipv6(digits: Column, bits: Column) -> Column:
+    """The first ``bits`` of an address, as hexadecimal digits."""
+    rest = F.pmod(bits, F.lit(4))
+    digit = F.conv(F.substr(digits, F.floor(bits / 4).cast("int") + 1, F.lit(1)), 16, 10).cast("int")
+    last = F.when(rest > 0, F.lower(F.hex(digit - F.pmod(digit, F.pow(F.lit(2), 4 - rest).cast("int")))))
+    return F.concat(F.substr(digits, F.lit(1), F.floor(bits / 4).cast("int")), F.coalesce(last, F.lit("")))
 
 
-@F.pandas_udf(T.BooleanType())
-def is_private_ipv6(address: pd.Series) -> pd.Series:
-    def one(value: str | None) -> bool:
-        try:
-            return ipaddress.ip_address(value).is_private
-        except ValueError:
-            return False
+def network_parts_6(network: Column) -> tuple[Column, Column]:
+    """Digits of the first address and prefix length of an IPv6 network; NULL if malformed."""
+    parts = F.split(network, "/")
+    suffix = F.when(F.size(parts) == 1, "128").when(F.size(parts) == 2, F.get(parts, F.lit(1)))
+    bits = F.when(suffix.rlike(r"^\d{1,3}$"), suffix.cast("int"))
+    digits = ipv6_digits(F.get(parts, F.lit(0)))
+    fine = digits.isNotNull() & bits.between(0, 128)
+    return F.when(fine, truncate_ipv6(digits, bits)), F.when(fine, bits)
+
+
+def ipv6_in_network(address: Column, network: Column) -> Column:
+    base, bits = network_parts_6(network)
+    return F.coalesce(truncate_ipv6(ipv6_digits(address), bits) == base, F.lit(False))
+
+
+def is_private_ipv6(address: Column) -> Column:
+    """A mapped IPv4 address counts as that."""
+    def within(digits: Column, ranges: list[str]) -> Column:
+        out = F.lit(False)
+        for text in ranges:
+            net = ipaddress.IPv6Network(text)
+            out = out | digits.between(f"{int(net[0]):032x}", f"{int(net[-1]):032x}")
+        return out
+
+    def private(digits: Column) -> Column:
+        four = _once(F.conv(F.substr(digits, F.lit(25)), 16, 10).cast("bigint"), _private_number)
+        return F.when(digits.startswith("0" * 20 + "ffff"), four).otherwise(within(digits, PRIVATE_RANGES_6) & ~within(digits, PUBLIC_EXCEPTIONS_6))
 
-    return pd.Series([one(a) for a in address], dtype=bool)
+    return F.coalesce(_once(ipv6_digits(address), private), F.lit(False))
 
 
 # B17

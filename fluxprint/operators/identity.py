@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from fluxprint.functions.scalars import certificate_names, is_endpoint_domain, null_if_unset
+from fluxprint.functions.scalars import canonical_ip, certificate_names, is_endpoint_domain, null_if_unset, valid_ip
 
 FOREVER = 2**53
 
@@ -176,19 +176,17 @@ def tls_names(ssl_log: DataFrame, x509_log: DataFrame, owned: DataFrame) -> Data
 
 # C8
 def name_evidence(dns_answers: DataFrame, window_start: Column, window_end: Column) -> DataFrame:
-    """Addresses that a name answered with, and until when the answer holds.
+    """Addresses that a name answered with, in one spelling each, and until when the answer holds.
 
     ``dns_answers`` has ``sensor_id, ts, query, answers, ttls`` with lifetimes by
-    position; the smallest positive lifetime counts, and what expired before the
-    window is dropped. One row per answer address.
+    position; the smallest positive lifetime of a row's addresses counts, and what
+    expired before the window is dropped. Answers that are no addresses are passed over.
+    One row per answer address; all is decided within the row.
     """
-    numbered = dns_answers.withColumn("_id", F.sha2(F.to_json(F.struct("sensor_id", "ts", "query", "answers")), 256))
-    pairs = numbered.filter((F.col("ts") >= 0) & (F.col("ts") < window_end)).select(
-        "_id", "sensor_id", F.col("ts").alias("valid_from"), F.col("query").alias("name"),
-        F.explode(F.arrays_zip(F.col("answers").alias("address"), F.col("ttls").alias("ttl"))).alias("a"))
-    is_ip = F.col("a.address").rlike(r"^(\d{1,3}(\.\d{1,3}){3}|[0-9A-Fa-f:]*:[0-9A-Fa-f:.]*)$")
-    rows = pairs.filter(is_ip).select("_id", "sensor_id", "valid_from", "name", "a.address", "a.ttl")
-    ttl = rows.groupBy("_id").agg(F.min(F.when(F.col("ttl") > 0, F.col("ttl"))).alias("_ttl"))
-    until = F.col("valid_from") + F.col("_ttl")
-    return (rows.join(ttl, "_id").filter(F.col("_ttl").isNotNull() & (until > window_start))
-            .select("sensor_id", "name", "address", "valid_from", until.alias("valid_until")).distinct())
+    pairs = F.filter(F.arrays_zip(F.col("answers").alias("address"), F.col("ttls").alias("ttl")), lambda a: valid_ip(a["address"]))
+    ttl = F.array_min(F.filter(F.transform(F.col("_pairs"), lambda a: a["ttl"]), lambda t: t > 0))
+    rows = dns_answers.filter((F.col("ts") >= 0) & (F.col("ts") < window_end)).withColumn("_pairs", pairs).withColumn("_ttl", ttl)
+    until = F.col("ts") + F.col("_ttl")
+    addresses = F.array_distinct(F.transform("_pairs", lambda a: canonical_ip(a["address"])))
+    return rows.filter(F.col("_ttl").isNotNull() & (until > window_start)).select(
+        "sensor_id", F.col("query").alias("name"), F.explode(addresses).alias("address"), F.col("ts").alias("valid_from"), until.alias("valid_until")).distinct()

@@ -2,12 +2,12 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from fluxprint.functions.scalars import ipv4_number, ipv6_network, ipv6_prefixes, network_parts, truncate_ipv4
+from fluxprint.functions.scalars import ipv4_number, ipv6_digits, network_parts, network_parts_6, truncate_ipv4, truncate_ipv6
 
 
 # C11
@@ -61,21 +61,21 @@ def latest_until(points: DataFrame, spans: DataFrame, keys: Sequence[str], t: st
 def in_networks(addresses: DataFrame, networks: DataFrame, on: Sequence[str]) -> DataFrame:
     """``(on, address, network)`` for every address inside a network of its key.
 
-    Each distinct address is looked up once per prefix length, so a range test
-    becomes an equality join; malformed text matches nothing. IPv6 takes the
-    same path, with its 128-bit prefixes made in Arrow batches.
+    Each distinct address is looked up once per prefix length that its key's networks
+    have, so a range test becomes an equality join; malformed text matches nothing.
     """
-    base, bits = network_parts(F.col("network"))
     wanted = networks.select(*on, "network").distinct()
     ips = addresses.select(*on, "address").distinct()
-    nets = wanted.select(*on, "network", base.alias("_base"), bits.alias("_bits")).filter("_base is not null")
-    keys = ips.withColumn("_n", ipv4_number(F.col("address"))).filter("_n is not null").withColumn(
-        "_bits", F.explode(F.sequence(F.lit(0), F.lit(32))))
-    keys = keys.withColumn("_base", truncate_ipv4(F.col("_n"), F.col("_bits")))
-    v4 = keys.join(nets, [*on, "_base", "_bits"]).select(*on, "address", "network")
-    nets6 = wanted.filter(F.col("network").contains(":")).withColumn("_net", ipv6_network("network")).filter("_net is not null")
-    keys6 = ips.filter(F.col("address").contains(":")).withColumn("_net", F.explode(ipv6_prefixes("address")))
-    return v4.unionByName(keys6.join(nets6, [*on, "_net"]).select(*on, "address", "network"))
+
+    def family(parts: tuple[Column, Column], value: Column, truncate: Callable[[Column, Column], Column]) -> DataFrame:
+        nets = wanted.select(*on, "network", parts[0].alias("_base"), parts[1].alias("_bits")).filter("_base is not null")
+        lengths = nets.select(*on, "_bits").distinct()   # 129 per key at most
+        keys = ips.withColumn("_n", value).filter("_n is not null").join(lengths, list(on)).withColumn("_base", truncate(F.col("_n"), F.col("_bits")))
+        return keys.join(nets, [*on, "_base", "_bits"]).select(*on, "address", "network")
+
+    address, network = F.col("address"), F.col("network")
+    return family(network_parts(network), ipv4_number(address), truncate_ipv4).unionByName(
+        family(network_parts_6(network), ipv6_digits(address), truncate_ipv6))
 
 
 def suffixes(name: Column) -> Column:

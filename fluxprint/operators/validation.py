@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from fluxprint.functions.scalars import ipv4_number, network_parts
+from fluxprint.functions.scalars import ipv4_number, network_parts, valid_ip
 from fluxprint.operators.identity import contested
 from fluxprint.operators.residuals import union_all, violations
 from fluxprint.schemas import DEVICE_TYPES
@@ -20,11 +20,6 @@ def strict(checked: DataFrame) -> None:
         raise ValueError(f"validation failed: {bad[0].asDict()}")
 
 
-def valid_ip(address: Column) -> Column:
-    v6 = address.rlike(r"^[0-9A-Fa-f:.]*:[0-9A-Fa-f:.]*:[0-9A-Fa-f:.]*$") & ~address.rlike(r":::|^:[^:]|[^:]:$")
-    return F.coalesce(ipv4_number(address).isNotNull() | v6, F.lit(False))
-
-
 # L1
 def telemetry_rules(window: int) -> list[tuple[str, Column]]:
     counters = ["orig_ip_bytes", "resp_ip_bytes", "orig_pkts", "resp_pkts"]

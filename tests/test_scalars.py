@@ -31,7 +31,7 @@ def test_addresses(spark):
     assert values(spark, "string", ["10.1.1.1", "8.8.8.8", "192.168.0.1", "bad", "172.32.0.1"], S.is_private_ipv4) == [True, False, True, False, False]
     assert values(spark, "string", ["fe80::1", "2606:4700::1", "bad"], S.is_private_ipv6) == [True, False, False]
     pairs = spark.createDataFrame([("fd00::1", "fd00::/8"), ("::1", "fd00::/8"), ("x", "y")], "a string, n string")
-    assert [r[0] for r in pairs.select(S.ipv6_in_network("a", "n")).collect()] == [True, False, False]
+    assert [r[0] for r in pairs.select(S.ipv6_in_network(F.col("a"), F.col("n"))).collect()] == [True, False, False]
     nets = spark.createDataFrame([("10.1.2.3/16",), ("10.0.0.0/40",), ("10.0.0.1",), ("junk/8",)], "n string")
     assert [tuple(r) for r in nets.select(*S.network_parts(F.col("n"))).collect()] == [(167837696, 16), (None, None), (167772161, 32), (None, None)]
 
@@ -46,3 +46,37 @@ def test_digest_is_stable_and_sees_nulls(spark):
     rows = spark.createDataFrame([("x", None), ("x", "y")], "b string, a string")
     one, two = [r[0] for r in rows.select(S.digest("b", "a")).collect()]
     assert one != two and one == rows.select(S.digest("a", "b")).first()[0]
+
+
+def test_ipv6_in_any_spelling(spark):
+    import ipaddress
+
+    texts = ["2001:DB8::1", "2001:db8:0:0:0:0:0:1", "::", "::1", "1::", "fe80::1:0:0:2", "::ffff:10.0.0.1", "1:2:3:4:5:6:7:8", "0:0:1:0:0:0:1:0", "2001:3::5",
+             "64:ff9b::1", "::ffff:8.8.8.8", "1:0:0:2:0:0:0:3", "ff02::fb",
+             "1:2:3", "fffff::1", "1::2::3", ":1", "1:", ":::", "1:2:3:4:5:6:7:8:9", "999.1.1.1", "a:b", "", "::1.2.3", "1.2.3.4:5", "::g", None, "10.0.0.1"]
+
+    def parsed(t):
+        try:
+            return ipaddress.ip_address(t)
+        except ValueError:
+            return None
+
+    known = [parsed(t) for t in texts]
+    assert values(spark, "string", texts, S.valid_ip) == [k is not None for k in known]
+    plain = [None if k is None else str(k) for k in known]
+    plain[6] = plain[11] = None        # the library prints mapped addresses in two ways
+    got = values(spark, "string", texts, S.canonical_ip)
+    assert (got[6], got[11]) == ("::ffff:a00:1", "::ffff:808:808")
+    assert [None if i in (6, 11) else g for i, g in enumerate(got)] == plain
+    assert values(spark, "string", texts, S.is_private_ipv6) == [isinstance(k, ipaddress.IPv6Address) and k.is_private for k in known]
+    nets = ["2001:db8::/32", "::/0", "fe80::/10", "::1", "2001:db8::/31", "bad/3", "::/129"]
+    pairs = [(t, n) for t in texts for n in nets]
+    rows = spark.createDataFrame(pairs, "a string, n string").select(S.ipv6_in_network(F.col("a"), F.col("n"))).collect()
+
+    def inside(t, n):
+        try:
+            return ipaddress.IPv6Address(t) in ipaddress.IPv6Network(n)
+        except ValueError:
+            return False
+
+    assert [r[0] for r in rows] == [inside(t, n) for t, n in pairs]
