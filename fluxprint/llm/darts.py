@@ -10,8 +10,9 @@ agrees with the probability of their similarity.
 
 Equal documents are folded first. Representatives that share a band are candidates: all pairs
 of a small bucket; in a large one each member against the members closest to the bucket's
-modal signature, and what is linked to none of these again by pairs of bands. Candidates whose
-signatures agree well enough are compared exactly.
+modal signature, and those linked to none of these anew in buckets of one more band, where
+fewer meet; at the last of LEVELS all pairs of a bucket are compared. Candidates whose signatures
+agree well enough are compared exactly.
 """
 
 from __future__ import annotations
@@ -36,6 +37,8 @@ LEAST_AGREEMENT = 0.66       # of the coordinates: four standard deviations unde
 SMALL = 16                   # bucket size up to which all pairs are compared
 CENTRES = 2                  # per large bucket
 SAMPLED = 32                 # signatures that give a large bucket's mode
+LEVELS = 3
+FOLLOWING = 4                # bands, after the last one of a large bucket, that it is split by
 _STEP = np.uint64(0x9E3779B97F4A7C15)
 _POISSON = np.cumsum([np.exp(-1) / np.prod(np.arange(1, k + 1), dtype=float) for k in range(14)])
 
@@ -126,21 +129,22 @@ def _sigs(column: pa.Array) -> np.ndarray:
 
 
 def banded(sigs: DataFrame) -> DataFrame:
-    """(band, doc_id): one row per representative and band."""
+    """(band, j, doc_id): one row per representative and band, the j-th of its bands."""
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             sig = _sigs(batch.column(1)).astype(np.uint64).reshape(-1, BANDS, ROWS)
             h = np.broadcast_to(np.arange(BANDS, dtype=np.uint64), sig.shape[:2])
             for j in range(ROWS):
                 h = blocks.mix(h * _STEP + sig[:, :, j])
-            yield pa.RecordBatch.from_arrays([pa.array(h.reshape(-1).view(np.int64)), batch.column(0).take(pa.array(np.repeat(np.arange(len(batch.column(0))), BANDS)))],
-                                             names=["band", "doc_id"])
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(h.reshape(-1).view(np.int64)), pa.array(np.tile(np.arange(BANDS, dtype=np.int32), len(sig))),
+                 batch.column(0).take(pa.array(np.repeat(np.arange(len(sig)), BANDS)))], names=["band", "j", "doc_id"])
 
-    return sigs.select("doc_id", "sig").mapInArrow(scan, "band bigint, doc_id bigint")
+    return sigs.select("doc_id", "sig").mapInArrow(scan, "band bigint, j int, doc_id bigint")
 
 
-def small_pairs(rows: DataFrame) -> DataFrame:
-    """All pairs (a < b) within buckets of (band, doc_id) rows that have at most SMALL members."""
+def all_pairs(rows: DataFrame) -> DataFrame:
+    """All pairs (a < b) within the buckets of (band, doc_id) rows."""
     lists = rows.groupBy("band").agg(F.sort_array(F.collect_set("doc_id")).alias("m"))
     return lists.select(F.expr("""explode(flatten(transform(m, (x, i) -> transform(slice(m, i + 2, size(m)), y -> struct(x as a, y as b)))))""").alias("p")) \
         .select("p.a", "p.b").distinct()
@@ -228,25 +232,29 @@ def centres(members: DataFrame) -> DataFrame:
 
 def linked(docs: DataFrame, sigs: DataFrame) -> DataFrame:
     """Links (a, b) between representatives, all of SIMILARITY or more."""
-    rows = materialize(banded(sigs), "bands")
-    sizes = materialize(rows.groupBy("band").agg(F.count("*").alias("size")).filter("size > 1"), "bucket-sizes")
-    small = small_pairs(rows.join(sizes.filter(f"size <= {SMALL}"), "band").select("band", "doc_id"))
-    large = materialize(rows.join(sizes.filter(f"size > {SMALL}"), "band").select("band", "doc_id").join(
-        sigs.select("doc_id", "sig"), "doc_id").select("band", "doc_id", "sig"), "large-buckets")
-    hubs = materialize(centres(large), "centres")
-    star = large.select("band", "doc_id").join(hubs, "band").filter("doc_id <> centre")
-    pairs = small.union(star.select(F.least("doc_id", "centre").alias("a"), F.greatest("doc_id", "centre").alias("b"))).distinct()
-    links = materialize(compared(agreeing(pairs, sigs), docs), "links")
-    # members of large buckets without a link to a centre: again, by pairs of bands
-    reached = links.select(F.expr("explode(array(struct(a as doc_id, b as other), struct(b as doc_id, a as other))) as e")).select("e.*")
-    met = star.select("doc_id", F.col("centre").alias("other")).distinct().join(reached, ["doc_id", "other"], "left_semi")
-    rest = materialize(large.select("doc_id").distinct().join(met.select("doc_id"), "doc_id", "left_anti")
-                       .join(hubs.select(F.col("centre").alias("doc_id")).distinct(), "doc_id", "left_anti"), "unreached")
-    bands = rows.join(rest, "doc_id")
-    double = bands.join(bands.join(sizes.filter(f"size > {SMALL}"), "band").select("doc_id", F.col("band").alias("large")), "doc_id") \
-        .filter("band <> large").select(F.xxhash64(F.least("band", "large"), F.greatest("band", "large")).alias("band"), "doc_id").distinct()
-    more = agreeing(small_pairs(double), sigs)
-    return links.union(materialize(compared(more, docs), "links"))
+    bands = materialize(banded(sigs), "bands")
+    rows, out = bands, None
+    for level in range(LEVELS):
+        sizes = materialize(rows.groupBy("band").agg(F.count("*").alias("size")).filter("size > 1"), "bucket-sizes")
+        most = SMALL if level < LEVELS - 1 else sizes.agg(F.max("size")).first()[0] or 0
+        pairs = all_pairs(rows.join(sizes.filter(F.col("size") <= most), "band").select("band", "doc_id"))
+        large = materialize(rows.join(sizes.filter(F.col("size") > most), "band").select("band", "j", "doc_id"), "large-buckets")
+        if not large.head(1):
+            links = materialize(compared(agreeing(pairs, sigs), docs), "links")
+            return links if out is None else out.union(links)
+        hubs = materialize(centres(large.join(sigs.select("doc_id", "sig"), "doc_id").select("band", "doc_id", "sig")), "centres")
+        star = large.select("band", "doc_id").join(hubs, "band").filter("doc_id <> centre")
+        pairs = pairs.union(star.select(F.least("doc_id", "centre").alias("a"), F.greatest("doc_id", "centre").alias("b"))).distinct()
+        links = materialize(compared(agreeing(pairs, sigs), docs), "links")
+        out = links if out is None else out.union(links)
+        # members without a link to a centre of theirs go on, by one more band
+        reached = links.select(F.expr("explode(array(struct(a as doc_id, b as other), struct(b as doc_id, a as other))) as e")).select("e.*")
+        met = star.select("doc_id", F.col("centre").alias("other")).distinct().join(reached, ["doc_id", "other"], "left_semi")
+        rest = large.join(met.select("doc_id").union(hubs.select("centre")).distinct(), "doc_id", "left_anti")
+        next_ = rest.select("doc_id", "band", F.explode(F.sequence(F.col("j") + 1, F.col("j") + FOLLOWING)).alias("k")) \
+            .select("doc_id", F.col("band").alias("before"), (F.col("k") % BANDS).alias("j"))
+        rows = materialize(next_.join(bands, ["doc_id", "j"]).select(F.xxhash64("before", "band").alias("band"), "j", "doc_id"), "bands")
+    return out
 
 
 def classes(docs: DataFrame) -> DataFrame:
