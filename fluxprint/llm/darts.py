@@ -266,7 +266,8 @@ def classes(docs: DataFrame) -> DataFrame:
     """
     rows = materialize(signed(docs.filter("doc_id is not null")), "signatures")
     keyed = rows.filter("n > 0")
-    first = keyed.groupBy("key_a", "key_b").agg(F.min("doc_id").alias("first"))
+    # stored, so that the join below is dealt out for itself and a key of many copies can be split
+    first = materialize(keyed.groupBy("key_a", "key_b").agg(F.min("doc_id").alias("first")), "first-copies")
     copies = materialize(keyed.select("doc_id", "key_a", "key_b").join(first, ["key_a", "key_b"]).select("doc_id", "first").distinct(), "copies")
     sigs = materialize(keyed.join(first.select(F.col("first").alias("doc_id"), "key_a", "key_b"), ["doc_id", "key_a", "key_b"]).select("doc_id", "sig")
                        .dropDuplicates(["doc_id"]), "representatives")
