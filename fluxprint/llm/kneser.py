@@ -31,7 +31,7 @@ PRIOR_BYTES = 64         # weight of the language's median in the score of a doc
 HIGH = 0.95              # quantile of the trusted scores of a language ...
 REACH = 3.0              # ... whose distance from the median, so many times, is still accepted
 LEAST_TRUSTED = 30       # trusted documents below which a language takes the limit of all
-FOLD_BYTES = 1 << 22
+FOLD_BYTES = 1 << 21
 
 
 def ngrams(data: np.ndarray, at: np.ndarray, order: int) -> np.ndarray:
