@@ -11,8 +11,12 @@ agrees with the probability of their similarity.
 Equal documents are folded first. Representatives that share a band are candidates: all pairs
 of a small bucket; in a large one each member against the members closest to the bucket's
 modal signature, and those linked to none of these anew in buckets of one more band, where
-fewer meet; at the last of LEVELS all pairs of a bucket are compared. Candidates whose signatures
-agree well enough are compared exactly.
+fewer meet, LEVELS times. Candidates whose signatures agree well enough are compared exactly.
+
+This only saves work. What a large bucket holds besides its main component, linked so far, meets
+all of the bucket at last: both sides are cut into blocks, every two blocks are a group of their
+own, and only a spanning forest of the links found leaves it. So two documents that share a
+band are in one class whenever their signatures agree and they are similar.
 """
 
 from __future__ import annotations
@@ -38,6 +42,8 @@ SMALL = 16                   # bucket size up to which all pairs are compared
 CENTRES = 2                  # per large bucket
 SAMPLED = 32                 # signatures that give a large bucket's mode
 LEVELS = 3
+BLOCK = 1024                 # members of a block, fewer if they are long: ...
+BLOCK_ELEMENTS = 1 << 20     # ... elements of a block, on average
 FOLLOWING = 4                # bands, after the last one of a large bucket, that it is split by
 _STEP = np.uint64(0x9E3779B97F4A7C15)
 _POISSON = np.cumsum([np.exp(-1) / np.prod(np.arange(1, k + 1), dtype=float) for k in range(14)])
@@ -163,11 +169,8 @@ def agreeing(pairs: DataFrame, sigs: DataFrame) -> DataFrame:
     return both.mapInArrow(scan, "a bigint, b bigint")
 
 
-def compared(pairs: DataFrame, docs: DataFrame) -> DataFrame:
-    """Pairs whose weighted Jaccard similarity, computed from the texts, is SIMILARITY or more."""
-    pairs = materialize(pairs, "candidates")
-    ids = materialize(pairs.select(F.col("a").alias("doc_id")).union(pairs.select("b")).distinct(), "candidate-ids")
-
+def bags_of(docs: DataFrame, ids: DataFrame) -> DataFrame:
+    """(doc_id, elements) of the documents named: their elements, sorted, 32 bits each."""
     def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for lo, hi, data, at in blocks.slices(batch.column(1)):
@@ -179,6 +182,15 @@ def compared(pairs: DataFrame, docs: DataFrame) -> DataFrame:
                     [batch.column(0).slice(lo, hi - lo), pa.array([np.sort(short[i:j]).tobytes() for i, j in zip(cut[:-1], cut[1:])], pa.binary())],
                     names=["doc_id", "elements"])
 
+    return materialize(join_ids(docs.select(F.col("doc_id").cast("bigint"), "text"), ids, "left_semi").mapInArrow(
+        sets, "doc_id bigint, elements binary"), "elements")
+
+
+def compared(pairs: DataFrame, docs: DataFrame) -> DataFrame:
+    """Pairs whose weighted Jaccard similarity, computed from the texts, is SIMILARITY or more."""
+    pairs = materialize(pairs, "candidates")
+    ids = materialize(pairs.select(F.col("a").alias("doc_id")).union(pairs.select("b")).distinct(), "candidate-ids")
+
     def similar(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             good = []
@@ -191,8 +203,7 @@ def compared(pairs: DataFrame, docs: DataFrame) -> DataFrame:
             if good:
                 yield batch.filter(pa.array(good)).select(["a", "b"])
 
-    bags = materialize(join_ids(docs.select(F.col("doc_id").cast("bigint"), "text"), ids, "left_semi").mapInArrow(
-        sets, "doc_id bigint, elements binary"), "elements")
+    bags = bags_of(docs, ids)
     both = pairs.join(bags.select(F.col("doc_id").alias("a"), F.col("elements").alias("x")), "a") \
         .join(bags.select(F.col("doc_id").alias("b"), F.col("elements").alias("y")), "b").select("a", "b", "x", "y")
     return both.mapInArrow(similar, "a bigint, b bigint").distinct()
@@ -230,10 +241,88 @@ def centres(members: DataFrame) -> DataFrame:
         .agg(F.min(F.struct(-F.col("agree"), "doc_id")).alias("c")).select("band", F.col("c.doc_id").alias("centre"))
 
 
+def forest(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Places of the links that join what the earlier ones have not joined."""
+    at, keep = {}, []
+
+    def root(x: int) -> int:
+        while at.get(x, x) != x:
+            at[x] = at.get(at[x], at[x])
+            x = at[x]
+        return x
+
+    for k, (x, y) in enumerate(zip(a.tolist(), b.tolist())):
+        x, y = root(x), root(y)
+        if x != y:
+            at[x] = y
+            keep.append(k)
+    return np.array(keep, np.int64)
+
+
+def met(left: pa.Table, right: pa.Table) -> pa.Table:
+    """Links between the members of two blocks that are in different components, as a spanning forest.
+
+    The columns are band, both blocks, id, component, signature and elements, by place.
+    """
+    ids = [t.column(3).to_numpy() for t in (left, right)]
+    part = [t.column(4).to_numpy() for t in (left, right)]
+    sig = [np.frombuffer(b"".join(t.column(5).to_pylist()), np.uint32).reshape(-1, COORDINATES) for t in (left, right)]
+    low = [np.ascontiguousarray(s.astype(np.uint8).T) for s in sig]  # agree wherever the whole values do
+    bags = [[np.frombuffer(x, np.uint32) for x in t.column(6).to_pylist()] for t in (left, right)]
+    size = [np.array([len(x) for x in b], np.int64) for b in bags]
+    a, b = [], []
+    for lo in range(0, len(ids[0]), 64):
+        hi = min(lo + 64, len(ids[0]))
+        n = np.zeros((hi - lo, len(ids[1])), np.uint8)
+        for x, y in zip(low[0], low[1]):
+            n += x[lo:hi, None] == y
+        n[part[0][lo:hi, None] == part[1]] = 0
+        for i in range(lo, hi):
+            js = np.flatnonzero(n[i - lo] >= LEAST_AGREEMENT * COORDINATES)
+            js = js[(sig[1][js] == sig[0][i]).mean(1) >= LEAST_AGREEMENT]
+            js = js[np.minimum(size[1][js], size[0][i]) >= SIMILARITY * np.maximum(size[1][js], size[0][i])]
+            for j in js:
+                both = np.concatenate((bags[0][i], bags[1][j]))
+                both.sort()
+                common = int((both[1:] == both[:-1]).sum())
+                if common >= SIMILARITY * (len(both) - common):
+                    a.append(ids[0][i])
+                    b.append(ids[1][j])
+    a, b = np.array(a, np.int64), np.array(b, np.int64)
+    keep = forest(a, b)
+    a, b = a[keep], b[keep]
+    return pa.table({"a": np.minimum(a, b), "b": np.maximum(a, b)})
+
+
+def remaining(large: DataFrame, sigs: DataFrame, links: DataFrame, docs: DataFrame) -> DataFrame:
+    """Links (a, b) of the members of large buckets (band, doc_id) that the links so far leave outside their bucket's main component."""
+    part = materialize(components(links), "parts")
+    placed = large.join(part, large["doc_id"] == part["node"], "left").select("band", "doc_id", F.coalesce("component", "doc_id").alias("part"))
+    placed = materialize(placed.join(sigs.select("doc_id", "n"), "doc_id"), "placed")
+    held = materialize(placed.groupBy("band", "part").agg(F.count("*").alias("size"), F.sum("n").alias("n")), "parts-of-buckets")
+    total = held.groupBy("band").agg(F.max(F.struct("size", "n", "part")).alias("main"), F.sum("size").alias("size"), F.sum("n").alias("n"), F.count("*").alias("parts")) \
+        .filter("parts > 1")
+    cut = lambda size, n: F.ceil(F.greatest(size / BLOCK, n / BLOCK_ELEMENTS, F.lit(1))).cast("int")
+    # blocks 0 to few - 1 hold what is outside the main component, those to most - 1 the main component
+    plan = materialize(total.select("band", F.col("main.part").alias("main"), cut(F.col("size") - F.col("main.size"), F.col("n") - F.col("main.n")).alias("few"),
+                                    cut(F.col("main.size"), F.col("main.n")).alias("rest")), "block-plan")
+    deal = lambda n: F.pmod(F.xxhash64(F.lit("block"), "doc_id"), n).cast("int")
+    rows = placed.join(plan, "band").withColumn(
+        "block", F.when(F.col("part") != F.col("main"), deal(F.col("few"))).otherwise(F.col("few") + deal(F.col("rest"))))
+    rows = materialize(rows.select("band", "doc_id", "part", "block", "few", (F.col("few") + F.col("rest")).alias("most")), "blocks")
+    ids = materialize(rows.select("doc_id").distinct(), "block-ids")
+    whole = materialize(sigs.select("doc_id", "sig").join(bags_of(docs, ids), "doc_id"), "block-members")
+    full = lambda r: r.join(whole, "doc_id").select("band", "l", "r", "doc_id", "part", "sig", "elements")
+    left = full(rows.filter("block < few").withColumn("l", F.col("block")).withColumn("r", F.explode(F.expr("sequence(block, most - 1)"))))
+    right = full(rows.withColumn("r", F.col("block")).withColumn("l", F.explode(F.expr("sequence(0, least(block, few - 1))"))))
+    right = right.select(*[F.col(c).alias(f"{c}_right") for c in right.columns])
+    return materialize(left.groupBy("band", "l", "r").cogroup(right.groupBy("band_right", "l_right", "r_right")).applyInArrow(met, "a bigint, b bigint").distinct(), "links")
+
+
 def linked(docs: DataFrame, sigs: DataFrame) -> DataFrame:
     """Links (a, b) between representatives, all of SIMILARITY or more."""
     bands = materialize(banded(sigs), "bands")
-    rows, out = bands, None
+    rows, out, crowded = bands, None, None
     for level in range(LEVELS):
         sizes = materialize(rows.groupBy("band").agg(F.count("*").alias("size")).filter("size > 1"), "bucket-sizes")
         most = SMALL if level < LEVELS - 1 else sizes.agg(F.max("size")).first()[0] or 0
@@ -241,12 +330,16 @@ def linked(docs: DataFrame, sigs: DataFrame) -> DataFrame:
         large = materialize(rows.join(sizes.filter(F.col("size") > most), "band").select("band", "j", "doc_id"), "large-buckets")
         if not large.head(1):
             links = materialize(compared(agreeing(pairs, sigs), docs), "links")
-            return links if out is None else out.union(links)
+            out = links if out is None else out.union(links)
+            break
+        crowded = large.select("band", "doc_id") if crowded is None else crowded
         hubs = materialize(centres(large.join(sigs.select("doc_id", "sig"), "doc_id").select("band", "doc_id", "sig")), "centres")
         star = large.select("band", "doc_id").join(hubs, "band").filter("doc_id <> centre")
         pairs = pairs.union(star.select(F.least("doc_id", "centre").alias("a"), F.greatest("doc_id", "centre").alias("b"))).distinct()
         links = materialize(compared(agreeing(pairs, sigs), docs), "links")
         out = links if out is None else out.union(links)
+        if level == LEVELS - 1:
+            break
         # members without a link to a centre of theirs go on, by one more band
         reached = links.select(F.expr("explode(array(struct(a as doc_id, b as other), struct(b as doc_id, a as other))) as e")).select("e.*")
         met = star.select("doc_id", F.col("centre").alias("other")).distinct().join(reached, ["doc_id", "other"], "left_semi")
@@ -254,7 +347,7 @@ def linked(docs: DataFrame, sigs: DataFrame) -> DataFrame:
         next_ = rest.select("doc_id", "band", F.explode(F.sequence(F.col("j") + 1, F.col("j") + FOLLOWING)).alias("k")) \
             .select("doc_id", F.col("band").alias("before"), (F.col("k") % BANDS).alias("j"))
         rows = materialize(next_.join(bands, ["doc_id", "j"]).select(F.xxhash64("before", "band").alias("band"), "j", "doc_id"), "bands")
-    return out
+    return out if crowded is None else out.union(remaining(crowded, sigs, out, docs))
 
 
 def classes(docs: DataFrame) -> DataFrame:
@@ -269,7 +362,7 @@ def classes(docs: DataFrame) -> DataFrame:
     # stored, so that the join below is dealt out for itself and a key of many copies can be split
     first = materialize(keyed.groupBy("key_a", "key_b").agg(F.min("doc_id").alias("first")), "first-copies")
     copies = materialize(keyed.select("doc_id", "key_a", "key_b").join(first, ["key_a", "key_b"]).select("doc_id", "first").distinct(), "copies")
-    sigs = materialize(keyed.join(first.select(F.col("first").alias("doc_id"), "key_a", "key_b"), ["doc_id", "key_a", "key_b"]).select("doc_id", "sig")
+    sigs = materialize(keyed.join(first.select(F.col("first").alias("doc_id"), "key_a", "key_b"), ["doc_id", "key_a", "key_b"]).select("doc_id", "n", "sig")
                        .dropDuplicates(["doc_id"]), "representatives")
     same = copies.select(F.col("first").alias("a"), F.col("doc_id").alias("b")).filter("a <> b")
     links = linked(docs, sigs)

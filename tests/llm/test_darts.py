@@ -54,6 +54,24 @@ def test_classes_equal_exact_join_with_a_large_group(spark, frame):
     assert got == {i: (c, i == c) for i, c in {**exact(rows), 1003: 1003, 1004: 1004, 1005: 1005}.items()}
 
 
+def variants(n, kept, units=60, seed=9):
+    """Variants of one text of so many units of ten words that each have words of their own in place of some units."""
+    rng = random.Random(seed)
+    rows = []
+    for i in range(n):
+        own = set(rng.sample(range(units), round(units * (1 - kept))))
+        rows.append((i, " ".join(f"x{i}y{k}z{w}" if k in own else f"t{k}z{w}" for k in range(units) for w in range(10))))
+    return rows
+
+
+def test_caps_only_save_work(spark, frame, monkeypatch):
+    for name, value in (("SMALL", 2), ("CENTRES", 1), ("FOLLOWING", 1), ("BLOCK", 16)):
+        monkeypatch.setattr(darts, name, value, raising=False)
+    rows = variants(100, 0.95)
+    got = {r.doc_id: r.class_id for r in darts.classes(frame(rows, "doc_id bigint, text string")).collect()}
+    assert got == exact(rows)
+
+
 def test_null_ids_repeated_rows_and_empty_table(spark, frame):
     text = "a b c d e f g"
     rows = [(2, text), (2, text), (None, text), (5, text), (5, "quite another text of some six words")]
