@@ -325,9 +325,8 @@ def linked(docs: DataFrame, sigs: DataFrame) -> DataFrame:
     rows, out, crowded = bands, None, None
     for level in range(LEVELS):
         sizes = materialize(rows.groupBy("band").agg(F.count("*").alias("size")).filter("size > 1"), "bucket-sizes")
-        most = SMALL if level < LEVELS - 1 else sizes.agg(F.max("size")).first()[0] or 0
-        pairs = all_pairs(rows.join(sizes.filter(F.col("size") <= most), "band").select("band", "doc_id"))
-        large = materialize(rows.join(sizes.filter(F.col("size") > most), "band").select("band", "j", "doc_id"), "large-buckets")
+        pairs = all_pairs(rows.join(sizes.filter(F.col("size") <= SMALL), "band").select("band", "doc_id"))
+        large = materialize(rows.join(sizes.filter(F.col("size") > SMALL), "band").select("band", "j", "doc_id"), "large-buckets")
         if not large.head(1):
             links = materialize(compared(agreeing(pairs, sigs), docs), "links")
             out = links if out is None else out.union(links)

@@ -67,9 +67,17 @@ def variants(n, kept, units=60, seed=9):
 def test_caps_only_save_work(spark, frame, monkeypatch):
     for name, value in (("SMALL", 2), ("CENTRES", 1), ("FOLLOWING", 1), ("BLOCK", 16)):
         monkeypatch.setattr(darts, name, value, raising=False)
+    paired, sizes = darts.all_pairs, []
+
+    def seen(rows):
+        sizes.append(rows.groupBy("band").count().agg({"count": "max"}).first()[0] or 0)
+        return paired(rows)
+
+    monkeypatch.setattr(darts, "all_pairs", seen)
     rows = variants(100, 0.95)
     got = {r.doc_id: r.class_id for r in darts.classes(frame(rows, "doc_id bigint, text string")).collect()}
     assert got == exact(rows)
+    assert max(sizes) <= 2, sizes
 
 
 def test_null_ids_repeated_rows_and_empty_table(spark, frame):
