@@ -30,7 +30,7 @@ ORDER = 4                # bytes; 7 at most, as an n-gram is one long
 PRIOR_BYTES = 64         # weight of the language's median in the score of a document
 HIGH = 0.95              # quantile of the trusted scores of a language ...
 REACH = 3.0              # ... whose distance from the median, so many times, is still accepted
-LEAST_TRUSTED = 30       # trusted documents below which a language takes the limit of all
+LEAST_TRUSTED = 30       # trusted documents below which a language has no limit
 FOLD_BYTES = 1 << 21
 
 
@@ -204,8 +204,9 @@ def judged(docs: DataFrame, labels: DataFrame, order: int = ORDER) -> DataFrame:
     Trusted are documents labelled quality 1. The score is the mean negative log-probability of a
     byte, drawn to the median of its language by ``PRIOR_BYTES`` bytes, as short texts say little.
     A language's threshold lies REACH times the distance of its median and HIGH quantile above the
-    median; a null language and one with few trusted documents take those of all languages.
-    Null and empty texts have no perplexity and are rejected; without trusted text none else is.
+    median; null is a language of its own. A language with fewer than LEAST_TRUSTED trusted documents
+    has no threshold and loses no text, as the limits of other languages, whose bytes the model
+    knows, say nothing of it. Null and empty texts have no perplexity and are rejected everywhere.
     """
     trusted = materialize(labels.filter("quality = 1 and doc_id is not null").select("doc_id").distinct(), "trusted")
     raw = materialize(scored(docs, join_ids(docs.select("doc_id", "text"), trusted, "left_semi"), order), "nll")
@@ -213,7 +214,7 @@ def judged(docs: DataFrame, labels: DataFrame, order: int = ORDER) -> DataFrame:
     known = materialize(known.select("doc_id", "lang", "n_bytes", "mean", F.coalesce("trust", F.lit(False)).alias("trust")), "nll-trust")
     middle = _by_language(known, F.col("mean"), [0.5])
     full = _with_language(known, middle).withColumn(
-        "score", (F.col("mean") * F.col("n_bytes") + F.col("q")[0] * PRIOR_BYTES) / (F.col("n_bytes") + PRIOR_BYTES)).drop("q")
+        "score", (F.col("mean") * F.col("n_bytes") + F.coalesce(F.col("q")[0], F.col("mean")) * PRIOR_BYTES) / (F.col("n_bytes") + PRIOR_BYTES)).drop("q")
     full = materialize(full, "nll-score")
     limit = _with_language(full, _by_language(full, F.col("score"), [0.5, HIGH]))
     threshold = F.col("q")[0] + REACH * (F.col("q")[1] - F.col("q")[0])
@@ -222,20 +223,14 @@ def judged(docs: DataFrame, labels: DataFrame, order: int = ORDER) -> DataFrame:
 
 
 def _by_language(rows: DataFrame, value, quantiles: list[float]) -> DataFrame:
-    """(lang, q) from trusted rows, lang null for all of them; exact on values folded to 4 digits before they meet."""
+    """(language, q) from trusted rows of each language that has enough; exact on values folded to 4 digits before they meet."""
     folded_ = rows.filter("trust and n_bytes > 0").groupBy("lang", F.round(value, 4).alias("v")).agg(F.count("*").alias("n"))
-    each = folded_.filter("lang is not null").groupBy("lang").agg(F.sum("n").alias("trusted"), F.percentile("v", quantiles, F.col("n")).alias("q")) \
-        .filter(F.col("trusted") >= LEAST_TRUSTED)
-    every = folded_.groupBy("v").agg(F.sum("n").alias("n")).agg(F.percentile("v", quantiles, F.col("n")).alias("q"))
-    return materialize(each.select("lang", "q").union(every.select(F.lit(None).cast("string"), "q")), "quantiles")
+    each = folded_.groupBy("lang").agg(F.sum("n").alias("trusted"), F.percentile("v", quantiles, F.col("n")).alias("q"))
+    return materialize(each.filter(F.col("trusted") >= LEAST_TRUSTED).select(F.col("lang").alias("language"), "q"), "quantiles")
 
 
 def _with_language(rows: DataFrame, limits: DataFrame) -> DataFrame:
-    own = rows.join(limits.filter("lang is not null"), "lang", "left")
-    rest = limits.filter("lang is null").first()
-    if rest is None or rest["q"] is None:
-        return own
-    return own.withColumn("q", F.coalesce("q", F.array(*[F.lit(float(x)) for x in rest["q"]])))
+    return rows.join(limits, rows["lang"].eqNullSafe(limits["language"]), "left").drop("language")
 
 
 def clean(docs: DataFrame, labels: DataFrame) -> DataFrame:

@@ -76,6 +76,19 @@ def test_odd_tables(spark, frame):
     assert kneser.judged(docs, labels.limit(0)).filter("rejected and n_bytes > 0").count() == 0
 
 
+def test_keeps_clean_text_of_a_rare_language_in_another_script(spark, frame):
+    rng = random.Random(4)
+    words = lambda letters, n: " ".join("".join(rng.choice(letters) for _ in range(rng.randint(2, 7))) for _ in range(n))
+    latin, greek = "etaoinshrdlu", "αβγδεζηθικλμνοπρστ"
+    rows = [(i, words(latin, 60), "en") for i in range(80)] + [(100 + i, words(greek, 60), "el") for i in range(5)]
+    rows += [(200, words(greek, 60), None), (300, "#$%&*|~^" * 40, "en"), (301, "", "el"), (302, None, None)]
+    docs = frame(rows, "doc_id bigint, text string, lang string")
+    labels = frame([(i, 1, 0) for i in range(60)], "doc_id bigint, quality int, toxic int")
+    got = {r.doc_id: r for r in kneser.judged(docs, labels).collect()}
+    assert {i for i in got if got[i].rejected and i >= 100} == {300, 301, 302}
+    assert got[101].threshold is None and got[101].score is not None
+
+
 def test_lookup():
     rng = np.random.default_rng(1)
     keys = np.unique(rng.integers(0, 1 << 40, 5000))
