@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -141,14 +141,31 @@ def _(spark, sf):
     return files.read_profile(spark, path, calibrated=False).services
 
 
+SLICE = 1 << 14  # event ids that a document of a user spans
+
+
+def sliced_documents(events: DataFrame, width: int = SLICE) -> DataFrame:
+    """(user_id, slice, permissions): a user's events in documents that span ``width`` event ids each."""
+    return events.groupBy("user_id", F.expr(f"event_id div {width}").alias("slice")).agg(
+        F.sort_array(F.collect_list(F.struct("event_id", "user_id", "value", F.expr(f"event_id div {width}").alias("slice")))).alias("permissions"))
+
+
+def whole_ordinals(rows: DataFrame) -> DataFrame:
+    """``ordinal`` within a user, from the place in the slice and the counts of the slices before it."""
+    before = Window.partitionBy("user_id").orderBy("slice").rowsBetween(Window.unboundedPreceding, -1)
+    counts = rows.groupBy("user_id", "slice").agg(F.count("*").alias("n")).select(
+        F.col("user_id").alias("u"), F.col("slice").alias("s"), F.coalesce(F.sum("n").over(before), F.lit(0)).alias("earlier"))
+    return rows.join(counts, F.col("user_id").eqNullSafe(F.col("u")) & F.col("slice").eqNullSafe(F.col("s"))) \
+        .withColumn("ordinal", (F.col("ordinal") + F.col("earlier")).cast("int")).drop("u", "s", "earlier", "slice")
+
+
 @query("a8_nested_lists", f"""SELECT user_id, (row_number() OVER (PARTITION BY user_id ORDER BY event_id) - 1)::INTEGER AS ordinal, event_id,
   {r('value')} AS value FROM events""")
 def _(spark, sf):
     path = folder(spark, "policies")
-    # one document per user, as long as the user has events
-    A.table(spark, sf, "events").groupBy("user_id").agg(
-        F.sort_array(F.collect_list(F.struct("event_id", "user_id", "value"))).alias("permissions")).write.json(path)
-    return files.nested_list(spark, path, "permissions array<struct<event_id: bigint, user_id: bigint, value: double>>", "permissions", lines=True)
+    sliced_documents(A.table(spark, sf, "events")).write.json(path)
+    schema = "permissions array<struct<event_id: bigint, user_id: bigint, value: double, slice: bigint>>"
+    return whole_ordinals(files.nested_list(spark, path, schema, "permissions", lines=True))
 
 
 @query("a10_stored_windows", f"WITH {A.EVENTS_SQL} SELECT device, ws AS window_start, count(*) AS flows FROM conn GROUP BY ALL")

@@ -83,3 +83,16 @@ def test_flow_files_and_policy_lists(spark, tmp_path):
     nested = T.StructType([T.StructField("permissions", T.ArrayType(T.StructType([T.StructField("initiator", T.StringType())])))])
     got = files.nested_list(spark, str(tmp_path / "policy.json"), nested, "permissions").collect()
     assert [(r["ordinal"], r["initiator"]) for r in got] == [(0, "a"), (1, "b")]
+
+
+def test_nested_documents_are_bounded_and_ordinals_go_on(spark, tmp_path):
+    from fluxprint.plans import sources
+
+    rows = [(i, 1 if i % 3 else 2, float(i)) for i in range(100)] + [(200, None, 1.0), (205, None, 2.0)]
+    documents = sources.sliced_documents(spark.createDataFrame(rows, "event_id bigint, user_id bigint, value double"), 8)
+    assert documents.selectExpr("max(size(permissions))").first()[0] <= 8
+    documents.write.json(str(tmp_path / "documents"))
+    schema = "permissions array<struct<event_id: bigint, user_id: bigint, value: double, slice: bigint>>"
+    got = sources.whole_ordinals(files.nested_list(spark, str(tmp_path / "documents"), schema, "permissions", lines=True)).collect()
+    want = {e: sum(1 for f, v, _ in rows if v == u and f < e) for e, u, _ in rows}
+    assert len(got) == len(rows) and {r.event_id: r.ordinal for r in got} == want
