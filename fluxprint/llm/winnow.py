@@ -149,7 +149,8 @@ def neighbours(docs: DataFrame, id: str = "doc_id", text: str = "text") -> DataF
     The next document is the one with the next smaller id, for the smallest the one with the
     largest; the edited form ends in the next document's first code points, as many as the half
     that they replace, or all. Columns: ``doc_id, n_chars, edited_sha256, marks, edited_marks,
-    near_edited, near_next``, marks as arrays of hash * 2^32 + position. A null text is empty; two
+    near_edited, near_next``, marks as arrays of hash * 2^32 + position
+    (64 bits as Spark's signed long). A null text is empty; two
     empty fingerprints are alike. A table of one row is its own next; an empty table gives no rows.
     Columns besides the two are left behind.
     """
