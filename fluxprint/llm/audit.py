@@ -113,9 +113,10 @@ def combinations(docs: DataFrame, labels: DataFrame, id: str = "doc_id", text: s
 def interactions(combos: DataFrame, filters: str = FILTERS) -> DataFrame:
     """What every step of every order of ``filters`` keeps, removes and duplicates, per part.
 
-    ``combos`` is :func:`combinations`; each of its rows meets the steps of all orders, 600 for
-    five filters, a number that no table changes.
+    ``combos`` is :func:`combinations`, stored as it is read twice; each of its rows meets the steps
+    of all orders, 600 for five filters, a number that no table changes.
     """
+    combos = materialize(combos, "filter-combinations")
     orders = " ".join("".join(p) for p in permutations(filters))
     steps = combos.select("*", F.explode(F.split(F.lit(orders), " ")).alias("filter_order")).select("*", F.posexplode(F.split("filter_order", "")).alias("step", "filter"))
 
