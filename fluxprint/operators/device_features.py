@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 
 from fluxprint.functions import ordered, stats
 from fluxprint.functions.scalars import service_category, signed_log_ratio
+from fluxprint.operators import identity
 from fluxprint.schemas import Clock
 
 KEYS = ["device", "window_start"]
@@ -44,9 +45,13 @@ def window_over(minutes: Minutes, first: int, last: int, keys: Sequence[str] = E
     return Window.partitionBy(*keys).orderBy("window_start").rangeBetween(first * step, last * step)
 
 
-# F17
-def dense_grid(devices: DataFrame, start: int, end: int, outages: DataFrame, clock: Clock) -> DataFrame:
-    """Every device in every window, its availability and its memory epoch."""
+# F17, G1
+def dense_grid(devices: DataFrame, start: int, end: int, outages: DataFrame, clock: Clock, spans: DataFrame | None = None) -> DataFrame:
+    """Every device in every window, its availability and its memory epoch.
+
+    ``spans`` are what makes up the devices' identities (see ``identity.identity_marks``). A changed
+    identity ends the epoch, and begins another ``lifetime``, whose memory knows nothing of the last one.
+    """
     step = clock.window
     cells = devices.select("device", "device_type", F.explode(
         F.sequence(F.lit(start).cast("bigint"), F.lit(end - step).cast("bigint"), F.lit(step).cast("bigint"))).alias("window_start"))
@@ -55,7 +60,16 @@ def dense_grid(devices: DataFrame, start: int, end: int, outages: DataFrame, clo
         F.lit(step).cast("bigint"))).alias("window_start")).distinct()
     marked = (cells.join(dark.withColumn("_dark", F.lit(True)), KEYS, "left")
               .withColumn("available", F.col("_dark").isNull()).drop("_dark"))
-    return ordered.availability_epochs(marked, ["device"], "window_start", step)
+    if spans is None:
+        return ordered.availability_epochs(marked, ["device"], "window_start", step).withColumn("lifetime", F.lit(0).cast("bigint"))
+    marks = identity.identity_marks(spans, step).withColumn("window_start", F.greatest("window_start", F.lit(start).cast("bigint")))
+    marks = marks.groupBy(*KEYS).agg(F.bit_xor("mark").alias("_mark"))
+    upto = Window.partitionBy("device").orderBy("window_start").rowsBetween(Window.unboundedPreceding, 0)
+    told = marked.join(marks, KEYS, "left").withColumn("_identity", F.coalesce(F.bit_xor("_mark").over(upto), F.lit(0)))
+    lived = ordered.availability_epochs(told, ["device"], "window_start", step, identity="_identity")
+    before = F.lag("_identity").over(Window.partitionBy("device").orderBy("window_start"))
+    changed = F.coalesce(before != F.col("_identity"), F.lit(False)).cast("int")
+    return lived.withColumn("_changed", changed).withColumn("lifetime", F.sum("_changed").over(upto)).drop("_mark", "_identity", "_changed")
 
 
 def endpoint_view(flows: DataFrame) -> DataFrame:
@@ -146,13 +160,13 @@ def destination_ports(minutes: Minutes) -> DataFrame:
 def destinations(minutes: Minutes, memory: DataFrame | None = None) -> DataFrame:
     """Distinct destinations, and the share of rows towards unseen ones.
 
-    Only available windows enter the memory, and an outage does not clear it.
+    Only available windows enter the memory. An outage does not clear it, a changed identity does.
     ``memory`` holds what earlier windows outside this table have seen, as
     ``device, peer_address, first_seen``.
     """
     per_peer = (minutes.view.filter("originated").groupBy(*KEYS, "peer_address").agg(F.count(F.lit(1)).alias("n"))
-                .join(minutes.grid.select(*KEYS, "available"), KEYS))
-    first = F.min(F.when(F.col("available"), F.col("window_start"))).over(Window.partitionBy("device", "peer_address"))
+                .join(minutes.grid.select(*KEYS, "available", "lifetime"), KEYS))
+    first = F.min(F.when(F.col("available"), F.col("window_start"))).over(Window.partitionBy("device", "lifetime", "peer_address"))
     if memory is not None:
         per_peer = per_peer.join(memory, ["device", "peer_address"], "left")
         first = F.least(first, F.col("first_seen"))

@@ -143,6 +143,24 @@ def inventory_status(clipped: DataFrame) -> DataFrame:
         F.bool_or(F.col("_moved") | F.col("_none")).alias("unavailable"))
 
 
+# G1
+def identity_marks(spans: DataFrame, window: int) -> DataFrame:
+    """Where the set of things that make up a device's identity changes, as ``device, window_start, mark``.
+
+    ``spans`` holds ``device, value, start, end``: an address, a hardware address or a kind, and
+    when it held (a missing end is open). A value counts in every window that its span touches.
+    The running XOR of the marks of a device is a digest of the set that holds in a window: a
+    value's hash enters with its first window and leaves after its last, so a device costs two
+    rows per span and no window meets all spans.
+    """
+    whole = merged_spans(spans, ["device", "value"], "start", "end")
+    first = F.floor(F.col("_s") / window) * window
+    after = F.when(F.col("_e") < FOREVER, F.ceil(F.col("_e") / window) * window)
+    ends = F.explode(F.filter(F.array(first.cast("bigint"), after.cast("bigint")), lambda x: x.isNotNull()))
+    marks = whole.select("device", F.xxhash64("value").alias("mark"), ends.alias("window_start"))
+    return marks.groupBy("device", "window_start").agg(F.bit_xor("mark").alias("mark"))
+
+
 # C4
 def addresses_of(connections: DataFrame) -> DataFrame:
     """Distinct ``(device, ip)`` a device opened flows from."""

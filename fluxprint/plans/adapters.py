@@ -18,6 +18,7 @@ START = 1_704_067_200            # first day of the event table, UTC
 END = START + 30 * DAY
 TRAIN_END = START + 21 * DAY     # the profile is frozen on the first 70 %
 WINDOW = 21_600                  # the table is sparse, so windows are six hours
+MAC_CHANGE = START + 12 * DAY + 3600   # one in thirteen devices gets another MAC, within a window
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -102,6 +103,16 @@ def leases(spark: SparkSession, sf_dir: str) -> DataFrame:
         f"cast(if(id % 7 = 0, {START + 15 * DAY}, {END}) as bigint) as lease_end")
 
 
+def identity_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What makes up a device: its address while leased, and its MAC, which one in thirteen devices changes."""
+    macs = devices(spark, sf_dir).select("device", F.expr(f"""explode(if(id % 13 = 5,
+        array(named_struct('v', mac, 'start', {START}, 'end', {MAC_CHANGE}), named_struct('v', concat(mac, ':b'), 'start', {MAC_CHANGE}, 'end', null)),
+        array(named_struct('v', mac, 'start', {START}, 'end', null)))) as m"""))
+    held = macs.select("device", F.concat(F.lit("mac:"), F.col("m.v")).alias("value"), F.col("m.start").cast("double").alias("start"), F.col("m.end").cast("double").alias("end"))
+    return held.unionByName(leases(spark, sf_dir).select("device", F.concat(F.lit("ip:"), F.col("ip")).alias("value"), F.col("lease_start").cast("double").alias("start"),
+                                                         F.col("lease_end").cast("double").alias("end")))
+
+
 def outages(spark: SparkSession, sf_dir: str) -> DataFrame:
     """One in ten devices is dark for a day; the sensor is dark for six hours."""
     dark = f"""explode(filter(array(
@@ -149,6 +160,10 @@ lease AS (
   SELECT device, '10.' || ((id // 65536) % 256) || '.' || ((id // 256) % 256) || '.' || (id % 256) AS ip,
          {START} AS ls, CASE WHEN id % 7 = 0 THEN {START + 15 * DAY} ELSE {END} END AS le
   FROM dev WHERE id % 7 <> 3),
+idspan AS (
+  SELECT device, 'ip:' || ip AS v, ls AS s, le AS e FROM lease
+  UNION ALL SELECT device, 'mac:' || id, {START}, CASE WHEN id % 13 = 5 THEN {MAC_CHANGE} ELSE {2**53} END FROM dev
+  UNION ALL SELECT device, 'mac:' || id || ':b', {MAC_CHANGE}, {2**53} FROM dev WHERE id % 13 = 5),
 outage AS (
   SELECT device, {START + 10 * DAY} AS s, {START + 11 * DAY} AS e FROM dev WHERE id % 10 = 4
   UNION ALL SELECT device, {START + 20 * DAY}, {START + 20 * DAY + WINDOW} FROM dev)"""

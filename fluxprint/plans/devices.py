@@ -36,11 +36,14 @@ v AS (
          {category('proto', 'resp_p')} FROM res WHERE rd IS NOT NULL AND rd IS DISTINCT FROM od),
 grid0 AS (
   SELECT device, device_type, ws::BIGINT AS ws,
-         NOT EXISTS (SELECT 1 FROM outage WHERE outage.device = dev.device AND s < g.ws + {W} AND e > g.ws) AS available
+         NOT EXISTS (SELECT 1 FROM outage WHERE outage.device = dev.device AND s < g.ws + {W} AND e > g.ws) AS available,
+         (SELECT coalesce(string_agg(v, ',' ORDER BY v), '') FROM idspan i WHERE i.device = dev.device AND s < g.ws + {W} AND e > g.ws) AS ident
   FROM dev CROSS JOIN range({A.START}, {A.END}, {W}) g(ws)),
+grid1 AS (SELECT *, coalesce(lag(ident) OVER (PARTITION BY device ORDER BY ws) <> ident, false) AS moved,
+    coalesce(NOT lag(available) OVER (PARTITION BY device ORDER BY ws), false) AS dark FROM grid0),
 grid AS (
-  SELECT *, sum(brk) OVER (PARTITION BY device ORDER BY ws)::BIGINT AS epoch FROM (
-    SELECT *, CASE WHEN NOT lag(available) OVER (PARTITION BY device ORDER BY ws) THEN 1 ELSE 0 END AS brk FROM grid0)),
+  SELECT device, device_type, ws, available, sum((moved OR dark)::INT) OVER (PARTITION BY device ORDER BY ws)::BIGINT AS epoch,
+    sum(moved::INT) OVER (PARTITION BY device ORDER BY ws)::BIGINT AS life FROM grid1),
 vol AS (
   SELECT device, ws, sum(tx)::BIGINT AS tx_ip_bytes, sum(rx)::BIGINT AS rx_ip_bytes, sum(txp)::BIGINT AS tx_packets,
     sum(rxp)::BIGINT AS rx_packets, count(*) AS active_flows, count(*) FILTER (WHERE o AND nf) AS initiated_flows,
@@ -83,7 +86,9 @@ ed1 AS (
     {', '.join(f"bool_or(cat = '{s}') AS service_{s}" for s in SERVICES)}
   FROM ed0 GROUP BY ALL),
 ed AS (
-  SELECT * FROM (SELECT *, ws = min(ws) OVER (PARTITION BY source, target) AS new_edge FROM ed1) e
+  SELECT * EXCLUDE (sl, tl) FROM (SELECT *, ws = min(ws) OVER (PARTITION BY source, target, sl, tl) AS new_edge FROM (
+    SELECT ed1.*, gs.life AS sl, gt.life AS tl FROM ed1 LEFT JOIN grid gs ON gs.device = source AND gs.ws = ed1.ws
+    LEFT JOIN grid gt ON gt.device = target AND gt.ws = ed1.ws)) e
   WHERE NOT EXISTS (SELECT 1 FROM grid g WHERE g.ws = e.ws AND NOT available AND (g.device = source OR g.device = target))),
 led AS (SELECT * FROM ed WHERE NOT starts_with(source, 'external_service:') AND NOT starts_with(target, 'external_service:'))"""
 
@@ -101,7 +106,7 @@ def resolved(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def grid(spark: SparkSession, sf: str) -> DataFrame:
-    return D.dense_grid(A.devices(spark, sf), A.START, A.END, A.outages(spark, sf), CLOCK)
+    return D.dense_grid(A.devices(spark, sf), A.START, A.END, A.outages(spark, sf), CLOCK, A.identity_spans(spark, sf))
 
 
 def minutes(spark: SparkSession, sf: str, keep=lambda df, name: df) -> D.Minutes:
@@ -128,10 +133,10 @@ def _(spark, sf):
 
 @query("f17_dense_grid", sql("SELECT device, device_type, ws AS window_start, available FROM grid"))
 def _(spark, sf):
-    return grid(spark, sf).drop("epoch")
+    return grid(spark, sf).drop("epoch", "lifetime")
 
 
-@query("g1_availability_epochs", sql("SELECT device, ws AS window_start, available, epoch FROM grid"))
+@query("g1_availability_epochs", sql("SELECT device, ws AS window_start, available, epoch, life AS lifetime FROM grid"))
 def _(spark, sf):
     return grid(spark, sf).drop("device_type")
 
@@ -175,7 +180,7 @@ def _(spark, sf):
 
 
 @query("f4_new_destinations", sql(f"""SELECT device, ws AS window_start, {r('avg(nw)')} AS new_destination_fraction FROM (
-    SELECT v.device, v.ws, available, CASE WHEN min(CASE WHEN available THEN v.ws END) OVER (PARTITION BY v.device, pa ORDER BY v.ws
+    SELECT v.device, v.ws, available, CASE WHEN min(CASE WHEN available THEN v.ws END) OVER (PARTITION BY v.device, life, pa ORDER BY v.ws
       RANGE BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) IS NULL THEN 1.0 ELSE 0.0 END AS nw
     FROM v JOIN grid g ON g.device = v.device AND g.ws = v.ws WHERE o) WHERE available GROUP BY ALL"""))
 def _(spark, sf):

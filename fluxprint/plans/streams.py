@@ -193,7 +193,7 @@ def _(spark, sf):
   {r('nf', 4)} AS new_destination_fraction, {r('m15', 4)} AS rolling_tx_mean_15m, {r('fg', 4)} AS flow_gap_min
   FROM (SELECT *, avg(tx_ip_bytes) OVER (PARTITION BY device, epoch ORDER BY ws ROWS BETWEEN 15 PRECEDING AND 1 PRECEDING) AS m15 FROM cells) c
   LEFT JOIN (SELECT device, ws, count(DISTINCT pa) AS ud FROM v WHERE o GROUP BY ALL) USING (device, ws)
-  LEFT JOIN (SELECT device, ws, avg(nw) AS nf FROM (SELECT v.device, v.ws, CASE WHEN min(CASE WHEN available THEN v.ws END) OVER (PARTITION BY v.device, pa
+  LEFT JOIN (SELECT device, ws, avg(nw) AS nf FROM (SELECT v.device, v.ws, CASE WHEN min(CASE WHEN available THEN v.ws END) OVER (PARTITION BY v.device, life, pa
       ORDER BY v.ws RANGE BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) IS NULL THEN 1.0::DOUBLE ELSE 0 END AS nw
     FROM v JOIN grid g ON g.device = v.device AND g.ws = v.ws WHERE o) GROUP BY ALL) USING (device, ws)
   LEFT JOIN (SELECT device, ws, min(g) AS fg FROM (SELECT device, ws, CASE WHEN p >= ws - {15 * W} AND t > p THEN t - p END AS g FROM (
