@@ -72,10 +72,11 @@ def dense_grid(devices: DataFrame, start: int, end: int, outages: DataFrame, clo
     return lived.withColumn("_changed", changed).withColumn("lifetime", F.sum("_changed").over(upto)).drop("_mark", "_identity", "_changed")
 
 
-def endpoint_view(flows: DataFrame) -> DataFrame:
+def endpoint_view(flows: DataFrame, *kept: str) -> DataFrame:
     """Each interval row once per resolved end, in one pass over the rows.
 
-    A row whose two ends are the same device is seen from its origin only.
+    A row whose two ends are the same device is seen from its origin only. ``kept`` names more
+    columns that pass through.
     """
     def side(originated: bool) -> Column:
         me, other = ("orig", "resp") if originated else ("resp", "orig")
@@ -88,9 +89,9 @@ def endpoint_view(flows: DataFrame) -> DataFrame:
     received = F.when(~F.col("resp_device").eqNullSafe(F.col("orig_device")), side(False))
     ends = F.filter(F.array(side(True), received), lambda e: e["device"].isNotNull())
     rows = flows.select("window_start", "uid", "proto", F.col("resp_p").alias("port"), "flow_start", "new_flow",
-                        F.col("observed_duration").alias("duration"), "established", "failed", F.explode(ends).alias("e"))
+                        F.col("observed_duration").alias("duration"), "established", "failed", *kept, F.explode(ends).alias("e"))
     return rows.select("window_start", "uid", "proto", "port", "flow_start", "new_flow", "duration", "established",
-                       "failed", "e.*").withColumn("local", F.col("peer_device").isNotNull())
+                       "failed", *kept, "e.*").withColumn("local", F.col("peer_device").isNotNull())
 
 
 def on_grid(minutes: Minutes, *tables: DataFrame) -> DataFrame:
@@ -294,23 +295,30 @@ def stream_features(minutes: Minutes) -> DataFrame:
         (F.max("_starts") / F.sum("_starts")).alias("stream_top_start_fraction_1h"))
 
 
-# F11
-def receiver(minutes: Minutes, cells: DataFrame) -> DataFrame:
-    """What reaches a device; its memory of initiators ends with the epoch."""
+def inbound_outcome(minutes: Minutes) -> tuple[DataFrame, DataFrame]:
+    """What a window alone tells of the rows that reach a device: outcome and row count, and distinct ports."""
     inbound = minutes.view.filter(~F.col("originated"))
     decided = (F.col("proto") == "tcp") & (F.col("failed") | F.col("established"))
     outcome = inbound.groupBy(*KEYS).agg(
         F.avg(F.when(decided, F.col("failed").cast("double"))).alias("inbound_failed_fraction"),
         F.count(F.lit(1)).alias("_rows"))
+    ports = (inbound.filter(F.col("proto").isin("tcp", "udp") & F.col("port").isNotNull())
+             .groupBy(*KEYS, "proto", "port").agg(F.count(F.lit(1)).alias("n"))
+             .groupBy(*KEYS).agg(F.count(F.lit(1)).alias("unique_inbound_ports")))
+    return outcome, ports
+
+
+# F11
+def receiver(minutes: Minutes, cells: DataFrame) -> DataFrame:
+    """What reaches a device; its memory of initiators ends with the epoch."""
+    inbound = minutes.view.filter(~F.col("originated"))
+    outcome, ports = inbound_outcome(minutes)
     per_peer = inbound.groupBy(*KEYS, "peer_address").agg(F.count(F.lit(1)).alias("n")).join(
         minutes.grid.filter("available").select(*KEYS, "epoch"), KEYS)
     first = F.min("window_start").over(Window.partitionBy(*EPOCH, "peer_address"))
     peers = (per_peer.withColumn("_new", first == F.col("window_start")).groupBy(*KEYS)
              .agg(F.count(F.lit(1)).alias("unique_initiators"),
                   F.avg(F.col("_new").cast("double")).alias("new_initiator_fraction")))
-    ports = (inbound.filter(F.col("proto").isin("tcp", "udp") & F.col("port").isNotNull())
-             .groupBy(*KEYS, "proto", "port").agg(F.count(F.lit(1)).alias("n"))
-             .groupBy(*KEYS).agg(F.count(F.lit(1)).alias("unique_inbound_ports")))
     mean = F.avg("inbound_flows").over(window_over(minutes, -minutes.clock.short, -1))
     change = cells.filter("available").select(
         *KEYS, "active_flows", signed_log_ratio(F.col("inbound_flows"), mean).alias("inbound_flows_change_5m"))

@@ -78,9 +78,9 @@ def both_directions(flow_rows: DataFrame) -> DataFrame:
         {"device": F.col("_e.d"), "initiated": F.col("_e.i")}).drop("_e")
 
 
-def telemetry(spark: SparkSession, sf_dir: str, window: int = WINDOW) -> DataFrame:
+def telemetry(spark: SparkSession, sf_dir: str, window: int = WINDOW, raw: DataFrame | None = None) -> DataFrame:
     """Interval telemetry: one row per connection and window."""
-    return connections(spark, sf_dir).selectExpr(
+    return connections(spark, sf_dir, raw).selectExpr(
         f"cast(floor(ts / {window}) * {window} as bigint) as window_start", "uid", "orig_h", "resp_h", "orig_p", "resp_p", "proto",
         "ts as flow_start", "orig_bytes as orig_ip_bytes", "resp_bytes as resp_ip_bytes", "orig_pkts", "resp_pkts",
         "value / 100 as observed_duration", "proto = 'tcp' and event_type <> 'error' and k % 5 <> 0 as established",

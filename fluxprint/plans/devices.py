@@ -101,8 +101,8 @@ def rounded(columns: list[str]) -> str:
     return ", ".join(f"{r(c)} AS {c}" for c in columns)
 
 
-def resolved(spark: SparkSession, sf: str) -> DataFrame:
-    return identity.resolve_flow(A.telemetry(spark, sf), A.leases(spark, sf), A.devices(spark, sf))
+def resolved(spark: SparkSession, sf: str, telemetry: DataFrame | None = None) -> DataFrame:
+    return identity.resolve_flow(A.telemetry(spark, sf) if telemetry is None else telemetry, A.leases(spark, sf), A.devices(spark, sf))
 
 
 def grid(spark: SparkSession, sf: str) -> DataFrame:

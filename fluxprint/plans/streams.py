@@ -3,18 +3,20 @@
 from __future__ import annotations
 
 import uuid
+from collections.abc import Iterator
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from fluxprint.functions.scalars import bucket_start
+from fluxprint.operators import device_features as D
 from fluxprint.operators import evidence
 from fluxprint.plans import adapters as A
 from fluxprint.plans import devices as V
 from fluxprint.plans.registry import query, r
 from fluxprint.session import configure, materialize, shared_dir
 from fluxprint.streaming import features, ledger, telemetry
-from fluxprint.streaming.state import VersionedTables, drain
+from fluxprint.streaming.sinks import BatchTables, append, drain, timed
 
 W = A.WINDOW
 LATE = 3600
@@ -25,8 +27,28 @@ def event_stream(spark: SparkSession, sf: str) -> DataFrame:
     return configure(spark).readStream.schema(schema).parquet(f"{sf}/events*.parquet")
 
 
-def new_tables(spark: SparkSession, name: str) -> VersionedTables:
-    return VersionedTables(f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}")
+def new_folder(spark: SparkSession, name: str) -> str:
+    return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
+
+
+def deliveries(spark: SparkSession, sf: str, name: str, cuts: list[int]) -> Iterator[DataFrame]:
+    """The event table as it would arrive: a stream over a folder, again after each delivery of the time up to a cut.
+
+    With the last one comes a heartbeat, a day after the table's end, which closes all its windows. It is
+    of a device known by its MAC alone, as the leases have ended by then.
+    """
+    folder = new_folder(spark, name)
+    events = A.table(spark, sf, "events")
+    someone = A.devices(spark, sf).filter("id % 7 = 3").agg(F.min("id")).first()[0]
+    t = A.epoch(F.col("ts"))
+    for lo, hi in zip(cuts, cuts[1:]):
+        part = events.filter((t >= lo) & (t < hi))
+        if hi == cuts[-1]:
+            beat = {"event_id": F.lit(0), "user_id": F.lit(someone), "event_type": F.lit("click"), "ts": F.timestamp_seconds(F.lit(A.END + A.DAY)), "value": F.lit(0), "props": F.lit('{"k": 0}')}
+            part = part.unionByName(spark.range(1).select(*[beat[f.name].cast(f.dataType).alias(f.name) if f.name in beat else F.lit(None).cast(f.dataType).alias(f.name)
+                                                            for f in events.schema.fields]))
+        part.coalesce(1).write.mode("append").parquet(folder)
+        yield spark.readStream.schema(events.schema).parquet(folder)
 
 
 def packets(c: DataFrame) -> DataFrame:
@@ -66,9 +88,28 @@ def _(spark, sf):
 @query("k1_interval_telemetry_stream", f"WITH {K1_BASE}, {K1} SELECT * FROM k1 WHERE window_start + {W} <= (SELECT max(t) FROM conn) - {LATE}")
 def _(spark, sf):
     rows = packets(A.connections(spark, sf, event_stream(spark, sf)))
-    sink = telemetry.IntervalTelemetry(new_tables(spark, "intervals"), W)
-    drain(telemetry.closed_sums(rows, W, f"{LATE} seconds"), sink.process, f"{sink.tables.root}/checkpoint")
-    return sink.tables.all(spark, "telemetry")
+    return append(telemetry.interval_stream(rows, W, f"{LATE} seconds"), new_folder(spark, "intervals"))
+
+
+CUTS = [A.START, A.START + 9 * A.DAY, A.START + 17 * A.DAY, A.END + W]
+
+
+def with_stragglers(c: DataFrame, spark: SparkSession, sf: str) -> list[DataFrame]:
+    """Two deliveries of packets: the second one has those of every eleventh event of the first part again to come."""
+    first = (F.col("ts") < CUTS[1]) & (F.col("k") % 11 != 0)
+    return [c.filter(first), c.filter(~first)]
+
+
+@query("k1_late_packets", f"""WITH {K1_BASE} SELECT ws AS window_start, count(*) AS late FROM conn WHERE t < {CUTS[1]} AND k % 11 = 0
+  AND ws + {W} <= (SELECT max(t) FROM conn WHERE t < {CUTS[1]} AND k % 11 <> 0) - {LATE} GROUP BY ALL""")
+def _(spark, sf):
+    folder = new_folder(spark, "packets")
+    rows = packets(A.connections(spark, sf)).withColumn("k", F.lit(0))
+    for part in with_stragglers(A.connections(spark, sf), spark, sf):
+        packets(part).coalesce(1).write.mode("append").parquet(f"{folder}/in")
+        stream = spark.readStream.schema(rows.drop("k").schema).parquet(f"{folder}/in")
+        late = append(telemetry.late_packets(stream, W, LATE), f"{folder}/late")
+    return late.groupBy("window_start").agg(F.sum("late").alias("late"))
 
 
 def samples(spark: SparkSession, sf: str) -> DataFrame:
@@ -132,9 +173,7 @@ def _(spark, sf):
 
 @query("k4_ingest_stream", INGEST)
 def _(spark, sf):
-    sink = ledger.Ingest(new_tables(spark, "ingest"))
-    drain(arrivals(A.connections(spark, sf, event_stream(spark, sf))), sink.process, f"{sink.tables.root}/checkpoint")
-    return sink.tables.all(spark, "ingested")
+    return append(ledger.ingest_stream(arrivals(A.connections(spark, sf, event_stream(spark, sf)))), new_folder(spark, "ingest"))
 
 
 @query("k4_conflicts", f"WITH {A.EVENTS_SQL}, {ARRIVALS} SELECT stream, window_start, count(*) AS arrivals FROM ar GROUP BY ALL HAVING count(DISTINCT payload_hash) > 1")
@@ -181,12 +220,7 @@ def _(spark, sf):
   UNION ALL SELECT observation, 'window', NULL, {r('closed')}, CASE WHEN partial THEN 'closed_partial' ELSE 'closed_complete' END FROM cl
     WHERE closed <= (SELECT max("at") FROM br) - {LATE}""")
 def _(spark, sf):
-    sink = ledger.DeadlineJoin(new_tables(spark, "deadline"), TIMEOUT, LATE)
-    drain(branches(A.connections(spark, sf, event_stream(spark, sf))), sink.process, f"{sink.tables.root}/checkpoint")
-    done = sink.tables.all(spark, "closed").select(
-        "observation", F.lit("window").alias("branch"), F.lit(None).cast("string").alias("payload_hash"), F.col("closed_at").alias("at"),
-        F.when(F.col("partial"), "closed_partial").otherwise("closed_complete").alias("fate"))
-    return sink.tables.all(spark, "fates").unionByName(done)
+    return append(ledger.deadline_stream(branches(A.connections(spark, sf, event_stream(spark, sf))), TIMEOUT, LATE), new_folder(spark, "deadline"))
 
 
 @query("k6_incremental_features", V.sql(f"""SELECT c.device, c.ws AS window_start, c.tx_ip_bytes, coalesce(ud, 0) AS unique_destinations,
@@ -199,19 +233,31 @@ def _(spark, sf):
   LEFT JOIN (SELECT device, ws, min(g) AS fg FROM (SELECT device, ws, CASE WHEN p >= ws - {15 * W} AND t > p THEN t - p END AS g FROM (
       SELECT device, ws, t, lag(t) OVER (PARTITION BY device, epoch ORDER BY t) AS p FROM st)) GROUP BY ALL) USING (device, ws)"""), digits=4)
 def _(spark, sf):
-    """The batch operators over three deliveries, with the state carried between them."""
-    view = materialize(V.minutes(spark, sf).view, "view")
-    sink = features.IncrementalFeatures(A.devices(spark, sf), A.outages(spark, sf), V.CLOCK, A.START, new_tables(spark, "incremental"))
-    cuts = [A.START, A.START + 9 * A.DAY, A.START + 17 * A.DAY, A.END + W]
-    for i, (lo, hi) in enumerate(zip(cuts, cuts[1:])):
-        sink.process(view.filter((F.col("flow_start") >= lo) & (F.col("flow_start") < hi)), i)
-    # the last window stays open until later traffic arrives; close it here
-    sink.lateness = -W
-    sink.process(view.filter(F.lit(False)), len(cuts) - 1)
-    return sink.tables.all(spark, "features").filter("available").select(
+    return feature_stream(spark, sf).filter("available").select(
         "device", "window_start", "tx_ip_bytes", "unique_destinations", "new_destination_fraction", "rolling_tx_mean_15m", "flow_gap_min")
 
 
+def feature_stream(spark: SparkSession, sf: str) -> DataFrame:
+    """The feature stream over three deliveries; after each it ends and the next one takes it up from its checkpoint."""
+    m = V.minutes(spark, sf, materialize)
+    _rows, counts, base = V.profile_tables(m)
+    counts, base = materialize(counts, "counts"), materialize(base, "baseline")
+    inventory = materialize(features.inventory_rows(A.devices(spark, sf), A.START, A.outages(spark, sf), A.identity_spans(spark, sf)), "inventory")
+    sink = features.DeviceFeatures(BatchTables(new_folder(spark, "features")), V.CLOCK, counts, base)
+    for stream in deliveries(spark, sf, "deliveries", CUTS):
+        rows = timed(V.resolved(spark, sf, A.telemetry(spark, sf, raw=stream)), F.greatest(F.col("flow_start"), F.col("window_start").cast("double")), LATE)
+        drain(features.closed_windows(D.endpoint_view(rows, "event_time"), inventory, V.CLOCK), sink.process, f"{sink.tables.root}/checkpoint")
+    return sink.tables.all(spark, "features").filter(F.col("window_start") < A.END)
+
+
+@query("k6_incremental_edges", V.sql("SELECT * EXCLUDE (ws), ws AS window_start FROM ed"))
+def _(spark, sf):
+    grid, folder = materialize(V.grid(spark, sf), "grid"), new_folder(spark, "edges")
+    for stream in deliveries(spark, sf, "deliveries", CUTS):
+        edges = append(features.closed_edges(V.resolved(spark, sf, A.telemetry(spark, sf, raw=stream)), grid, V.CLOCK, LATE), folder)
+    return edges
+
+
 @query("k7_peer_limit", V.sql("""SELECT device, count(DISTINCT pa) AS peers FROM v WHERE o GROUP BY ALL HAVING count(DISTINCT pa) > 25"""))
 def _(spark, sf):
     met = V.minutes(spark, sf).view.filter("originated").groupBy("device", "peer_address").agg(F.min("window_start").alias("first_seen"))

@@ -2,12 +2,11 @@
 
 from __future__ import annotations
 
-from dataclasses import dataclass
-
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from fluxprint.streaming.state import VersionedTables
+from fluxprint.streaming.processors import DeadlineProcessor, IngestProcessor
+from fluxprint.streaming.sinks import timed
 
 BRANCHES = ["gnn", "mud"]
 
@@ -38,25 +37,9 @@ def classify_ingest(arrivals: DataFrame) -> DataFrame:
     return marked.join(known, ["stream", "window_start"], "left").select(*arrivals.columns, status.alias("status"))
 
 
-@dataclass(frozen=True)
-class Ingest:
-    """``foreachBatch`` form of :func:`classify_ingest`.
-
-    The accepted windows are the state, one row per stream and window, whatever
-    their age. They stand before the new rows, which therefore get the fate they
-    would have had in one run over everything.
-    """
-
-    tables: VersionedTables
-
-    def process(self, arrivals: DataFrame, batch_id: int) -> None:
-        fresh = arrivals.withColumn("_new", F.lit(True))
-        held = self.tables.before(arrivals.sparkSession, "accepted", batch_id)
-        if held is not None:
-            fresh = fresh.unionByName(held.withColumn("_new", F.lit(False)))
-        rows = self.tables.write(classify_ingest(fresh), "classified", batch_id)
-        self.tables.write(rows.filter("_new").drop("_new"), "ingested", batch_id)
-        self.tables.write(rows.filter("status = 'accepted'").drop("_new", "status"), "accepted", batch_id)
+def ingest_stream(arrivals: DataFrame) -> DataFrame:
+    """Stream form of :func:`classify_ingest`: fates as windows arrive, accepted windows in keyed state for ever."""
+    return arrivals.groupBy("stream").transformWithState(IngestProcessor(), IngestProcessor.OUTPUT, "Append", "None")
 
 
 def first_arrivals(arrivals: DataFrame, event_time: str, keys: list[str], within: str) -> DataFrame:
@@ -115,41 +98,14 @@ def fates_of(arrivals: DataFrame, closed: DataFrame) -> DataFrame:
     return rows.select(*arrivals.columns, fate.alias("fate"))
 
 
-@dataclass(frozen=True)
-class DeadlineJoin:
-    """``foreachBatch`` form of :func:`deadline_join`.
+def deadline_stream(arrivals: DataFrame, timeout: float, lateness: float = 0.0) -> DataFrame:
+    """Stream form of :func:`deadline_join`: fates as branches arrive, and a row of branch ``window`` when an observation closes.
 
-    State are the arrivals of observations that have not closed, and one row per
-    closed observation (times and hashes), which is never forgotten: a branch that
-    comes after any time is late, and a repeated one is known. An observation is
-    closed once event time, less ``lateness``, has reached its closing.
+    An observation without a second branch is closed by a timer, once event time less ``lateness``
+    has reached its deadline, whether or not anything more arrives for it.
     """
-
-    tables: VersionedTables
-    timeout: float
-    lateness: float = 0.0
-
-    def process(self, arrivals: DataFrame, batch_id: int) -> None:
-        spark = arrivals.sparkSession
-        held = self.tables.before(spark, "held", batch_id)
-        marks = self.tables.before(spark, "mark", batch_id)
-        before = marks.first()[0] if marks is not None else None
-        seen = arrivals.agg(F.max("at")).first()[0]     # one number: how far event time has come
-        mark = max((x for x in (before, None if seen is None else seen - self.lateness) if x is not None), default=None)
-        past = self.tables.earlier(spark, "closed", batch_id)
-        fresh = arrivals if past is None else arrivals.join(past.select("observation"), "observation", "left_anti")
-        rows = fresh.withColumn("_new", F.lit(True))
-        if held is not None:
-            rows = rows.unionByName(held.withColumn("_new", F.lit(False)))
-        closed, fates = deadline_join(rows, self.timeout)
-        fates = fates.filter("_new").drop("_new")
-        if past is not None:
-            fates = fates.unionByName(fates_of(arrivals.join(past.select("observation"), "observation", "left_semi"), past))
-        self.tables.write(fates, "fates", batch_id)
-        due = F.lit(False) if mark is None else F.col("closed_at") <= mark
-        done = self.tables.write(closed.filter(due), "closed", batch_id)
-        self.tables.write(rows.drop("_new").join(done.select("observation"), "observation", "left_anti"), "held", batch_id)
-        self.tables.write(spark.createDataFrame([(mark,)], "mark double"), "mark", batch_id)
+    return timed(arrivals, F.col("at"), lateness).groupBy("observation").transformWithState(
+        DeadlineProcessor(timeout), DeadlineProcessor.OUTPUT, "Append", "EventTime")
 
 
 def joined_streams(behaviour: DataFrame, policy: DataFrame, keys: list[str], event_time: str, lateness: str) -> DataFrame:

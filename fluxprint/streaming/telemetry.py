@@ -2,13 +2,12 @@
 
 from __future__ import annotations
 
-from dataclasses import dataclass
-
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from fluxprint.functions.scalars import bucket_start
-from fluxprint.streaming.state import VersionedTables
+from fluxprint.streaming.processors import LateProcessor, SignalProcessor, WindowProcessor
+from fluxprint.streaming.sinks import timed
 
 # Fixed value: seconds without an answer after which an attempt counts as failed.
 HANDSHAKE_SECONDS = 3.0
@@ -60,31 +59,24 @@ def closed_sums(packets: DataFrame, window: int, lateness: str) -> DataFrame:
                        "orig_pkts", "resp_pkts", "observed_duration", *SIGNALS)
 
 
-@dataclass(frozen=True)
-class IntervalTelemetry:
-    """``foreachBatch`` sink for :func:`closed_sums`: adds the connection outcome.
+def interval_stream(packets: DataFrame, window: int, lateness: str) -> DataFrame:
+    """Stream form of :func:`interval_telemetry`, over closed windows.
 
-    Only a connection's earliest signals are state, one row for each, however
-    long it is silent: a forgotten connection could turn from established to failed.
+    Sums are the built-in aggregate. A connection's earliest signals are one row of keyed state
+    for each, however long it is silent: a forgotten connection could turn from established to failed.
     """
+    sums = closed_sums(packets, window, lateness)
+    told = sums.groupBy("uid").transformWithState(SignalProcessor(sums.columns), ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in sums.schema.fields), "Append", "None")
+    return _outcome(told, window)
+
 
-    tables: VersionedTables
-    window: int
-
-    def process(self, sums: DataFrame, batch_id: int) -> None:
-        spark = sums.sparkSession
-        upto = Window.partitionBy("uid").orderBy("window_start").rowsBetween(Window.unboundedPreceding, 0)
-        rows = sums.withColumns({s: F.min(s).over(upto) for s in SIGNALS})
-        known = self.tables.before(spark, "signals", batch_id)
-        if known is not None:
-            rows = rows.join(known.select("uid", *[F.col(s).alias("_" + s) for s in SIGNALS]), "uid", "left").withColumns(
-                {s: F.least(s, "_" + s) for s in SIGNALS})
-        self.tables.write(_outcome(rows, self.window), "telemetry", batch_id)
-        signals = sums.select("uid", "window_start", *SIGNALS)
-        if known is not None:
-            signals = signals.unionByName(known)
-        held = signals.groupBy("uid").agg(F.max("window_start").alias("window_start"), *[F.min(s).alias(s) for s in SIGNALS])
-        self.tables.write(held, "signals", batch_id)
+def late_packets(packets: DataFrame, window: int, lateness: float, spread: int = 64) -> DataFrame:
+    """How many packets came after their window was closed, as ``window_start, late`` counts that add up.
+
+    A window's packets are spread over ``spread`` keys by their connection; nothing is kept in state.
+    """
+    rows = timed(packets, F.col("ts"), lateness).select(bucket_start(F.col("ts"), window).alias("window_start"), F.pmod(F.xxhash64("uid"), F.lit(spread)).alias("lane"), "event_time")
+    return rows.groupBy("window_start", "lane").transformWithState(LateProcessor(window), LateProcessor.OUTPUT, "Append", "EventTime")
 
 
 # K2
@@ -127,3 +119,13 @@ def eligible_windows(runs: DataFrame, health: DataFrame, window: int, now: float
     return due.filter(progressed | (F.lit(now) >= over + deadline)).select(
         "run_id", "window_start", (F.coalesce("complete", F.lit(False)) & progressed).alias("complete"),
         F.coalesce("watermark", over.cast("double")).alias("watermark"))
+
+
+def window_stream(signals: DataFrame, window: int, lateness: float, deadline: float = 30.0, close_delay: float = 5.0) -> DataFrame:
+    """Stream form of :func:`eligible_windows`: windows of each run as they close, silent ones by timers.
+
+    ``signals``: ``run_id, kind, at`` with kind ``start`` (and ``active``), ``stop`` or ``health`` (and
+    ``window_start, watermark, complete``). Event time is ``at``, for health the watermark.
+    """
+    return timed(signals, F.col("at"), lateness).groupBy("run_id").transformWithState(
+        WindowProcessor(window, deadline, close_delay), WindowProcessor.OUTPUT, "Append", "EventTime")
