@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from fluxprint.operators import device_features as D
 from fluxprint.operators import graph, history, identity
 from fluxprint.plans import adapters as A
-from fluxprint.plans.registry import query, r
+from fluxprint.plans.registry import ORACLES, query, r
 from fluxprint.schemas import DEVICE_TYPES, SERVICES, Clock
 from fluxprint.session import materialize
 
@@ -395,22 +395,35 @@ def _(spark, sf):
     return graph.undirected(edge_rows(spark, sf))
 
 
-@query("f_feature_table", sql(f"""SELECT g.device, g.ws AS window_start, available,
-  CASE WHEN available THEN coalesce(tx_ip_bytes, 0) END AS tx_ip_bytes,
-  CASE WHEN available THEN {r('median_observed_flow_duration')} END AS median_observed_flow_duration,
-  CASE WHEN available THEN coalesce(ui, 0) END AS unique_initiators,
-  CASE WHEN available THEN coalesce(o, 0) END AS outgoing_local_peer_count
-  FROM grid g LEFT JOIN vol USING (device, ws)
-  LEFT JOIN (SELECT device, ws, count(DISTINCT pa) AS ui FROM v WHERE NOT o GROUP BY ALL) USING (device, ws)
-  LEFT JOIN (SELECT source AS device, ws, count(*) AS o FROM led GROUP BY ALL) USING (device, ws)"""))
+# Each feature's own query, and how it rounds, make up the whole table.
+PARTS = ["f1_volume", "f2_destinations_ports", "f3_fractions", "f3_median_duration", "f4_new_destinations", "f5_local_external", "f6_gap_features", "f7_bursts",
+         "f8_rolling_means", "f9_rolling_gap_variation", "f10_streams", "f11_receiver", "f12_peer_service_novelty", "f13_sustained_excess",
+         "f14_inbound_concentration", "f15_external_excess", "f15_peer_degrees"]
+DEGREES = ["outgoing_local_peer_count", "incoming_local_peer_count", "initiator_fanout_context"]
+PROFILE = [f"{d}_peer_service_{k}" for d in ("inbound", "outbound") for k in ("novel_fraction", "rarity")] + [
+    "sustained_external_tx_excess_15m", "inbound_flows_change_15m", "inbound_peer_service_concentration_5m", "external_tx_excess_1m"]
+DIGITS = dict.fromkeys(["flow_gap_mean", "flow_gap_cv", "flow_gap_min", *F8], 3) | dict.fromkeys(
+    ["rolling_gap_cv_15m", "stream_min_gap_cv_1h", "stream_periodic_fraction_1h", "stream_max_age_seconds_1h", "stream_top_start_fraction_1h"], 4)
+ALL_FEATURES = [*F1, "unique_destinations", "unique_destination_ports", "destination_port_entropy", *F3, "log_tx_rx_ratio", "median_observed_flow_duration",
+                "new_destination_fraction", *F5, *F5R, "flow_gap_mean", "flow_gap_cv", "flow_gap_min", "flow_burst_max_10s", *F8, "rolling_gap_cv_15m",
+                "stream_count_1h", "stream_max_starts_1h", "stream_min_gap_cv_1h", "stream_periodic_fraction_1h", "stream_max_age_seconds_1h",
+                "stream_top_start_fraction_1h", *F11, *F11R, *PROFILE, *DEGREES]
+
+
+def whole_table_sql(columns: list[str]) -> str:
+    """The features' own SQL side by side; counts of an idle window are zero, a dark window has nothing."""
+    bodies = [ORACLES[name].removeprefix(f"WITH {CTES}\n") for name in PARTS]
+    filled = [f"CASE WHEN available THEN {f'coalesce({c}, 0)' if c in D.ZERO_WHEN_IDLE else c} END AS {c}" for c in columns]
+    joins = "\n".join(f"LEFT JOIN ({body}) p{i} ON p{i}.device = g.device AND p{i}.window_start = g.ws" for i, body in enumerate(bodies))
+    return sql(f"SELECT g.device, g.ws AS window_start, available, {', '.join(filled)} FROM grid g {joins}")
+
+
+@query("f_feature_table", whole_table_sql(ALL_FEATURES), DIGITS)
 def _(spark, sf):
     m = minutes(spark, sf, materialize)
     _rows, counts, base = profile_tables(m)
     table = D.feature_table(m, counts, base, edge_rows(spark, sf), materialize)
-    # every feature is computed; four stand for the rest, each of which has its own query
-    kept = materialize(table, "features")
-    return kept.select(*KEYS, "available", "tx_ip_bytes", "median_observed_flow_duration", "unique_initiators",
-                       "outgoing_local_peer_count")
+    return table.select(*KEYS, "available", *ALL_FEATURES)
 
 
 @query("g2_history_stack", sql(f"""SELECT c.device, c.ws AS window_start, coalesce(h, '') AS history FROM cells c LEFT JOIN (

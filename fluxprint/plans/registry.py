@@ -13,8 +13,8 @@ QUERIES: dict[str, Query] = {}
 ORACLES: dict[str, str] = {}
 
 
-def query(name: str, sql: str | None = None, digits: int = 6) -> Callable[[Query], Query]:
-    """Register a query; its doubles are rounded, as sums depend on row order."""
+def query(name: str, sql: str | None = None, digits: int | dict[str, int] = 6) -> Callable[[Query], Query]:
+    """Register a query; its doubles are rounded, as sums depend on row order. ``digits`` may differ by column (6 where not named)."""
     def add(fn: Query) -> Query:
         def run(spark: SparkSession, sf_dir: str) -> DataFrame:
             return rounded(fn(spark, sf_dir), digits)
@@ -29,10 +29,11 @@ def query(name: str, sql: str | None = None, digits: int = 6) -> Callable[[Query
     return add
 
 
-def rounded(df: DataFrame, digits: int = 6) -> DataFrame:
+def rounded(df: DataFrame, digits: int | dict[str, int] = 6) -> DataFrame:
+    places = lambda c: digits.get(c, 6) if isinstance(digits, dict) else digits
     doubles = {name for name, kind in df.dtypes if kind in ("double", "float")}
     return df.select(*[
-        (F.round(F.col(f"`{c}`"), digits) + F.lit(0.0)).alias(c) if c in doubles else F.col(f"`{c}`")
+        (F.round(F.col(f"`{c}`"), places(c)) + F.lit(0.0)).alias(c) if c in doubles else F.col(f"`{c}`")
         for c in df.columns])
 
 

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from fluxprint.functions.scalars import bucket_start
 from fluxprint.operators import device_features as D
-from fluxprint.operators import evidence
+from fluxprint.operators import evidence, graph
 from fluxprint.plans import adapters as A
 from fluxprint.plans import devices as V
 from fluxprint.plans.registry import query, r
@@ -20,6 +20,7 @@ from fluxprint.streaming.sinks import BatchTables, append, drain, timed
 
 W = A.WINDOW
 LATE = 3600
+CUTS = [A.START, A.START + 9 * A.DAY, A.START + 17 * A.DAY, A.END + W]
 
 
 def event_stream(spark: SparkSession, sf: str) -> DataFrame:
@@ -91,9 +92,6 @@ def _(spark, sf):
     return append(telemetry.interval_stream(rows, W, f"{LATE} seconds"), new_folder(spark, "intervals"))
 
 
-CUTS = [A.START, A.START + 9 * A.DAY, A.START + 17 * A.DAY, A.END + W]
-
-
 def with_stragglers(c: DataFrame, spark: SparkSession, sf: str) -> list[DataFrame]:
     """Two deliveries of packets: the second one has those of every eleventh event of the first part again to come."""
     first = (F.col("ts") < CUTS[1]) & (F.col("k") % 11 != 0)
@@ -148,6 +146,42 @@ def _(spark, sf):
     return telemetry.eligible_windows(runs, health, W, NOW)
 
 
+DEADLINE = 7_200
+
+
+@query("k3_eligible_windows_stream", f"""WITH {A.EVENTS_SQL},
+  runs AS (SELECT device, min(t) AS a, CASE WHEN device % 3 = 0 THEN max(t) END AS z, device % 3 <> 2 AS active FROM conn GROUP BY device),
+  h AS (SELECT device, ws, max(t) + 9000 AS wm, bool_and(event_type <> 'error') AS c FROM conn GROUP BY ALL),
+  m AS (SELECT max(wm) - {LATE} AS mark FROM h),
+  e AS (SELECT runs.*, mark, CASE WHEN z IS NOT NULL THEN least(mark, z) WHEN active THEN mark
+      ELSE least(mark, (SELECT max(wm) FROM h WHERE h.device = runs.device AND wm <= mark)) END AS en FROM runs, m),
+  d AS (SELECT e.device, g.ws::BIGINT AS ws, mark, CASE WHEN wm <= g.ws + {W} + {DEADLINE} AND wm <= mark THEN wm END AS wm, c
+    FROM e JOIN range({A.START}, {A.END + A.DAY}, {W}) g(ws) ON g.ws >= floor(a / {W}) * {W} AND g.ws <= floor((en - 5) / {W}) * {W} - {W}
+    LEFT JOIN h ON h.device = e.device AND h.ws = g.ws)
+  SELECT device AS run_id, ws AS window_start, coalesce(c AND wm >= ws + {W}, false) AS complete, {r(f'coalesce(wm, ws + {W})')} AS watermark, 'closed' AS fate
+  FROM d WHERE coalesce(wm >= ws + {W}, false) OR mark >= ws + {W + DEADLINE}
+  UNION ALL SELECT device, ws, c, {r('wm')}, 'late' FROM h, m WHERE wm > ws + {W + DEADLINE} AND wm <= mark""")
+def _(spark, sf):
+    batch = A.connections(spark, sf).withColumn("run_id", F.col("device"))
+    none = {"active": "boolean", "window_start": "bigint", "watermark": "double", "complete": "boolean"}
+
+    def rows(df, **values):
+        return df.select("run_id", values["kind"].alias("kind"), values["at"].alias("at"), *[values.get(k, F.lit(None)).cast(t).alias(k) for k, t in none.items()])
+
+    spans = batch.groupBy("run_id").agg(F.min("ts").alias("a"), F.max("ts").alias("z"))
+    health = batch.groupBy("run_id", bucket_start(F.col("ts"), W).alias("window_start")).agg(
+        (F.max("ts") + 9000).alias("watermark"), F.every(F.col("event_type") != "error").alias("complete"))
+    signals = rows(spans, kind=F.lit("start"), at=F.col("a"), active=F.col("run_id") % 3 != 2).unionByName(
+        rows(spans.filter("run_id % 3 = 0"), kind=F.lit("stop"), at=F.col("z"))).unionByName(
+        rows(health, kind=F.lit("health"), at=F.col("watermark"), window_start=F.col("window_start"), watermark=F.col("watermark"), complete=F.col("complete")))
+    folder = new_folder(spark, "signals")
+    for lo, hi in zip(CUTS, [*CUTS[1:-1], A.END + A.DAY]):
+        signals.filter((F.col("at") >= lo) & (F.col("at") < hi)).coalesce(1).write.mode("append").parquet(f"{folder}/in")
+        stream = spark.readStream.schema(signals.schema).parquet(f"{folder}/in")
+        closed = append(telemetry.window_stream(stream, W, LATE, DEADLINE), folder)
+    return closed
+
+
 ARRIVALS = f"""
 ar AS (SELECT 's' || device % 20 AS stream, CASE WHEN k % 4 = 0 THEN ws - {2 * W} ELSE ws END AS window_start, 'h' || k % 2 AS payload_hash, t AS "at" FROM conn),
 ing AS (
@@ -237,6 +271,15 @@ def _(spark, sf):
         "device", "window_start", "tx_ip_bytes", "unique_destinations", "new_destination_fraction", "rolling_tx_mean_15m", "flow_gap_min")
 
 
+@query("k6_feature_stream", V.whole_table_sql(V.ALL_FEATURES), V.DIGITS)
+def _(spark, sf):
+    """All features of the stream; the degrees are those of the edges that a stream of its own has closed."""
+    degrees = graph.local_degrees(edge_stream(spark, sf))
+    table = feature_stream(spark, sf).join(degrees, ["device", "window_start"], "left")
+    idle = [F.when(F.col("available"), F.coalesce(c, F.lit(0))).alias(c) if c in V.DEGREES else F.col(c) for c in V.ALL_FEATURES]
+    return table.select("device", "window_start", "available", *idle)
+
+
 def feature_stream(spark: SparkSession, sf: str) -> DataFrame:
     """The feature stream over three deliveries; after each it ends and the next one takes it up from its checkpoint."""
     m = V.minutes(spark, sf, materialize)
@@ -252,6 +295,10 @@ def feature_stream(spark: SparkSession, sf: str) -> DataFrame:
 
 @query("k6_incremental_edges", V.sql("SELECT * EXCLUDE (ws), ws AS window_start FROM ed"))
 def _(spark, sf):
+    return edge_stream(spark, sf)
+
+
+def edge_stream(spark: SparkSession, sf: str) -> DataFrame:
     grid, folder = materialize(V.grid(spark, sf), "grid"), new_folder(spark, "edges")
     for stream in deliveries(spark, sf, "deliveries", CUTS):
         edges = append(features.closed_edges(V.resolved(spark, sf, A.telemetry(spark, sf, raw=stream)), grid, V.CLOCK, LATE), folder)
