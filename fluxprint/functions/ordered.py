@@ -7,7 +7,7 @@ carry only one summary row per slice across the cut.
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -80,3 +80,43 @@ def top_per_group(rows: DataFrame, keys: Sequence[str], order: Sequence[Column],
     """First ``k`` rows per group; Spark limits each map task's groups before the shuffle."""
     w = Window.partitionBy(*keys).orderBy(*order)
     return rows.withColumn("position", F.row_number().over(w)).filter(F.col("position") <= k)
+
+
+def running_lookup(points: DataFrame, marks: DataFrame, keys: Sequence[str], t: str, value: str, slice_seconds: float,
+                   best: Callable[[str], Column] = F.max, out: str = "found", inclusive: bool = True) -> DataFrame:
+    """``points`` with the best ``value`` among the marks of their key up to their instant ``t``.
+
+    Both sides have ``keys`` and ``t``; a mark at the point's own instant counts only if ``inclusive``.
+    ``best`` is an aggregate that can be taken piece by piece, as ``max`` and ``min``. Points and marks
+    are sorted together within ``(key, slice)`` and one best value per slice is carried over, so a
+    point meets no mark that it does not need: the result has as many rows as ``points``.
+    """
+    keys = list(keys)
+    sides = (0, 1) if inclusive else (1, 0)
+    rows = points.withColumn("_t", F.col(t).cast("double")).withColumn("_side", F.lit(sides[1])).withColumn("_point", F.lit(True))
+    held = marks.select(*keys, F.col(t).cast("double").alias("_t"), F.col(value).alias("_value")).withColumn("_side", F.lit(sides[0]))
+    both = rows.unionByName(held, allowMissingColumns=True).withColumn("_slice", F.floor(F.col("_t") / F.lit(slice_seconds)))
+    inside = Window.partitionBy(*keys, "_slice").orderBy("_t", "_side").rowsBetween(Window.unboundedPreceding, 0)
+    earlier = Window.partitionBy(*keys).orderBy("_slice").rowsBetween(Window.unboundedPreceding, -1)
+    carried = both.groupBy(*keys, "_slice").agg(best("_value").alias("_best")).select(*keys, "_slice", best("_best").over(earlier).alias("_before"))
+    placed = both.withColumn("_here", best("_value").over(inside)).filter("_point").join(carried, [*keys, "_slice"])
+    pick = F.greatest if best is F.max else F.least
+    return placed.withColumn(out, pick("_here", "_before")).drop("_t", "_side", "_point", "_value", "_slice", "_here", "_before")
+
+
+def cover(first: Column, end: Column, levels: int) -> Column:
+    """The fewest dyadic nodes ``(level, node)`` that make up the whole numbers from ``first`` to before ``end``.
+
+    At most two per level; a range of under ``2 ** levels`` numbers is covered in full.
+    """
+    nodes = []
+    for level in range(levels):
+        lo, hi = F.ceil(first / F.lit(1 << level)).cast("bigint"), F.floor(end / F.lit(1 << level)).cast("bigint")
+        left, right = (lo % 2 != 0) & (lo < hi), (hi % 2 != 0) & (lo + F.abs(lo % 2) < hi)
+        nodes += [F.when(on, F.struct(F.lit(level).alias("level"), node.alias("node"))) for on, node in ((left, lo), (right, hi - 1))]
+    return F.array_compact(F.array(*nodes))
+
+
+def nodes_over(number: Column, levels: int) -> Column:
+    """The dyadic nodes ``(level, node)`` that hold a whole number, one per level."""
+    return F.array(*[F.struct(F.lit(level).alias("level"), F.floor(number / F.lit(1 << level)).cast("bigint").alias("node")) for level in range(levels)])

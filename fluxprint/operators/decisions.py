@@ -74,22 +74,24 @@ def apply_cooldown(rows: DataFrame, window: int, cooldown: float, escalate_after
 
 
 # C19
-def apply_overrides(rows: DataFrame, overrides: DataFrame, at: Column) -> DataFrame:
+def apply_overrides(rows: DataFrame, overrides: DataFrame, at: Column, slice_seconds: float = 86_400.0) -> DataFrame:
     """First unexpired suppression in file order, for the device or for all.
 
-    Overrides are folded first: an unbroken order per target, so that a proposal
-    meets at most the list of its own device and the global one, never a product.
+    Walking from the latest expiry backwards, the smallest ordinal so far is the first override
+    that is still live: a running minimum per target. Distinct instants of a device, and of all
+    devices for what holds for all, are looked up in it by order; no list is ever built.
     """
-    listed = overrides.filter(F.col("action") == "suppress").groupBy("target_device_id").agg(
-        F.array_sort(F.collect_list(F.struct("ordinal", "override_id", "expires_at"))).alias("_list"))
-    own = listed.filter("target_device_id is not null").withColumnRenamed("_list", "_own")
-    # the global list is one row: a scalar, not a join
-    common = listed.filter("target_device_id is null").select("_list").scalar()
-    empty = F.array().cast("array<struct<ordinal:int,override_id:string,expires_at:double>>")
-    joined = rows.join(own, "target_device_id", "left").withColumn("_common", common).withColumn(
-        "_all", F.array_sort(F.concat(F.coalesce("_own", empty), F.coalesce("_common", empty))))
-    live = F.filter("_all", lambda o: o["expires_at"] > at)
-    return joined.withColumn("override_id", F.get(live, F.lit(0))["override_id"]).drop("_own", "_common", "_all")
+    # time runs backwards: an override counts for the instants before its expiry
+    live = overrides.filter(F.col("action") == "suppress").select(
+        "target_device_id", (-F.col("expires_at")).alias("_at"), F.struct("ordinal", "override_id").alias("_first"))
+    asked = rows.withColumn("_at", -at.cast("double"))
+    own = ordered.running_lookup(asked.filter("target_device_id is not null").select("target_device_id", "_at").distinct(), live.filter("target_device_id is not null"),
+                                 ["target_device_id"], "_at", "_first", slice_seconds, F.min, "_own", inclusive=False)
+    scope = F.when(F.col("_at").isNotNull(), "all").alias("_scope")
+    common = ordered.running_lookup(asked.select(scope, "_at").distinct(), live.filter("target_device_id is null").select(scope, "_at", "_first"),
+                                    ["_scope"], "_at", "_first", slice_seconds, F.min, "_all", inclusive=False)
+    joined = asked.join(own, ["target_device_id", "_at"], "left").join(common.drop("_scope"), "_at", "left")
+    return joined.select(*rows.columns, F.least("_own", "_all")["override_id"].alias("override_id"))
 
 
 def dispatchable(rows: DataFrame, bound: Column) -> DataFrame:

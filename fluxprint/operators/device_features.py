@@ -266,33 +266,41 @@ def rolling_gap_variation(minutes: Minutes) -> DataFrame:
 def stream_features(minutes: Minutes) -> DataFrame:
     """Regularity of each (peer, proto, port) stream over the stream horizon.
 
-    Starts are folded per stream and window first; a folded row then counts in
-    the windows that can still see it, which replaces a join of starts with
-    windows.
+    Starts are folded per stream and window first. What a stream looks like within the horizon
+    changes only when a folded row enters it or, a horizon later, leaves it; between two such turns
+    it stands still. A stretch is cut into the few dyadic nodes that make it up, and a window asks
+    the nodes it lies in, one per level: no row is repeated for each window that can see it.
     """
     clock, step = minutes.clock, minutes.clock.window
-    stream = ["peer", "proto", "port"]
+    stream, horizon, levels = ["peer", "proto", "port"], clock.stream * step, (clock.stream + 1).bit_length()
     per = window_gaps(minutes, stream).groupBy(*EPOCH, *stream, "window_start").agg(
         F.sum("n").alias("_starts"), F.count("gap").alias("_n"), F.sum("gap").alias("_s"),
         F.sum(F.col("gap") * F.col("gap")).alias("_q"), F.min(F.struct("flow_start", "prev_t", "gap")).alias("_head"))
-    seen = per.withColumnRenamed("window_start", "_from").withColumn("window_start", F.explode(F.sequence(
-        F.col("_from"), F.col("_from") + clock.stream * step, F.lit(step).cast("bigint"))))
-    seen = seen.join(minutes.grid.filter("available").select(*KEYS, "epoch"), [*EPOCH, "window_start"], "left_semi")
-    horizon = clock.stream * step
-    one = seen.groupBy(*EPOCH, "window_start", *stream).agg(
-        F.sum("_starts").alias("_starts"), F.sum("_n").alias("_n"), F.sum("_s").alias("_s"), F.sum("_q").alias("_q"),
-        F.min("_head").alias("_head"))
+    turn = F.explode(F.array(F.struct(F.col("window_start").alias("at"), F.lit(True).alias("enters")),
+                             F.struct((F.col("window_start") + horizon + step).alias("at"), F.lit(False).alias("enters"))))
+    turns = per.withColumn("_turn", turn)
+    only = lambda c: F.when(F.col("_turn.enters"), F.col(c))
+    sums = ["_starts", "_n", "_s", "_q"]
+    folded = turns.groupBy(*EPOCH, *stream, F.col("_turn.at").alias("window_start")).agg(*[F.sum(only(c)).alias(c) for c in sums], F.min(only("_head")).alias("_head"))
+    order = Window.partitionBy(*EPOCH, *stream).orderBy("window_start")
+    frame = order.rangeBetween(-horizon, 0)
+    one = folded.select(*KEYS, "epoch", *[F.sum(c).over(frame).alias(c) for c in sums], F.min("_head").over(frame).alias("_head"),
+                        F.lead("window_start").over(order).alias("_next")).filter("_starts > 0")
     crossing = F.col("_head.prev_t") < F.col("window_start") - horizon
     g = F.when(crossing, F.col("_head.gap")).otherwise(0.0)
     n = F.col("_n") - F.when(crossing, 1).otherwise(0)
     cv = F.when(n >= 4, variation(n, F.coalesce("_s", F.lit(0.0)) - g, F.coalesce("_q", F.lit(0.0)) - g * g))
-    rows = one.select(*KEYS, "_starts", cv.alias("_cv"),
-                      (F.col("window_start") + step - F.col("_head.flow_start")).alias("_age"))
-    return rows.groupBy(*KEYS).agg(
-        F.count(F.lit(1)).alias("stream_count_1h"), F.max("_starts").alias("stream_max_starts_1h"),
-        F.min("_cv").alias("stream_min_gap_cv_1h"), F.avg((F.col("_cv") < 0.1).cast("double")).alias("stream_periodic_fraction_1h"),
-        F.max("_age").alias("stream_max_age_seconds_1h"),
-        (F.max("_starts") / F.sum("_starts")).alias("stream_top_start_fraction_1h"))
+    nodes = ordered.cover(F.col("window_start") / step, F.col("_next") / step, levels)
+    stretches = one.select(*EPOCH, "_starts", cv.alias("_cv"), F.col("_head.flow_start").alias("_first"), F.explode(nodes).alias("_node"))
+    held = stretches.groupBy(*EPOCH, "_node").agg(
+        F.count(F.lit(1)).alias("_streams"), F.max("_starts").alias("_most"), F.sum("_starts").alias("_all"), F.min("_cv").alias("_least"),
+        F.count_if(F.col("_cv") < 0.1).alias("_even"), F.count("_cv").alias("_told"), F.min("_first").alias("_first"))
+    asked = minutes.grid.filter("available").select(*KEYS, "epoch", F.explode(ordered.nodes_over(F.col("window_start") / step, levels)).alias("_node"))
+    return asked.join(held, [*EPOCH, "_node"]).groupBy(*KEYS).agg(
+        F.sum("_streams").alias("stream_count_1h"), F.max("_most").alias("stream_max_starts_1h"), F.min("_least").alias("stream_min_gap_cv_1h"),
+        (F.sum("_even") / F.nullif(F.sum("_told"), F.lit(0))).alias("stream_periodic_fraction_1h"),
+        (F.col("window_start") + step - F.min("_first")).alias("stream_max_age_seconds_1h"),
+        (F.max("_most") / F.sum("_all")).alias("stream_top_start_fraction_1h"))
 
 
 def inbound_outcome(minutes: Minutes) -> tuple[DataFrame, DataFrame]:

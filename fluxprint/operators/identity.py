@@ -7,6 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from fluxprint.functions import ordered
 from fluxprint.functions.scalars import canonical_ip, certificate_names, is_endpoint_domain, null_if_unset, valid_ip
 
 FOREVER = 2**53
@@ -51,19 +52,44 @@ def contested(spans: DataFrame, resource: Sequence[str], owner: str, start: str,
 
 
 def ownership_segments(leases: DataFrame, key: str = "ip") -> DataFrame:
-    """Merged leases per owner, plus a marked row for every contested stretch.
+    """The time of each address cut into disjoint stretches with one owner, or with several.
 
-    Outside contested stretches a lookup meets one row at most; inside one it
-    also meets the marked row, which makes the lookup fail.
+    Owners enter and leave at the ends of their merged leases; a running count tells how many there
+    are and a running XOR of their hashes who a single one is. So an instant lies in one stretch at
+    most; ``owners`` over one makes a lookup there fail.
     """
-    spans = leases.select(key, "device", "lease_start", "lease_end")
-    own = merged_spans(spans, [key, "device"], "lease_start", "lease_end").select(
-        key, F.col("_s").alias("segment_start"), F.col("_e").alias("segment_end"), F.col("device").alias("owner"),
-        F.lit(1).alias("owners"))
-    twice = contested(spans, [key], "device", "lease_start", "lease_end").select(
-        key, F.col("_s").alias("segment_start"), F.col("_e").alias("segment_end"),
-        F.lit("contested").alias("owner"), F.col("owners").cast("int").alias("owners"))
-    return own.unionByName(twice)
+    whole = merged_spans(leases.select(key, "device", "lease_start", "lease_end"), [key, "device"], "lease_start", "lease_end").withColumn("_h", F.xxhash64("device"))
+    steps = whole.select(key, "_h", F.explode(F.array(
+        F.struct(F.col("_s").alias("at"), F.lit(1).alias("d")), F.struct(F.col("_e").alias("at"), F.lit(-1).alias("d")))).alias("_x"))
+    turns = steps.groupBy(key, F.col("_x.at").alias("segment_start")).agg(F.sum("_x.d").alias("_d"), F.bit_xor("_h").alias("_x"))
+    order = Window.partitionBy(key).orderBy("segment_start")
+    upto = order.rowsBetween(Window.unboundedPreceding, 0)
+    live = turns.select(key, "segment_start", F.lead("segment_start").over(order).alias("segment_end"),
+                        F.sum("_d").over(upto).cast("int").alias("owners"), F.bit_xor("_x").over(upto).alias("_h")).filter("owners > 0")
+    named = live.join(whole.select(key, "_h", F.col("device").alias("owner")).distinct(), [key, "_h"], "left")
+    return named.select(key, "segment_start", "segment_end", F.when(F.col("owners") > 1, "contested").otherwise(F.col("owner")).alias("owner"), "owners")
+
+
+def at_instant(asked: DataFrame, spans: DataFrame, keys: Sequence[str], t: str, start: str, end: str, fields: Sequence[str], slice_seconds: float = 86_400.0) -> DataFrame:
+    """Distinct ``(keys, t)`` of ``asked`` with the fields of the span that holds ``t``; those in no span are absent.
+
+    Spans of one key are disjoint, so the one begun last by ``t`` is the only one that can hold it.
+    """
+    marks = spans.select(*keys, F.col(start).alias(t), F.struct(F.col(start).cast("double").alias("_from"), F.col(end).cast("double").alias("_until"), *fields).alias("_span"))
+    points = asked.select(*keys, t).distinct()
+    found = ordered.running_lookup(points, marks.filter(F.col(t).isNotNull()), keys, t, "_span", slice_seconds)
+    inside = F.col("found").isNotNull() & (F.col("found._until").isNull() | (F.col(t) < F.col("found._until")))
+    return found.filter(inside).select(*keys, t, *[F.col(f"found.{f}").alias(f) for f in fields])
+
+
+def _by_mac(found: DataFrame, mac_only: DataFrame, mac: str, by_ip: Column, out: str) -> DataFrame:
+    """``out`` from the address, or without an owner of that from the MAC."""
+    macs = mac_only.filter(F.col("mac").isNotNull()).groupBy(F.lower("mac").alias("_mac")).agg(
+        F.min("device").alias("_mac_owner"), F.count_distinct("device").alias("_mac_owners"))
+    both = found.join(macs, F.lower(F.col(mac)) == F.col("_mac"), "left")
+    by_mac = F.when(F.col("_mac_owners") > 1, F.raise_error(F.concat(F.lit("ambiguous owner of "), F.col(mac)))
+                    .cast("string")).otherwise(F.col("_mac_owner"))
+    return both.withColumn(out, F.when(F.col("_owner").isNotNull(), by_ip).otherwise(by_mac)).drop("_mac", "_mac_owner", "_mac_owners")
 
 
 # C1
@@ -72,7 +98,8 @@ def resolve(rows: DataFrame, segments: DataFrame, mac_only: DataFrame | None, ip
     """Device behind an address at a time; the MAC counts only without a lease.
 
     ``mac_only`` holds devices that have no lease at all. More than one owner at
-    the time of an observed row is an error, as no answer would be right.
+    the time of an observed row is an error, as no answer would be right. This form joins by
+    range, which a stream can; :func:`resolve_flow` looks distinct instants up instead.
     """
     seg = segments.select(F.col("ip").alias("_ip"), "segment_start", "segment_end", F.col("owner").alias("_owner"),
                           F.col("owners").alias("_owners"))
@@ -84,19 +111,27 @@ def resolve(rows: DataFrame, segments: DataFrame, mac_only: DataFrame | None, ip
     dropped = ["_ip", "segment_start", "segment_end", "_owner", "_owners"]
     if mac_only is None or mac is None:
         return found.withColumn(out, by_ip).drop(*dropped)
-    macs = mac_only.filter(F.col("mac").isNotNull()).groupBy(F.lower("mac").alias("_mac")).agg(
-        F.min("device").alias("_mac_owner"), F.count_distinct("device").alias("_mac_owners"))
-    both = found.join(macs, F.lower(F.col(mac)) == F.col("_mac"), "left")
-    by_mac = F.when(F.col("_mac_owners") > 1, F.raise_error(F.concat(F.lit("ambiguous owner of "), F.col(mac)))
-                    .cast("string")).otherwise(F.col("_mac_owner"))
-    return both.withColumn(out, F.when(F.col("_owner").isNotNull(), by_ip).otherwise(by_mac)).drop(
-        *dropped, "_mac", "_mac_owner", "_mac_owners")
+    return _by_mac(found, mac_only, mac, by_ip, out).drop(*dropped)
 
 
 def resolve_flow(telemetry: DataFrame, leases: DataFrame, devices: DataFrame, ts: str = "window_start") -> DataFrame:
-    """Adds ``orig_device`` and ``resp_device``."""
+    """Adds ``orig_device`` and ``resp_device``.
+
+    Each distinct address and instant of either end is looked up once, by order of time, so an
+    address with any number of leases meets one of them; rows then meet their answer by equality.
+    """
     segments = ownership_segments(leases)
     mac_only = devices.join(leases.select("device").distinct(), "device", "left_anti").select("device", "mac")
+    if not telemetry.isStreaming:
+        asked = telemetry.select(F.explode(F.array("orig_h", "resp_h")).alias("ip"), ts)
+        owners = at_instant(asked, segments, ["ip"], ts, "segment_start", "segment_end", ["owner", "owners"])
+        rows = telemetry
+        for side in ("orig", "resp"):
+            ip, out = f"{side}_h", f"{side}_device"
+            known = owners.select(F.col("ip").alias(ip), ts, F.col("owner").alias("_owner"), F.col("owners").alias("_owners"))
+            by_ip = F.when(F.col("_owners") > 1, F.raise_error(F.concat(F.lit("ambiguous owner of "), F.col(ip))).cast("string")).otherwise(F.col("_owner"))
+            rows = _by_mac(rows.join(known, [ip, ts], "left"), mac_only, f"{side}_mac", by_ip, out).drop("_owner", "_owners")
+        return rows.select(*telemetry.columns, "orig_device", "resp_device")
     first = resolve(telemetry, segments, mac_only, "orig_h", "orig_mac", ts, "orig_device")
     return resolve(first, segments, mac_only, "resp_h", "resp_mac", ts, "resp_device")
 
@@ -106,14 +141,11 @@ def as_of_binding(rows: DataFrame, bindings: DataFrame, on: Sequence[str], ts: s
     """Left join to the binding of the key that is valid at ``ts``.
 
     Bindings of one key must not overlap (see the validation of bindings), so
-    a row keeps its single match.
+    a row keeps its single match. Distinct keys and instants are looked up by order of time.
     """
-    side = bindings.select(*[F.col(k).alias("_b_" + k) for k in on], F.col("valid_from").alias("_from"),
-                           F.col("valid_until").alias("_until"), *[F.col(f).alias("bound_" + f) for f in fields])
-    condition = covers(F.col("_from"), F.col("_until"), F.col(ts))
-    for k in on:
-        condition = condition & (F.col(k) == F.col("_b_" + k))
-    return rows.join(side, condition, "left").drop(*["_b_" + k for k in on], "_from", "_until")
+    side = bindings.select(*on, "valid_from", "valid_until", *[F.col(f).alias("bound_" + f) for f in fields])
+    bound = at_instant(rows, side, on, ts, "valid_from", "valid_until", ["bound_" + f for f in fields])
+    return rows.join(bound, [*on, ts], "left").select(*rows.columns, *["bound_" + f for f in fields])
 
 
 # C3
@@ -121,13 +153,19 @@ def clipped_inventory(grid: DataFrame, leases: DataFrame, window: int) -> DataFr
     """Leases clipped to each window, and the devices that a window cannot score.
 
     A device is out when a lease begins or ends strictly inside the window, or
-    when no lease of it is live. ``grid`` holds ``device, window_start``.
+    when no lease of it is live. ``grid`` holds ``device, window_start``, windows at multiples of
+    ``window``. A lease is cut at the windows of the grid's time, which are its result rows, so that
+    no window meets a lease that it does not touch.
     """
     start = F.col("window_start")
     end = start + window
-    spans = leases.select(F.col("device").alias("_d"), "ip", "lease_start", "lease_end")
-    live = grid.join(spans, (F.col("device") == F.col("_d")) & overlaps(
-        F.col("lease_start"), F.col("lease_end"), start, end), "left")
+    step = F.lit(window).cast("bigint")
+    reach = grid.agg(F.struct(F.min("window_start").alias("lo"), F.max("window_start").alias("hi")).alias("r"))
+    spans = leases.select(F.col("device").alias("_d"), "ip", "lease_start", "lease_end").withColumn("_r", reach.scalar())
+    lo = F.greatest((F.floor(F.col("lease_start") / window) * window).cast("bigint"), F.col("_r.lo"))
+    hi = F.least(((F.ceil(F.col("lease_end") / window) - 1) * window).cast("bigint"), F.col("_r.hi"))   # least and greatest pass over an open end
+    cut = spans.withColumn("_lo", lo).withColumn("_hi", hi).filter("_lo <= _hi").withColumn("_w", F.explode(F.sequence("_lo", "_hi", step)))
+    live = grid.join(cut.drop("_r", "_lo", "_hi"), (F.col("device") == F.col("_d")) & (F.col("_w") == start), "left")
     moved = ((F.col("lease_start") > start) & (F.col("lease_start") < end)) | (
         (F.col("lease_end") > start) & (F.col("lease_end") < end))
     return live.select(

@@ -2,13 +2,13 @@
 
 from __future__ import annotations
 
-from functools import reduce
+from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from fluxprint.functions.scalars import (ipv4_number, ipv6_in_network, is_private_ipv4, is_private_ipv6, network_parts,
-                                         truncate_ipv4)
+from fluxprint.functions.scalars import (ipv4_number, ipv6_digits, is_private_ipv4, is_private_ipv6, network_parts, network_parts_6,
+                                         truncate_ipv4, truncate_ipv6)
 from fluxprint.operators import identity, matching
 
 
@@ -22,32 +22,51 @@ def bind_ends(flows: DataFrame, bindings: DataFrame) -> DataFrame:
     return new
 
 
+RULE_KEY = ["initiator", "proto", "resp_p"]
+
+
+def first_network_rule(asked: DataFrame, rules: DataFrame) -> DataFrame:
+    """First rule, in policy order, whose network holds the address, per distinct ``(RULE_KEY, resp_h)``.
+
+    Rules of one prefix are folded to their first; an address then meets at most one row for each
+    prefix length that the rules of its key use, not each rule.
+    """
+    network, address = F.col("network"), F.col("resp_h")
+    points = asked.select(*RULE_KEY, "resp_h").distinct()
+
+    def family(parts: tuple[Column, Column], value: Column, truncate: Callable[[Column, Column], Column]) -> DataFrame:
+        nets = rules.select(*RULE_KEY, parts[0].alias("_base"), parts[1].alias("_bits"), "rule").filter("_base is not null").groupBy(*RULE_KEY, "_base", "_bits").agg(F.min("rule").alias("rule"))
+        lengths = nets.select(*RULE_KEY, "_bits").distinct()        # 129 per key at most
+        keys = points.withColumn("_n", value).filter("_n is not null").join(lengths, RULE_KEY).withColumn("_base", truncate(F.col("_n"), F.col("_bits")))
+        return keys.join(nets, [*RULE_KEY, "_base", "_bits"]).select(*RULE_KEY, "resp_h", "rule")
+
+    both = family(network_parts(network), ipv4_number(address), truncate_ipv4).unionByName(
+        family(network_parts_6(network), ipv6_digits(address), truncate_ipv6))
+    return both.groupBy(*RULE_KEY, "resp_h").agg(F.min("rule").alias("by_network"))
+
+
 # C7
 def external_matches(flows: DataFrame, rules: DataFrame, names: DataFrame, slice_seconds: float) -> DataFrame:
     """First external rule in policy order for flows that leave the inventory.
 
-    Candidates share initiator, protocol and port with the flow. A network rule
-    is then a row-wise range test. A name rule needs evidence of the same sensor
-    for that name and address at the flow's start.
+    A network rule holds for an address, so it is looked up per distinct address. A name rule
+    needs evidence of the same sensor for that name and address at the flow's start: a flow meets
+    the names that its address has had and that a rule of its key names.
     """
-    r = rules.select("ordinal", "initiator", "proto", F.col("service_port").alias("resp_p"), "network",
-                     F.lower(F.rtrim(F.col("fqdn"), F.lit("."))).alias("fqdn"), "reason")
-    cand = flows.join(r, ["initiator", "proto", "resp_p"])
-    base, bits = network_parts(F.col("network"))
-    v4 = truncate_ipv4(ipv4_number(F.col("resp_h")), bits) == base
-    v6 = F.col("network").contains(":") & F.col("resp_h").contains(":")
-    # the Arrow function sees only the rows where both sides are IPv6
-    by_net4 = cand.filter(F.coalesce(v4, F.lit(False)))
-    by_net6 = cand.filter(v6).filter(ipv6_in_network(F.col("resp_h"), F.col("network")))
-    evidence = names.select("sensor_id", F.lower(F.rtrim(F.col("name"), F.lit("."))).alias("fqdn"),
-                            F.col("address").alias("resp_h"), "valid_from", "valid_until")
-    named = matching.latest_until(cand.filter(F.col("fqdn").isNotNull()), evidence, ["sensor_id", "fqdn", "resp_h"],
-                                  "flow_start", "valid_from", "valid_until", slice_seconds)
-    by_name = named.filter(F.col("flow_start") < F.col("_until"))
-    cols = ["uid", "window_start", "ordinal", "reason"]
-    hits = reduce(DataFrame.unionByName, [x.select(*cols) for x in (by_net4, by_net6, by_name)])
-    return hits.groupBy("uid", "window_start").agg(F.min("ordinal").alias("ordinal"),
-                                                   F.min_by("reason", "ordinal").alias("external_reason"))
+    plain = lambda c: F.lower(F.rtrim(F.col(c), F.lit(".")))
+    r = rules.select("initiator", "proto", F.col("service_port").alias("resp_p"), "network", plain("fqdn").alias("fqdn"), F.struct("ordinal", "reason").alias("rule"))
+    by_network = first_network_rule(flows, r.filter("network is not null"))
+    evidence = names.select("sensor_id", plain("name").alias("fqdn"), F.col("address").alias("resp_h"), "valid_from", "valid_until")
+    named = r.filter("fqdn is not null").groupBy(*RULE_KEY, "fqdn").agg(F.min("rule").alias("rule"))
+    had = evidence.select("sensor_id", "resp_h", "fqdn").distinct()
+    wanted = flows.select(*RULE_KEY, "sensor_id", "resp_h").distinct().join(had, ["sensor_id", "resp_h"]).join(named, [*RULE_KEY, "fqdn"])
+    cand = flows.select("uid", "window_start", "flow_start", *RULE_KEY, "sensor_id", "resp_h").join(wanted, [*RULE_KEY, "sensor_id", "resp_h"])
+    held = matching.latest_until(cand, evidence, ["sensor_id", "fqdn", "resp_h"], "flow_start", "valid_from", "valid_until", slice_seconds)
+    by_name = held.filter(F.col("flow_start") < F.col("_until")).groupBy("uid", "window_start").agg(F.min("rule").alias("by_name"))
+    rows = flows.select("uid", "window_start", *RULE_KEY, "resp_h").join(by_network, [*RULE_KEY, "resp_h"], "left").join(by_name, ["uid", "window_start"], "left")
+    first = F.least("by_network", "by_name")
+    return rows.select("uid", "window_start", first["ordinal"].alias("ordinal"), first["reason"].alias("external_reason")).filter("ordinal is not null").groupBy(
+        "uid", "window_start").agg(F.min("ordinal").alias("ordinal"), F.min_by("external_reason", "ordinal").alias("external_reason"))
 
 
 # C6
