@@ -114,6 +114,11 @@ def resolve(rows: DataFrame, segments: DataFrame, mac_only: DataFrame | None, ip
     return _by_mac(found, mac_only, mac, by_ip, out).drop(*dropped)
 
 
+def both_ends(telemetry: DataFrame, ts: str) -> DataFrame:
+    """The address of either end with the row's instant, as ``ip, ts``."""
+    return telemetry.select(F.explode(F.array("orig_h", "resp_h")).alias("ip"), ts)
+
+
 def resolve_flow(telemetry: DataFrame, leases: DataFrame, devices: DataFrame, ts: str = "window_start") -> DataFrame:
     """Adds ``orig_device`` and ``resp_device``.
 
@@ -123,8 +128,7 @@ def resolve_flow(telemetry: DataFrame, leases: DataFrame, devices: DataFrame, ts
     segments = ownership_segments(leases)
     mac_only = devices.join(leases.select("device").distinct(), "device", "left_anti").select("device", "mac")
     if not telemetry.isStreaming:
-        asked = telemetry.select(F.explode(F.array("orig_h", "resp_h")).alias("ip"), ts)
-        owners = at_instant(asked, segments, ["ip"], ts, "segment_start", "segment_end", ["owner", "owners"])
+        owners = at_instant(both_ends(telemetry, ts), segments, ["ip"], ts, "segment_start", "segment_end", ["owner", "owners"])
         rows = telemetry
         for side in ("orig", "resp"):
             ip, out = f"{side}_h", f"{side}_device"

@@ -14,12 +14,13 @@ from fluxprint.operators import identity, matching
 
 # C6
 def bind_ends(flows: DataFrame, bindings: DataFrame) -> DataFrame:
-    """Initiator and responder device of each new flow, as bound at its window."""
+    """Initiator and responder device of each new flow, as bound at its window; both ends are looked up together."""
     new = flows.filter("new_flow")
+    ts = "window_start"
+    bound = identity.at_instant(identity.both_ends(new, ts), bindings.select("ip", "valid_from", "valid_until", "device"), ["ip"], ts, "valid_from", "valid_until", ["device"])
     for side, out in (("orig_h", "initiator"), ("resp_h", "responder")):
-        renamed = bindings.withColumnRenamed("ip", side)
-        new = identity.as_of_binding(new, renamed, [side], "window_start", ["device"]).withColumnRenamed("bound_device", out)
-    return new
+        new = new.join(bound.select(F.col("ip").alias(side), ts, F.col("device").alias(out)), [side, ts], "left")
+    return new.select(*flows.columns, "initiator", "responder")
 
 
 RULE_KEY = ["initiator", "proto", "resp_p"]
@@ -73,7 +74,11 @@ def external_matches(flows: DataFrame, rules: DataFrame, names: DataFrame, slice
 def evaluate(flows: DataFrame, bindings: DataFrame, permissions: DataFrame, rules: DataFrame, names: DataFrame,
              slice_seconds: float = 3600) -> DataFrame:
     """Outcome of every new flow: allowed, denied, unknown policy or unknown device."""
-    bound = bind_ends(flows, bindings)
+    return evaluate_bound(bind_ends(flows, bindings), permissions, rules, names, slice_seconds)
+
+
+def evaluate_bound(bound: DataFrame, permissions: DataFrame, rules: DataFrame, names: DataFrame, slice_seconds: float = 3600) -> DataFrame:
+    """:func:`evaluate` for flows whose ends are bound already; they are read several times, so they should be stored."""
     leaving = bound.filter(F.col("initiator").isNotNull() & F.col("responder").isNull())
     external = external_matches(leaving, rules, names, slice_seconds)
     inside = permissions.select("initiator", "responder", "proto", F.col("service_port").alias("resp_p"),

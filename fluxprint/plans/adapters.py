@@ -96,9 +96,10 @@ def devices(spark: SparkSession, sf_dir: str) -> DataFrame:
                           f"{hardware_address('id')} as mac")
 
 
-def leases(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Address leases: one in seven ends half way, one in seven has only its MAC."""
-    return devices(spark, sf_dir).filter("id % 7 <> 3").selectExpr(
+def leases(spark: SparkSession, sf_dir: str, inventory: DataFrame | None = None) -> DataFrame:
+    """Address leases: one in seven ends half way, one in seven has only its MAC; ``inventory`` are the devices if they are stored."""
+    known = devices(spark, sf_dir) if inventory is None else inventory
+    return known.filter("id % 7 <> 3").selectExpr(
         "device", f"{address('id')} as ip", f"cast({START} as bigint) as lease_start",
         f"cast(if(id % 7 = 0, {START + 15 * DAY}, {END}) as bigint) as lease_end")
 

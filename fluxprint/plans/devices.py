@@ -102,7 +102,9 @@ def rounded(columns: list[str]) -> str:
 
 
 def resolved(spark: SparkSession, sf: str, telemetry: DataFrame | None = None) -> DataFrame:
-    return identity.resolve_flow(A.telemetry(spark, sf) if telemetry is None else telemetry, A.leases(spark, sf), A.devices(spark, sf))
+    """Telemetry with its devices; the inventory, which several steps read, is stored first."""
+    inventory = materialize(A.devices(spark, sf), "inventory")
+    return identity.resolve_flow(A.telemetry(spark, sf) if telemetry is None else telemetry, A.leases(spark, sf, inventory), inventory)
 
 
 def grid(spark: SparkSession, sf: str) -> DataFrame:

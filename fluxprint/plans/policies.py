@@ -11,6 +11,7 @@ from fluxprint.plans import adapters as A
 from fluxprint.plans import devices as V
 from fluxprint.plans.registry import query, r
 from fluxprint.schemas import IDENTITY
+from fluxprint.session import materialize
 
 W = A.WINDOW
 LEARNED = A.START + 10 * A.DAY       # permissions are what was seen on TLS until then
@@ -18,11 +19,16 @@ TTL = 6 * 3600
 
 
 def bindings(spark: SparkSession, sf: str) -> DataFrame:
-    return A.leases(spark, sf).select("device", "ip", F.col("lease_start").alias("valid_from"), F.col("lease_end").alias("valid_until"))
+    return A.leases(spark, sf, materialize(A.devices(spark, sf), "inventory")).select("device", "ip", F.col("lease_start").alias("valid_from"), F.col("lease_end").alias("valid_until"))
 
 
-def permissions(spark: SparkSession, sf: str) -> DataFrame:
-    seen = policy.bind_ends(A.telemetry(spark, sf), bindings(spark, sf))
+def bound_flows(spark: SparkSession, sf: str) -> DataFrame:
+    """New flows with their bound ends, stored, as permissions, rules and outcomes all read them."""
+    return materialize(policy.bind_ends(A.telemetry(spark, sf).withColumn("sensor_id", F.lit("s1")), bindings(spark, sf)), "bound")
+
+
+def permissions(spark: SparkSession, sf: str, bound: DataFrame | None = None) -> DataFrame:
+    seen = bound_flows(spark, sf) if bound is None else bound
     return (seen.filter((F.col("window_start") < LEARNED) & (F.col("resp_p") == 443))
             .filter(F.col("initiator").isNotNull() & F.col("responder").isNotNull())
             .select("initiator", "responder", "proto", F.col("resp_p").alias("service_port"), F.lit("learned").alias("reason")).distinct())
@@ -50,8 +56,13 @@ def name_evidence(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def outcomes(spark: SparkSession, sf: str) -> DataFrame:
-    t = A.telemetry(spark, sf).withColumn("sensor_id", F.lit("s1"))
-    return policy.evaluate(t, bindings(spark, sf), permissions(spark, sf), external_rules(spark, sf), name_evidence(spark, sf), W / 6)
+    bound = bound_flows(spark, sf)
+    return policy.evaluate_bound(bound, permissions(spark, sf, bound), external_rules(spark, sf), materialize(name_evidence(spark, sf), "names"), W / 6)
+
+
+def proposed(spark: SparkSession, sf: str) -> DataFrame:
+    """Proposals, stored, as runs, cooldowns and overrides read them several times."""
+    return materialize(decisions.proposals(materialize(outcomes(spark, sf), "outcomes"), scores(spark, sf)), "proposals")
 
 
 def scores(spark: SparkSession, sf: str) -> DataFrame:
@@ -171,10 +182,9 @@ def _(spark, sf):
 @query("c7_external_permission", sql("""SELECT uid, ws AS window_start, CASE WHEN net THEN 'vendor network' ELSE 'vendor name' END
   AS external_reason FROM outc WHERE net OR nam"""))
 def _(spark, sf):
-    t = A.telemetry(spark, sf).withColumn("sensor_id", F.lit("s1"))
-    bound = policy.bind_ends(t, bindings(spark, sf))
+    bound = bound_flows(spark, sf)
     leaving = bound.filter(F.col("initiator").isNotNull() & F.col("responder").isNull())
-    return policy.external_matches(leaving, external_rules(spark, sf), name_evidence(spark, sf), W / 6).drop("ordinal")
+    return policy.external_matches(leaving, external_rules(spark, sf), materialize(name_evidence(spark, sf), "names"), W / 6).drop("ordinal")
 
 
 @query("c8_name_evidence", f"""WITH {A.EVENTS_SQL}
@@ -373,7 +383,7 @@ def _(spark, sf):
 
 @query("c18_proposals", sql("SELECT * FROM prop"))
 def _(spark, sf):
-    return decisions.proposals(outcomes(spark, sf), scores(spark, sf))
+    return proposed(spark, sf)
 
 
 def overrides(spark: SparkSession, sf: str) -> DataFrame:
@@ -391,7 +401,7 @@ def overrides(spark: SparkSession, sf: str) -> DataFrame:
   WHEN window_start + {W} < {A.START + 20 * A.DAY} AND target_device_id[2:]::INT % 4 = 0 THEN 'o' || target_device_id[2:] END AS override_id
   FROM prop WHERE (SELECT count(*) FROM dev WHERE id = 0) > 0"""))
 def _(spark, sf):
-    rows = decisions.proposals(outcomes(spark, sf), scores(spark, sf))
+    rows = proposed(spark, sf)
     return decisions.apply_overrides(rows, overrides(spark, sf), F.col("window_start") + W).select(
         "target_device_id", "window_start", "flow_uid", "override_id")
 
@@ -401,7 +411,7 @@ SCOPE = "target_device_id, scope_proto, scope_ip, scope_port, tier"
 
 @query("g5_consecutive_windows", sql(f"SELECT {SCOPE}, window_start, consecutive_windows FROM runs"))
 def _(spark, sf):
-    return decisions.consecutive_windows(decisions.proposals(outcomes(spark, sf), scores(spark, sf)), W).drop("first_uid")
+    return decisions.consecutive_windows(proposed(spark, sf), W).drop("first_uid")
 
 
 @query("g6_cooldown", sql(f"""SELECT p.target_device_id, p.scope_ip, p.scope_port, p.window_start, p.flow_uid, consecutive_windows,
@@ -413,7 +423,7 @@ def _(spark, sf):
     AND r.scope_proto IS NOT DISTINCT FROM p.scope_proto AND r.scope_ip IS NOT DISTINCT FROM p.scope_ip
     AND r.scope_port IS NOT DISTINCT FROM p.scope_port"""))
 def _(spark, sf):
-    rows = decisions.proposals(outcomes(spark, sf), scores(spark, sf))
+    rows = proposed(spark, sf)
     return decisions.apply_cooldown(rows, W, 3 * W, escalate_after=2).select(
         "target_device_id", "scope_ip", "scope_port", "window_start", "flow_uid", "consecutive_windows", "cooldown_active", "tier", "reason")
 
