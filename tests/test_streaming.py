@@ -1,11 +1,13 @@
 import random
 
+import pytest
 from pyspark.sql import functions as F
 
 from fluxprint.operators import device_features as D
+from fluxprint.operators import graph
 from fluxprint.schemas import Clock
 from fluxprint.streaming import features, ledger, telemetry
-from fluxprint.streaming.state import VersionedTables, drain
+from fluxprint.streaming.sinks import BatchTables, append, drain, not_ahead, timed
 
 ARRIVALS = "observation string, branch string, payload_hash string, at double"
 
@@ -29,26 +31,89 @@ VIEW = ("window_start long, uid string, proto string, port int, flow_start doubl
         "device string, originated boolean, peer_device string, peer_address string, tx_bytes long, rx_bytes long, tx_pkts long, rx_pkts long, local boolean")
 
 
-def test_incremental_features_equal_the_batch_and_survive_a_repeat(spark, tmp_path):
+SPANS = "device string, value string, start double, end double"
+
+
+def delivered(spark, folder, parts, schema):
+    """A stream over a folder, again after each delivery."""
+    for part in parts:
+        df = part if not isinstance(part, list) else spark.createDataFrame(part, schema)
+        df.coalesce(1).write.mode("append").parquet(str(folder))
+        yield spark.readStream.schema(df.schema).parquet(str(folder))
+
+
+def test_features_over_restarts_equal_the_batch(spark, tmp_path):
     clock = Clock(window=60, stream=10, long=6, short=3)
     view = spark.createDataFrame(view_rows(7), VIEW)
-    devices = spark.createDataFrame([("a", "hub"), ("b", "plug")], "device string, device_type string")
+    devices = spark.createDataFrame([("a", "hub"), ("b", "plug"), ("c", "silent")], "device string, device_type string")
     dark = spark.createDataFrame([("a", 600, 660), ("b", 1200, 1300)], "device string, start long, end long")
-    sink = features.IncrementalFeatures(devices, dark, clock, 0, VersionedTables(str(tmp_path)), lateness=30)
+    spans = spark.createDataFrame([("a", "mac:1", 0.0, 930.0), ("a", "mac:2", 930.0, None), ("b", "ip:1", 0.0, 1500.0), ("b", "ip:1", 1400.0, 1800.0)], SPANS)
+    inventory = features.inventory_rows(devices, 0, dark, spans)
+    counts = D.flow_profile(D.peer_services(D.Minutes(view.filter("window_start < 900"), None, clock)))
+    base = spark.createDataFrame([("a", 100.0), ("b", 50.0)], "device string, baseline double")
+    sink = features.DeviceFeatures(BatchTables(str(tmp_path / "out")), clock, counts, base)
     cuts = [0, 500, 1300, 1301, 2400]
-    for i, (lo, hi) in enumerate(zip(cuts, cuts[1:])):
-        part = view.filter((F.col("flow_start") >= lo) & (F.col("flow_start") < hi))
-        sink.process(part, i)
-        if i == 1:
-            sink.process(part, i)      # the same batch again, as after a lost driver
+    for stream in delivered(spark, tmp_path / "in", [view.filter((F.col("flow_start") >= lo) & (F.col("flow_start") < hi)) for lo, hi in zip(cuts, cuts[1:])], VIEW):
+        rows_ = timed(stream, F.col("flow_start"), 30)
+        drain(features.closed_windows(rows_, inventory, clock), sink.process, str(tmp_path / "checkpoint"))
     got = sink.tables.all(spark, "features")
     end = got.agg(F.max("window_start")).first()[0] + 60
-    batch = features.bounded_features(D.Minutes(view.filter(F.col("window_start") < end), D.dense_grid(devices, 0, end, dark, clock), clock))
-    columns = [c for c in batch.columns if c != "epoch"]
-    fixed = [F.round(c, 6).alias(c) if t == "double" else F.col(c) for c, t in batch.dtypes if c in columns]
-    assert end > 2000 and rows(got, *fixed) == rows(batch, *fixed)
-    sink.process(view.filter("flow_start < 60"), len(cuts) - 1)
-    assert sink.tables.all(spark, "late").count() == view.filter("flow_start < 60").count()
+    batch = D.feature_table(D.Minutes(view.filter(F.col("window_start") < end), D.dense_grid(devices, 0, end, dark, clock, spans), clock), counts, base)
+    assert end > 2000 and set(got.columns) == set(batch.columns)
+    fixed = [F.round(c, 6).alias(c) if t == "double" else F.col(c) for c, t in sorted(batch.dtypes)]
+    assert rows(got, *fixed) == rows(batch, *fixed)
+    ends = {(r.device, r.window_start): (r.epoch, r.lifetime) for r in got.collect()}
+    # window 900 has both MACs, 960 the new one: two changes; outages end an epoch, not a lifetime
+    assert [ends["a", w] for w in (600, 660, 840, 900, 960)] == [(0, 0), (1, 0), (1, 0), (2, 1), (3, 2)]
+    assert ends["b", 1740] == (2, 0) and ends["b", 1800] == (3, 1) and ends["c", 1800] == (0, 0)
+    late = view.filter("flow_start < 60")
+    for stream in delivered(spark, tmp_path / "in", [late], VIEW):
+        drain(features.closed_windows(timed(stream, F.col("flow_start"), 30), inventory, clock), sink.process, str(tmp_path / "checkpoint"))
+    assert sink.tables.all(spark, "closed").filter("kind = 'late'").count() == late.count()
+
+
+@pytest.mark.parametrize("what", ["destinations", "initiators", "streams"])
+def test_limits_fail_the_batch(spark, tmp_path, what):
+    clock, many = Clock(window=60), 6
+    out = what != "initiators"
+    data = [(0, f"u{i}", "tcp", i if what == "streams" else 443, float(i), True, 1.0, True, False, "a", out, None, "10.0.0.1" if what == "streams" else f"10.0.0.{i}",
+             1, 1, 1, 1, False) for i in range(many)] + [(600, "z", "tcp", 443, 600.0, True, 1.0, True, False, "a", True, None, "x", 1, 1, 1, 1, False)]
+    inventory = spark.createDataFrame([("a", "device", "hub", 0.0, None)], "device string, kind string, value string, start double, end double")
+    for most, fails in ((many, False), (many - 1, True)):
+        for stream in delivered(spark, tmp_path / f"in{most}", [data], VIEW):
+            closed = features.closed_windows(timed(stream, F.col("flow_start"), 0), inventory, clock, most)
+            if fails:
+                with pytest.raises(Exception, match=f"more than {most} {what}"):
+                    append(closed, str(tmp_path / f"out{most}"))
+            else:
+                assert append(closed, str(tmp_path / f"out{most}")).filter("kind = 'row'").count() == many
+
+
+def test_edges_are_new_again_with_another_identity_and_bounded(spark, tmp_path):
+    clock = Clock(window=60)
+    flow = lambda w, o, r: (w, f"u{w}{o}{r}", o, r, "tcp", 443, float(w), 10, 5, 1, 1, True)
+    schema = ("window_start long, uid string, orig_device string, resp_device string, proto string, resp_p int, flow_start double, orig_ip_bytes long, "
+              "resp_ip_bytes long, orig_pkts long, resp_pkts long, established boolean")
+    data = [flow(w, o, r) for w in (0, 60, 120, 180, 240) for o, r in (("a", "b"), ("a", None), (None, "b"))]
+    devices = spark.createDataFrame([("a", "hub"), ("b", "plug")], "device string, device_type string")
+    dark = spark.createDataFrame([("b", 60, 120)], "device string, start long, end long")
+    spans = spark.createDataFrame([("a", "mac:1", 0.0, 120.0), ("a", "mac:2", 120.0, None)], SPANS)
+    grid = D.dense_grid(devices, 0, 300, dark, clock, spans)
+    for stream in delivered(spark, tmp_path / "in", [data[:7], data[7:] + [flow(900, "a", "b")]], schema):
+        got = append(features.closed_edges(stream, grid, clock, 0.0), str(tmp_path / "out"))
+    batch = graph.edges(spark.createDataFrame(data, schema), grid)
+    assert rows(got, *batch.columns) == rows(batch, *batch.columns)
+    assert {(r.window_start, r.source, r.target) for r in got.filter("new_edge").collect()} == {
+        (0, "a", "b"), (0, "a", "external_service:tls"), (0, "external_service:tls", "b"), (120, "a", "b"), (120, "a", "external_service:tls")}
+    stream = spark.readStream.schema(schema).parquet(str(tmp_path / "in"))
+    with pytest.raises(Exception, match="more than 1 edges"):
+        append(features.closed_edges(stream, grid, clock, 0.0, most=1), str(tmp_path / "bounded"))
+
+
+def test_rows_from_the_future_go_aside(spark):
+    df = spark.createDataFrame([(1.0,), (4e9,)], "at double")
+    fine, ahead = not_ahead(df, F.col("at"))
+    assert [r[0] for r in fine.collect()] == [1.0] and [r[0] for r in ahead.collect()] == [4e9]
 
 
 def test_deadline_literal(spark, tmp_path):
@@ -58,11 +123,18 @@ def test_deadline_literal(spark, tmp_path):
     want = rows(fates, "observation", "branch", "at", "fate")
     assert [w[3] for w in want] == ["accepted", "late", "accepted", "conflict", "duplicate", "accepted", "early"]
     assert {(r["observation"], r["closed_at"], r["partial"]) for r in closed.collect()} == {("w1", 110.0, True), ("w2", 124.0, False)}
-    sink = ledger.DeadlineJoin(VersionedTables(str(tmp_path)), 10.0)
-    for i in range(0, len(data), 2):
-        sink.process(spark.createDataFrame(data[i:i + 2], ARRIVALS), i // 2)
-    assert rows(sink.tables.all(spark, "fates"), "observation", "branch", "at", "fate") == want
-    assert rows(sink.tables.all(spark, "closed"), "observation", "closed_at") == [("w1", 110.0), ("w2", 124.0)]
+    for stream in delivered(spark, tmp_path / "in", [data[i:i + 3] for i in range(0, len(data), 3)] + [[("w9", "window", "x", 140.0)]], ARRIVALS):
+        got = append(ledger.deadline_stream(stream, 10.0), str(tmp_path / "out"))
+    assert rows(got.filter("branch <> 'window'"), "observation", "branch", "at", "fate") == want
+    # w3 has no observation; w9 is still open
+    assert rows(got.filter("branch = 'window'"), "observation", "at", "fate") == [("w1", 110.0, "closed_partial"), ("w2", 124.0, "closed_complete")]
+
+
+def test_silent_observation_closes_by_its_timer(spark, tmp_path):
+    """Nothing more arrives for w1; another one moves event time past its deadline."""
+    for stream in delivered(spark, tmp_path / "in", [[("w1", "window", "x", 100.0)], [("w2", "window", "x", 111.0)], [("w1", "gnn", "g", 105.0)]], ARRIVALS):
+        got = append(ledger.deadline_stream(stream, 10.0), str(tmp_path / "out"))
+    assert rows(got, "observation", "branch", "at", "fate") == [("w1", "gnn", 105.0, "late"), ("w1", "window", 110.0, "closed_partial")]
 
 
 def test_no_answer_depends_on_a_clock(spark, tmp_path):
@@ -71,18 +143,16 @@ def test_no_answer_depends_on_a_clock(spark, tmp_path):
     data = [("w1", "window", "x", 0.0), ("w1", "gnn", "g", 1.0), ("w2", "window", "x", 30 * day), ("w1", "mud", "m", 30 * day + 1), ("w1", "gnn", "g", 60 * day),
             ("w2", "mud", "m", 60 * day), ("w3", "gnn", "g", 90 * day)]
     want = rows(ledger.deadline_join(spark.createDataFrame(data, ARRIVALS), 10.0)[1], "observation", "branch", "at", "fate")
-    sink = ledger.DeadlineJoin(VersionedTables(str(tmp_path / "join")), 10.0)
-    for i, row in enumerate(data):
-        sink.process(spark.createDataFrame([row], ARRIVALS), i)
-    assert rows(sink.tables.all(spark, "fates"), "observation", "branch", "at", "fate") == want
+    for stream in delivered(spark, tmp_path / "in", [data[:2], data[2:4], data[4:]], ARRIVALS):
+        got = append(ledger.deadline_stream(stream, 10.0), str(tmp_path / "join"))
+    assert rows(got.filter("branch <> 'window'"), "observation", "branch", "at", "fate") == want
     assert [w[3] for w in want if w[0] == "w1"] == ["accepted", "late", "late"]
 
     schema = "stream string, window_start long, payload_hash string, at double"
     data = [("s", 60, "a", 1.0), ("s", int(30 * day), "b", 30 * day), ("s", 60, "a", 60 * day), ("s", 60, "z", 60 * day + 1)]
-    ingest = ledger.Ingest(VersionedTables(str(tmp_path / "ingest")))
-    for i, row in enumerate(data):
-        ingest.process(spark.createDataFrame([row], schema), i)
-    assert [r[1] for r in rows(ingest.tables.all(spark, "ingested"), "at", "status")] == ["accepted", "accepted", "replay", "conflict"]
+    for stream in delivered(spark, tmp_path / "arrivals", [[row] for row in data], schema):
+        got = append(ledger.ingest_stream(stream), str(tmp_path / "ingest"))
+    assert [r[1] for r in rows(got, "at", "status")] == ["accepted", "accepted", "replay", "conflict"]
 
 
 
@@ -98,10 +168,9 @@ def test_ingest_in_batches(spark, tmp_path):
     schema = "stream string, window_start long, payload_hash string, at double"
     whole = rows(ledger.classify_ingest(spark.createDataFrame(data, schema)), "at", "status")
     assert [w[1] for w in whole] == ["accepted", "accepted", "replay", "conflict", "out_of_order", "accepted"]
-    sink = ledger.Ingest(VersionedTables(str(tmp_path)))
-    for i, row in enumerate(data):
-        sink.process(spark.createDataFrame([row], schema), i)
-    assert rows(sink.tables.all(spark, "ingested"), "at", "status") == whole
+    for stream in delivered(spark, tmp_path / "in", [data[:2], data[2:5], data[5:]], schema):
+        got = append(ledger.ingest_stream(stream), str(tmp_path / "out"))
+    assert rows(got, "at", "status") == whole
 
 
 PACKETS = ("ts double, uid string, orig_h string, resp_h string, orig_p int, resp_p int, proto string, flow_start double, from_orig boolean, "
@@ -115,20 +184,18 @@ def packet(ts, uid, start, out=True, n=10, **signals):
 def test_packets_to_intervals_over_restarts(spark, tmp_path):
     one = [packet(1.0, "c", 1.0, syn=True), packet(2.0, "c", 1.0, False, 5), packet(58.0, "d", 58.0, syn=True), packet(130.0, "x", 130.0)]
     two = [packet(61.0, "late", 61.0), packet(131.0, "c", 1.0, established=True), packet(400.0, "x", 400.0)]
-    seen = tmp_path / "in"
-    sink = telemetry.IntervalTelemetry(VersionedTables(str(tmp_path / "out")), 60)
-    for i, part in enumerate((one, two)):
-        spark.createDataFrame(part, PACKETS).coalesce(1).write.mode("append").parquet(str(seen))
-        stream = spark.readStream.schema(PACKETS).parquet(str(seen))
-        drain(telemetry.closed_sums(stream, 60, "5 seconds"), sink.process, str(tmp_path / "checkpoint"))   # a new query each time
-    got = {(r["uid"], r["window_start"]): r for r in sink.tables.all(spark, "telemetry").collect()}
+    for stream in delivered(spark, tmp_path / "in", [one, two], PACKETS):
+        out = append(telemetry.interval_stream(stream, 60, "5 seconds"), str(tmp_path / "out"))     # a new query each time
+        late = append(telemetry.late_packets(stream, 60, 5.0), str(tmp_path / "late"))
+    assert rows(late, "window_start", "late") == [(60, 1)]
+    got = {(r["uid"], r["window_start"]): r for r in out.collect()}
     assert ("late", 60) not in got
     assert (got["c", 0]["orig_ip_bytes"], got["c", 0]["resp_ip_bytes"], got["c", 0]["failed"], got["c", 0]["new_flow"]) == (10, 5, True, True)
     assert (got["c", 120]["established"], got["c", 120]["failed"], got["c", 120]["tcp_syn_observed"], got["c", 120]["new_flow"]) == (True, False, True, False)
     assert not got["d", 0]["failed"]       # two seconds without an answer are not yet a timeout
     batch = telemetry.interval_telemetry(spark.createDataFrame(one + two, PACKETS).filter("uid <> 'late'"), 60)
     both = [c for c in batch.columns]
-    assert rows(batch.filter("window_start < 360"), *both) == rows(sink.tables.all(spark, "telemetry"), *both)
+    assert rows(batch.filter("window_start < 360"), *both) == rows(out, *both)
 
 
 def test_silent_and_incomplete_windows(spark):
@@ -136,3 +203,20 @@ def test_silent_and_incomplete_windows(spark):
     health = spark.createDataFrame([("r", 0, 61.0, True), ("r", 120, 150.0, True)], "run_id string, window_start long, watermark double, complete boolean")
     got = {r["window_start"]: r["complete"] for r in telemetry.eligible_windows(runs, health, 60, 260.0).collect()}
     assert got == {0: True, 60: False, 120: False}
+
+
+SIGNALS = "run_id bigint, kind string, at double, active boolean, window_start bigint, watermark double, complete boolean"
+
+
+def test_windows_close_by_timers(spark, tmp_path):
+    health = lambda w, mark: (1, "health", mark, None, w, mark, True)
+    parts = [[(1, "start", 5.0, True, None, None, None), health(0, 61.0)], [(2, "start", 170.0, False, None, None, None)], [health(120, 181.0), (2, "stop", 200.0, None, None, None, None)],
+             [(3, "start", 400.0, False, None, None, None), health(60, 300.0)], [(4, "start", 500.0, False, None, None, None)]]
+    for stream in delivered(spark, tmp_path / "in", parts, SIGNALS):
+        got = append(telemetry.window_stream(stream, 60, 0.0, deadline=30.0, close_delay=5.0), str(tmp_path / "out"))
+    of = {(r.window_start, r.fate): (r.complete, r.watermark) for r in got.filter("run_id = 1").collect()}
+    # window 60 had no health by its deadline, what came for it at 300 is late; 180 and after stay silent and close all the same
+    assert of == {(0, "closed"): (True, 61.0), (60, "closed"): (False, 120.0), (120, "closed"): (True, 181.0), (60, "late"): (True, 300.0)} | {
+        (w, "closed"): (False, w + 60.0) for w in range(180, 420, 60)}
+    # run 2 has stopped after its first window, of which nothing was heard; run 3 has said nothing yet
+    assert rows(got.filter("run_id > 1"), "run_id", "window_start", "complete", "watermark", "fate") == [(2, 120, False, 180.0, "closed")]
