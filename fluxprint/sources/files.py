@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import gzip
 import io
+import uuid
 import zlib
 from collections.abc import Iterator, Sequence
 
@@ -126,14 +127,32 @@ def read_profile(spark: SparkSession, path: str, calibrated: bool = True) -> Pro
 
 # A11
 def publish(df: DataFrame, path: str, version: int) -> None:
-    """Write a whole snapshot as a version; readers see it once the job has committed."""
-    df.write.mode("overwrite").parquet(f"{path}/version={version}")
+    """Write a whole snapshot as a version that readers see at once or not at all.
+
+    The rows go to a folder of their own; a manifest that names it is then renamed into place. A
+    writer that fails leaves a folder that no manifest names. A version can be published once: the
+    second of two writers gets an error and changes nothing.
+    """
+    spark = df.sparkSession
+    folder = f"version-{version}-{uuid.uuid4().hex}"
+    df.write.parquet(f"{path}/rows/{folder}")
+    hadoop, conf = spark.sparkContext._jvm.org.apache.hadoop.fs, spark.sparkContext._jsc.hadoopConfiguration()
+    commits = hadoop.Path(f"{path}/commits")
+    fs = commits.getFileSystem(conf)
+    draft, final = hadoop.Path(commits, f"_{folder}"), hadoop.Path(commits, f"{version:020d}")
+    out = fs.create(draft, False)
+    out.write(bytearray(folder.encode()))
+    out.close()
+    if fs.exists(final) or not fs.rename(draft, final):
+        fs.delete(draft, False)
+        raise FileExistsError(f"version {version} of {path} is published already")
 
 
 def latest(spark: SparkSession, path: str) -> DataFrame:
-    """The newest committed snapshot; only its partition is read."""
-    everything = spark.read.parquet(path)
-    return everything.filter(F.col("version") == everything.agg(F.max("version").alias("m")).scalar()).drop("version")
+    """The newest published snapshot; what has no manifest is not looked at."""
+    commits = spark.read.text(f"{path}/commits").select("value", F.col("_metadata.file_name").alias("name"))
+    folder = commits.agg(F.max_by("value", "name")).first()[0]
+    return spark.read.parquet(f"{path}/rows/{folder}")
 
 
 # A12

@@ -12,7 +12,7 @@ ALLOWED = {
     "i9_limited_alerts": "ranks at most `limit` rows",
 }
 # Queries that run jobs while they are built (stored tables, streams).
-EAGER = ("d14", "d15", "e6", "e8", "e9", "e10", "a4", "a5", "a6", "a8", "a9", "a10", "a11", "a12", "b14", "d8", "i11", "i13", "j2", "f_feature", "f3_median", "f9", "f10", "k1_interval_telemetry_stream", "k4_ingest_stream", "k5_deadline_join_stream", "k6")
+EAGER = ("d14", "d15", "e6", "e8", "e9", "e10", "a4", "a5", "a6", "a8", "a9", "a10", "a11", "a12", "b14", "d8", "i11", "i13", "j2", "f_feature", "f3_median", "f9", "f10", "k1_interval_telemetry_stream", "k1_late", "k3_eligible_windows_stream", "k4_ingest_stream", "k5_deadline_join_stream", "k6")
 
 
 def test_every_oracle_has_a_query():

@@ -2,6 +2,7 @@ import gzip
 import json
 
 import pytest
+from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from fluxprint.operators.profile import Profile
@@ -96,3 +97,21 @@ def test_nested_documents_are_bounded_and_ordinals_go_on(spark, tmp_path):
     got = sources.whole_ordinals(files.nested_list(spark, str(tmp_path / "documents"), schema, "permissions", lines=True)).collect()
     want = {e: sum(1 for f, v, _ in rows if v == u and f < e) for e, u, _ in rows}
     assert len(got) == len(rows) and {r.event_id: r.ordinal for r in got} == want
+
+
+def test_a_version_is_seen_whole_or_not_at_all(spark, tmp_path):
+    path = str(tmp_path / "snapshots")
+    files.publish(spark.range(3), path, 1)
+    # rows of a version that is still being written, and of a writer that has died
+    spark.range(9).write.parquet(f"{path}/rows/version-2-dead")
+    assert files.latest(spark, path).count() == 3
+    with pytest.raises(Exception, match="lost"):
+        files.publish(spark.range(1).select(F.raise_error(F.lit("lost"))), path, 2)
+    assert files.latest(spark, path).count() == 3
+    files.publish(spark.range(5), path, 2)
+    assert files.latest(spark, path).count() == 5
+    with pytest.raises(FileExistsError):
+        files.publish(spark.range(7), path, 2)
+    assert files.latest(spark, path).count() == 5
+    files.publish(spark.range(4), path, 11)
+    assert files.latest(spark, path).count() == 4
