@@ -104,22 +104,24 @@ def leases(spark: SparkSession, sf_dir: str, inventory: DataFrame | None = None)
         f"cast(if(id % 7 = 0, {START + 15 * DAY}, {END}) as bigint) as lease_end")
 
 
-def identity_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
+def identity_spans(spark: SparkSession, sf_dir: str, inventory: DataFrame | None = None) -> DataFrame:
     """What makes up a device: its address while leased, and its MAC, which one in thirteen devices changes."""
-    macs = devices(spark, sf_dir).select("device", F.expr(f"""explode(if(id % 13 = 5,
+    known = devices(spark, sf_dir) if inventory is None else inventory
+    macs = known.select("device", F.expr(f"""explode(if(id % 13 = 5,
         array(named_struct('v', mac, 'start', {START}, 'end', {MAC_CHANGE}), named_struct('v', concat(mac, ':b'), 'start', {MAC_CHANGE}, 'end', null)),
         array(named_struct('v', mac, 'start', {START}, 'end', null)))) as m"""))
     held = macs.select("device", F.concat(F.lit("mac:"), F.col("m.v")).alias("value"), F.col("m.start").cast("double").alias("start"), F.col("m.end").cast("double").alias("end"))
-    return held.unionByName(leases(spark, sf_dir).select("device", F.concat(F.lit("ip:"), F.col("ip")).alias("value"), F.col("lease_start").cast("double").alias("start"),
+    return held.unionByName(leases(spark, sf_dir, inventory).select("device", F.concat(F.lit("ip:"), F.col("ip")).alias("value"), F.col("lease_start").cast("double").alias("start"),
                                                          F.col("lease_end").cast("double").alias("end")))
 
 
-def outages(spark: SparkSession, sf_dir: str) -> DataFrame:
+def outages(spark: SparkSession, sf_dir: str, inventory: DataFrame | None = None) -> DataFrame:
     """One in ten devices is dark for a day; the sensor is dark for six hours."""
     dark = f"""explode(filter(array(
         if(id % 10 = 4, named_struct('start', {START + 10 * DAY}, 'end', {START + 11 * DAY}), null),
         named_struct('start', {START + 20 * DAY}, 'end', {START + 20 * DAY + WINDOW})), x -> x is not null)) as o"""
-    return devices(spark, sf_dir).selectExpr("device", dark).selectExpr("device", "o.start as start", "o.end as end")
+    known = devices(spark, sf_dir) if inventory is None else inventory
+    return known.selectExpr("device", dark).selectExpr("device", "o.start as start", "o.end as end")
 
 
 # The same mappings for the oracle.

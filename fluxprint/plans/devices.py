@@ -101,19 +101,21 @@ def rounded(columns: list[str]) -> str:
     return ", ".join(f"{r(c)} AS {c}" for c in columns)
 
 
-def resolved(spark: SparkSession, sf: str, telemetry: DataFrame | None = None) -> DataFrame:
+def resolved(spark: SparkSession, sf: str, telemetry: DataFrame | None = None, inventory: DataFrame | None = None) -> DataFrame:
     """Telemetry with its devices; the inventory, which several steps read, is stored first."""
-    inventory = materialize(A.devices(spark, sf), "inventory")
+    inventory = materialize(A.devices(spark, sf), "inventory") if inventory is None else inventory
     return identity.resolve_flow(A.telemetry(spark, sf) if telemetry is None else telemetry, A.leases(spark, sf, inventory), inventory)
 
 
-def grid(spark: SparkSession, sf: str) -> DataFrame:
-    return D.dense_grid(A.devices(spark, sf), A.START, A.END, A.outages(spark, sf), CLOCK, A.identity_spans(spark, sf))
+def grid(spark: SparkSession, sf: str, inventory: DataFrame | None = None) -> DataFrame:
+    inventory = materialize(A.devices(spark, sf), "inventory") if inventory is None else inventory
+    return D.dense_grid(inventory, A.START, A.END, A.outages(spark, sf, inventory), CLOCK, A.identity_spans(spark, sf, inventory))
 
 
 def minutes(spark: SparkSession, sf: str, keep=lambda df, name: df) -> D.Minutes:
     """View and grid; ``keep`` stores them for features that read them several times."""
-    return D.Minutes(keep(D.endpoint_view(resolved(spark, sf)), "view"), keep(grid(spark, sf), "grid"), CLOCK)
+    inventory = materialize(A.devices(spark, sf), "inventory")
+    return D.Minutes(keep(D.endpoint_view(resolved(spark, sf, inventory=inventory)), "view"), keep(grid(spark, sf, inventory), "grid"), CLOCK)
 
 
 def cells(m: D.Minutes) -> DataFrame:
@@ -125,7 +127,8 @@ def available(df: DataFrame, *columns: str) -> DataFrame:
 
 
 def edge_rows(spark: SparkSession, sf: str) -> DataFrame:
-    return graph.edges(resolved(spark, sf), grid(spark, sf))
+    inventory = materialize(A.devices(spark, sf), "inventory")
+    return graph.edges(resolved(spark, sf, inventory=inventory), grid(spark, sf, inventory))
 
 
 @query("c1_identity_resolution", sql("""SELECT uid, ws AS window_start, od AS orig_device, rd AS resp_device FROM res"""))
