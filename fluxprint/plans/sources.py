@@ -18,10 +18,12 @@ from fluxprint.sources import files, text_logs
 FIELDS = ["ts", "uid", "id.orig_h", "id.resp_h", "id.resp_p", "proto", "service", "conn_state", "orig_bytes", "resp_bytes", "orig_l2_addr"]
 
 
+CHUNK = 1 << 12  # event ids below one header
+
+
 def log_lines(spark: SparkSession, sf: str) -> DataFrame:
-    """The events as TSV lines, one log per kind, with headers in two column orders."""
+    """The events as TSV log files, read back: folders per kind, and headers that turn the column order within a file."""
     c = A.connections(spark, sf)
-    kind = F.col("event_type")
     cells = {"ts": F.col("ts").cast("string"), "uid": F.col("uid"), "id.orig_h": F.col("orig_h"), "id.resp_h": F.col("resp_h"),
              "id.resp_p": F.when(F.col("k") % 9 == 0, "-").otherwise(F.col("resp_p").cast("string")), "proto": F.col("proto"),
              "service": F.coalesce("service", F.lit("-")), "conn_state": F.col("conn_state"),
@@ -29,13 +31,18 @@ def log_lines(spark: SparkSession, sf: str) -> DataFrame:
              "resp_bytes": F.col("resp_bytes").cast("string"), "orig_l2_addr": F.col("orig_mac")}
     forward = F.concat_ws("\t", *[cells[f] for f in FIELDS])
     backward = F.concat_ws("\t", *[cells[f] for f in reversed(FIELDS)])
-    turned = kind.isin("click", "error")
-    rows = c.select(kind.alias("file"), (F.col("event_id") + 10).alias("position"), F.when(turned, backward).otherwise(forward).alias("value"))
-    head = F.when(kind.isin("click", "error"), "\t".join(["#fields", *reversed(FIELDS)])).otherwise("\t".join(["#fields", *FIELDS]))
-    heads = c.select(kind.alias("file"), F.explode(F.array(
-        F.struct(F.lit(1).cast("bigint").alias("position"), F.lit("#separator x09").alias("value")),
-        F.struct(F.lit(2).cast("bigint").alias("position"), head.alias("value")))).alias("h")).select("file", "h.*").distinct()
-    return rows.unionByName(heads)
+    chunk = F.expr(f"event_id div {CHUNK}")
+    turned = chunk % 2 == 1
+    rows = c.select(F.col("event_type").alias("kind"), chunk.alias("chunk"), (F.col("event_id") + 10).alias("place"),
+                    F.when(turned, backward).otherwise(forward).alias("value"))
+    head = F.when(F.col("chunk") % 2 == 1, "\t".join(["#fields", *reversed(FIELDS)])).otherwise("\t".join(["#fields", *FIELDS]))
+    marks = F.array(F.struct(F.lit(1).cast("bigint").alias("place"), F.lit("#separator x09").alias("value")),
+                    F.struct(F.lit(2).cast("bigint").alias("place"), head.alias("value")))
+    heads = rows.select("kind", "chunk").distinct().select("kind", "chunk", F.explode(marks).alias("h")).select("kind", "chunk", "h.*")
+    path = folder(spark, "logs")
+    rows.unionByName(heads).repartition("kind", "chunk").sortWithinPartitions("kind", "chunk", "place").select("kind", "value") \
+        .write.partitionBy("kind").text(path)
+    return text_logs.read_lines(spark, path)
 
 
 @query("a1_header_tsv", f"""WITH {A.EVENTS_SQL} SELECT event_type AS file, uid, resp_h, CASE WHEN k % 9 = 0 THEN '-' ELSE resp_p::VARCHAR END AS port,
@@ -43,7 +50,7 @@ def log_lines(spark: SparkSession, sf: str) -> DataFrame:
 def _(spark, sf):
     rec = F.col("record")
     return text_logs.header_records(log_lines(spark, sf)).select(
-        "file", rec["uid"].alias("uid"), rec["id.resp_h"].alias("resp_h"), rec["id.resp_p"].alias("port"), rec["service"].alias("service"))
+        F.regexp_extract("file", "kind=([^/]*)", 1).alias("file"), rec["uid"].alias("uid"), rec["id.resp_h"].alias("resp_h"), rec["id.resp_p"].alias("port"), rec["service"].alias("service"))
 
 
 @query("a2_typed_connections", f"""WITH {A.EVENTS_SQL} SELECT uid, {r('t')} AS ts, orig_h, CASE WHEN k % 9 <> 0 THEN resp_p END AS resp_p, service,
@@ -60,24 +67,29 @@ def _(spark, sf):
 
 
 def json_text(spark: SparkSession, sf: str) -> DataFrame:
+    """The events as JSON lines in files of their own, with notes, blanks and broken lines, read back."""
     body = F.to_json(F.struct("event_id", "event_type", "value"))
-    return A.table(spark, sf, "events").select(
-        F.lit("events.jsonl").alias("file"), F.col("event_id").alias("position"),
-        F.when(F.col("event_id") % 10 == 0, "# note").when(F.col("event_id") % 10 == 1, "  ").when(
-            F.col("event_id") % 10 == 2, F.substring(body, 1, 20)).otherwise(body).alias("value"))
+    value = F.when(F.col("event_id") % 10 == 0, "# note").when(F.col("event_id") % 10 == 1, "  ").when(
+        F.col("event_id") % 10 == 2, F.substring(body, 1, 20)).otherwise(body)
+    path = folder(spark, "json-lines")
+    events = A.table(spark, sf, "events").withColumn("chunk", F.expr(f"event_id div {CHUNK}"))
+    # a file per chunk: line n of it is the n-th event of the chunk
+    events.repartition("chunk").sortWithinPartitions("chunk", "event_id").select("chunk", value.alias("value")).write.partitionBy("chunk").text(path)
+    return text_logs.read_lines(spark, path).withColumn("file", F.regexp_extract("file", "(chunk=[^/]*)", 1))
 
 
 EVENT = T.StructType([T.StructField("event_id", T.LongType()), T.StructField("event_type", T.StringType()), T.StructField("value", T.DoubleType())])
 
 
-@query("a3_json_lines", f"SELECT 'events.jsonl' AS file, event_id, event_type, {r('value')} AS value FROM events WHERE event_id % 10 > 2")
+@query("a3_json_lines", f"SELECT 'chunk=' || (event_id // {CHUNK}) AS file, event_id, event_type, {r('value')} AS value FROM events WHERE event_id % 10 > 2")
 def _(spark, sf):
     return text_logs.json_lines(json_text(spark, sf), EVENT)[0]
 
 
-@query("a3_bad_lines", "SELECT 'events.jsonl' AS file, event_id AS position FROM events WHERE event_id % 10 = 2")
+@query("a3_bad_lines", f"""SELECT file, line FROM (SELECT event_id, 'chunk=' || (event_id // {CHUNK}) AS file,
+    row_number() OVER (PARTITION BY event_id // {CHUNK} ORDER BY event_id) AS line FROM events) WHERE event_id % 10 = 2""")
 def _(spark, sf):
-    return text_logs.json_lines(json_text(spark, sf), EVENT)[1].select("file", "position")
+    return text_logs.json_lines(json_text(spark, sf), EVENT)[1].select("file", "line")
 
 
 def packets(spark: SparkSession, sf: str) -> DataFrame:

@@ -3,12 +3,14 @@
 from __future__ import annotations
 
 import gzip
-import io
+import re
 import uuid
 import zlib
 from collections.abc import Iterator, Sequence
 
 import pyarrow as pa
+from pyarrow import fs as pafs
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -18,6 +20,9 @@ from fluxprint.operators import policy
 from fluxprint.operators.evidence import trace_id
 from fluxprint.operators.profile import Profile
 from fluxprint.schemas import IDENTITY
+from fluxprint.session import materialize
+
+PIECE = 1 << 20  # bytes of a flow file looked at together
 
 # Numeric and categorical columns of a device-day flow file.
 FLOW_NUMERIC = ["srcNumPackets", "dstNumPackets", "srcPayloadSize", "dstPayloadSize", "srcAvgPayloadSize", "dstAvgPayloadSize",
@@ -39,36 +44,34 @@ def flow_files(spark: SparkSession, path: str | list[str], schema: T.StructType)
     """Rows of device-day CSV files by header name, and the files that were skipped with the reason.
 
     A file is skipped as a whole, so that a broken one does not pass for a short one. Each is
-    looked through once before, in a task of its own.
+    looked through once before, piece by piece in a task of its own, whatever its size.
     """
-    skipped = _unreadable(spark.read.format("binaryFile").load(path))
+    listed = spark.read.format("binaryFile").load(path).select("path")
+    skipped = materialize(listed.repartition("path").mapInArrow(_look_through, "file string, reason string"), "skipped-files")
     rows = (spark.read.option("header", True).option("enforceSchema", False).option("ignoreCorruptFiles", True)
             .schema(schema).csv(path).select("*", F.col("_metadata.file_name").alias("file")))
     return rows.join(skipped.select("file"), "file", "left_anti").select(*schema.names, "file"), skipped
 
 
-def _unreadable(listed: DataFrame) -> DataFrame:
+def _look_through(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """(file, reason) of files that do not inflate to their end or whose header is not text."""
-    def check(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            bad = []
-            for name, content in zip(batch.column(0).to_pylist(), batch.column(1)):
-                view = memoryview(content.as_buffer())
-                try:
-                    if bytes(view[:2]) != b"\x1f\x8b":
-                        header = bytes(view[:1 << 16])
-                    else:
-                        with gzip.open(io.BytesIO(view)) as unzipped:
-                            header = unzipped.read(1 << 16)
-                            while unzipped.read(1 << 20):
-                                pass
-                    header.split(b"\n")[0].decode()
-                except (OSError, EOFError, zlib.error, UnicodeDecodeError) as e:
-                    bad.append((name, str(e)))
-            if bad:
-                yield pa.RecordBatch.from_pydict({"file": [b[0] for b in bad], "reason": [b[1] for b in bad]})
-
-    return listed.select(F.element_at(F.split("path", "/"), -1).alias("file"), "content").mapInArrow(check, "file string, reason string")
+    for batch in batches:
+        bad = []
+        for path in batch.column(0).to_pylist():
+            try:
+                _inflates(path)
+            except (OSError, EOFError, zlib.error, UnicodeDecodeError) as e:
+                bad.append((path.rsplit("/", 1)[-1], str(e)))
+        yield pa.RecordBatch.from_pydict({"file": pa.array([b[0] for b in bad], pa.string()), "reason": pa.array([b[1] for b in bad], pa.string())})
+
+
+def _inflates(path: str) -> None:
+    store, place = pafs.FileSystem.from_uri(re.sub("^file:/+", "file:///", path))
+    packed = path.endswith(".gz")  # as the reader of the rows decides
+    with store.open_input_stream(place, compression=None) as raw, (gzip.GzipFile(fileobj=raw) if packed else raw) as text:
+        text.read(PIECE).split(b"\n")[0].decode()
+        while packed and text.read(PIECE):
+            pass
 
 
 # A7
@@ -166,11 +169,26 @@ def event_records(rows: DataFrame, payload: Sequence[str]) -> DataFrame:
 
 
 def append_events(records: DataFrame, path: str, checkpoint: str | None = None):
-    """Append to the log: a batch write, or an exactly-once stream."""
+    """Append to the log: an exactly-once stream, or a batch write that leaves out events which the log holds.
+
+    A batch is compared by ``event_id`` with the log's events of its own span of ``recorded_at``
+    (rows without a time with those without one), so a repeated batch adds nothing and what is read
+    follows the batch. Two batches at the same moment don't see each other.
+    """
     if records.isStreaming:
         return (records.writeStream.outputMode("append").format("parquet").option("path", path)
                 .option("checkpointLocation", checkpoint).trigger(availableNow=True).start())
-    return records.write.mode("append").parquet(path)
+    fresh = records.dropDuplicates(["event_id"])
+    try:
+        log = records.sparkSession.read.schema(records.schema).parquet(path)
+    except AnalysisException as error:
+        if "PATH_NOT_FOUND" not in str(error):
+            raise
+    else:
+        lo, hi = records.agg(F.min("recorded_at"), F.max("recorded_at")).first()
+        span = F.col("recorded_at").isNull() if lo is None else F.col("recorded_at").isNull() | F.col("recorded_at").between(lo, hi)
+        fresh = fresh.join(log.filter(span).select("event_id"), "event_id", "left_anti").select(records.columns)
+    return fresh.write.mode("append").parquet(path)
 
 
 # A13

@@ -25,6 +25,51 @@ def test_device_rows(spark, tmp_path):
     assert {r["uid"] for r in text_logs.connections(records, "m", initiated_only=False).collect()} == {"A", "B"}
 
 
+def test_headers_and_line_numbers_go_over_splits(spark, tmp_path):
+    fields = [["ts", "uid"], ["uid", "ts"]]
+    lines, want, number = [], {}, 0
+    for part in range(4):
+        lines.append("#fields\t" + "\t".join(fields[part % 2]))
+        for _ in range(40 if part != 2 else 0):  # the third header is followed by the fourth at once
+            number += 1
+            row = {"ts": str(number), "uid": f"u{number}"}
+            want[row["uid"]] = row["ts"]
+            lines.append("\t".join(row[f] for f in fields[part % 2]))
+    (tmp_path / "long.log").write_text("\n".join(lines) + "\n")
+    bad = {7, 33, 60}
+    (tmp_path / "x.jsonl").write_text("".join('{"a": \n' if n in bad else "# note\n" if n % 5 == 0 else '{"a": %d}\n' % n for n in range(1, 61)))
+    with_splits = {"spark.sql.files.maxPartitionBytes": "64b", "spark.sql.files.openCostInBytes": "1b"}
+    before = {k: spark.conf.get(k) for k in with_splits}
+    try:
+        for k, v in with_splits.items():
+            spark.conf.set(k, v)
+        read = text_logs.read_lines(spark, str(tmp_path / "long.log"))
+        assert read.select("split").distinct().count() > 10
+        got = {r["record"]["uid"]: r["record"]["ts"] for r in text_logs.header_records(read).collect()}
+        assert got == want
+        schema = T.StructType([T.StructField("a", T.LongType())])
+        json_read = text_logs.read_lines(spark, str(tmp_path / "x.jsonl"))
+        good, wrong = text_logs.json_lines(json_read, schema)
+        assert {r["line"] for r in wrong.collect()} == bad
+        assert {r["a"] for r in good.collect()} == {n for n in range(1, 61) if n % 5 and n not in bad}
+        with pytest.raises(Exception, match=r"invalid JSON in .*x\.jsonl:(7|33|60)"):
+            text_logs.strict_json_lines(json_read, schema).collect()
+    finally:
+        for k, v in before.items():
+            spark.conf.set(k, v)
+
+
+def test_a_repeated_batch_is_appended_once(spark, tmp_path):
+    path = str(tmp_path / "log")
+    def batch(times):
+        rows = spark.createDataFrame([(t, "decision", f"x{t}", 3) for t in times], "recorded_at double, kind string, decision_id string, size int")
+        return files.event_records(rows, ["decision_id", "size"])
+    files.append_events(batch([1.0, 2.0, None]), path)
+    files.append_events(batch([2.0, None, 3.0, 3.0]), path)
+    files.append_events(batch([None]), path)
+    assert sorted(str(r["recorded_at"]) for r in spark.read.parquet(path).collect()) == ["1.0", "2.0", "3.0", "None"]
+
+
 def test_json_lines(spark, tmp_path):
     (tmp_path / "x.jsonl").write_text('{"a": 1}\n\n# note\n{"a": \n{"a": 2}\n')
     schema = T.StructType([T.StructField("a", T.LongType())])
@@ -77,9 +122,11 @@ def test_flow_files_and_policy_lists(spark, tmp_path):
     whole = gzip.compress(b"time,dstIp\n" + b"6,1.1.1.2\n" * 5000)
     (tmp_path / "plug_2016-09-24.csv.gz").write_bytes(whole)
     (tmp_path / "broken_2016-09-25.csv.gz").write_bytes(whole[:-20])
+    (tmp_path / "text_2016-09-26.csv.gz").write_bytes(b"time,dstIp\n7,1.1.1.3\n")
+    (tmp_path / "header_2016-09-27.csv").write_bytes(b"time,\xff\xfe\n8,1.1.1.4\n")
     got, skipped = files.flow_files(spark, str(tmp_path / "*.csv*"), schema)
     assert {r["file"]: r["count"] for r in got.groupBy("file").count().collect()} == {"cam_2016-09-23.csv": 1, "plug_2016-09-24.csv.gz": 5000}
-    assert [r["file"] for r in skipped.collect()] == ["broken_2016-09-25.csv.gz"]
+    assert {r["file"] for r in skipped.collect()} == {"broken_2016-09-25.csv.gz", "text_2016-09-26.csv.gz", "header_2016-09-27.csv"}
     (tmp_path / "policy.json").write_text(json.dumps({"permissions": [{"initiator": "a"}, {"initiator": "b"}]}, indent=1))
     nested = T.StructType([T.StructField("permissions", T.ArrayType(T.StructType([T.StructField("initiator", T.StringType())])))])
     got = files.nested_list(spark, str(tmp_path / "policy.json"), nested, "permissions").collect()
