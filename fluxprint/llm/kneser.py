@@ -31,7 +31,8 @@ PRIOR_BYTES = 64         # weight of the language's median in the score of a doc
 HIGH = 0.95              # quantile of the trusted scores of a language ...
 REACH = 3.0              # ... whose distance from the median, so many times, is still accepted
 LEAST_TRUSTED = 30       # trusted documents below which a language has no limit
-FOLD_BYTES = 1 << 21
+FOLD_BYTES = 1 << 18     # of text that are n-grams at once; the arrays of one fold are some 50 times as large
+MOST_KEYS = 1 << 20      # distinct n-grams that a task holds before it sends them on
 
 
 def ngrams(data: np.ndarray, at: np.ndarray, order: int) -> np.ndarray:
@@ -47,23 +48,54 @@ def ngrams(data: np.ndarray, at: np.ndarray, order: int) -> np.ndarray:
     return out
 
 
-def folded(batches: Iterator[pa.RecordBatch], column: int, order: int) -> tuple[np.ndarray, np.ndarray]:
-    """Distinct n-grams of all batches, with their counts."""
-    known, total = np.zeros(0, np.int64), np.zeros(0, np.int64)
+def pieces(data: np.ndarray, at: np.ndarray, order: int) -> Iterator[np.ndarray]:
+    """The n-grams of a slice in turn; a document of more than FOLD_BYTES goes in pieces that reach back into it."""
+    if len(at) != 2 or len(data) <= FOLD_BYTES:
+        yield ngrams(data, at, order)
+        return
+    for lo in range(0, len(data), FOLD_BYTES):
+        start = max(0, lo - order + 1)
+        piece = data[start:lo + FOLD_BYTES]
+        yield ngrams(piece, np.array([0, len(piece)]), order)[lo - start:]
+
+
+def _run_lengths(keys: np.ndarray, n: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
+    """Distinct keys in order and their sums of ``n`` (their number if not given); without ``n`` the keys are sorted in place."""
+    if n is None:
+        keys.sort()
+        heads = np.flatnonzero(np.concatenate(([True], keys[1:] != keys[:-1]))) if len(keys) else np.zeros(0, np.int64)
+        return keys[heads], np.diff(np.append(heads, len(keys)))
+    order = np.argsort(keys, kind="stable")
+    keys, n = keys[order], n[order]
+    heads = np.flatnonzero(np.concatenate(([True], keys[1:] != keys[:-1])))
+    return keys[heads], np.add.reduceat(n, heads)
+
+
+def folded(batches: Iterator[pa.RecordBatch], column: int, order: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """n-grams of all batches with their counts; one comes again only after MOST_KEYS distinct ones were sent on."""
+    held, fresh = [], 0
+    merged = lambda: _run_lengths(np.concatenate([k for k, _ in held]), np.concatenate([n for _, n in held]))
     for batch in batches:
         for _, _, data, at in blocks.slices(batch.column(column), FOLD_BYTES):
-            fresh, count = np.unique(ngrams(data, at, order), return_counts=True)
-            both, back = np.unique(np.concatenate((known, fresh)), return_inverse=True)
-            total = np.bincount(back, np.concatenate((total, count)), len(both)).astype(np.int64)
-            known = both
-    return known, total
+            for grams in pieces(data, at, order):
+                if not len(grams):
+                    continue
+                held.append(_run_lengths(grams))
+                fresh += len(held[-1][0])
+                if fresh > max(FOLD_BYTES, len(held[0][0])):
+                    held, fresh = [merged()], 0
+                    if len(held[0][0]) > MOST_KEYS:
+                        yield held.pop()
+        pa.default_memory_pool().release_unused()
+    if held:
+        yield merged()
 
 
 def counts(trusted: DataFrame, order: int = ORDER) -> list[DataFrame]:
     """Tables (gram, n) of orders 1 to ``order``: occurrences at the top, distinct left neighbours below."""
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known, total = folded(batches, 0, order)
-        yield pa.RecordBatch.from_pydict({"gram": known, "n": total})
+        for known, total in folded(batches, 0, order):
+            yield pa.RecordBatch.from_pydict({"gram": known, "n": total})
 
     top = trusted.select("text").mapInArrow(count, "gram bigint, n bigint").groupBy("gram").agg(F.sum("n").alias("n"))
     tables = [materialize(top, "ngrams")]
@@ -102,26 +134,27 @@ def log_probabilities(asked: DataFrame, tables: list[DataFrame]) -> DataFrame:
 
 
 def asked_for(docs: DataFrame, order: int) -> DataFrame:
-    """(block, gram): the distinct n-grams of each scan partition."""
+    """(block, gram): the n-grams of each scan partition, a few times at most."""
     def ask(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         first = next(batches, None)
         if first is not None:
-            known, _ = folded(chain((first,), batches), 0, order)
-            yield pa.RecordBatch.from_pydict({"block": np.full(len(known), first.column(1)[0].as_py(), np.int32), "gram": known})
+            block = first.column(1)[0].as_py()
+            for known, _ in folded(chain((first,), batches), 0, order):
+                yield pa.RecordBatch.from_pydict({"block": np.full(len(known), block, np.int32), "gram": known})
 
     return docs.select("text", F.spark_partition_id()).mapInArrow(ask, "block int, gram bigint")
 
 
 def packed(docs: DataFrame) -> DataFrame:
-    """(block, ids, langs, sizes, texts): the documents of each scan partition, some 1 MB compressed together."""
+    """(block, ids, langs, sizes, texts): the documents of each scan partition, some FOLD_BYTES compressed together."""
     def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         press = zstandard.ZstdCompressor(level=3)
         for batch in batches:
-            for lo, hi, data, at in blocks.slices(batch.column(2)):
+            for lo, hi, data, at in blocks.slices(batch.column(2), FOLD_BYTES):
                 yield pa.RecordBatch.from_pydict({
                     "block": batch.column(3).slice(lo, 1), "ids": pa.array([batch.column(0).slice(lo, hi - lo).to_pylist()], pa.list_(pa.int64())),
                     "langs": pa.array([batch.column(1).slice(lo, hi - lo).to_pylist()], pa.list_(pa.string())),
-                    "sizes": pa.array([np.diff(at).tolist()], pa.list_(pa.int64())), "texts": [press.compress(data.tobytes())]})
+                    "sizes": pa.array([np.diff(at).tolist()], pa.list_(pa.int64())), "texts": [press.compress(np.ascontiguousarray(data))]})
 
     return docs.select(F.col("doc_id").cast("bigint"), F.col("lang").cast("string"), "text", F.spark_partition_id()).mapInArrow(
         pack, "block int, ids array<bigint>, langs array<string>, sizes array<bigint>, texts binary")
@@ -190,9 +223,13 @@ def scored(docs: DataFrame, trusted: DataFrame, order: int = ORDER) -> DataFrame
                     size = np.array(batch.column(6)[i].as_py(), np.int64)
                     at = np.concatenate(([0], np.cumsum(size)))
                     data = np.frombuffer(press.decompress(batch.column(7)[i].as_py(), max_output_size=int(at[-1]) or 1), np.uint8)
-                    total = np.concatenate(([0.0], np.cumsum(table(ngrams(data, at, order)), dtype=np.float64)))
+                    if len(size) == 1:
+                        nll = np.array([-sum(float(table(g).sum(dtype=np.float64)) for g in pieces(data, at, order))])
+                    else:
+                        total = np.concatenate(([0.0], np.cumsum(table(ngrams(data, at, order)), dtype=np.float64)))
+                        nll = total[at[:-1]] - total[at[1:]]
                     yield pa.RecordBatch.from_arrays(
-                        [batch.column(4)[i].values, batch.column(5)[i].values, pa.array(size), pa.array(total[at[:-1]] - total[at[1:]])],
+                        [batch.column(4)[i].values, batch.column(5)[i].values, pa.array(size), pa.array(nll)],
                         names=["doc_id", "lang", "n_bytes", "nll"])
 
     return answers.union(texts).repartition(n, "block").sortWithinPartitions("block", "kind").mapInArrow(score, SCORED)

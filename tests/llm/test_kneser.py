@@ -56,6 +56,33 @@ def test_likelihoods_equal_a_plain_model(spark, frame):
     assert abs(sum(p(b"ab" + bytes([c])) for c in range(256)) - 1) < 1e-9
 
 
+def test_folds_and_long_texts_equal_whole_counts(spark, frame, monkeypatch):
+    """Small folds, keys sent on early and a text cut into pieces count and score as whole texts do."""
+    import pyarrow as pa
+
+    rng = random.Random(5)
+    texts = ["".join(rng.choice("abc dé") for _ in range(n)) for n in (0, 3, 50, 2_000, 7, 900)] + [None]
+    batches = lambda: iter([pa.RecordBatch.from_pydict({"t": pa.array(texts[:4])}), pa.RecordBatch.from_pydict({"t": pa.array(texts[4:])})])
+
+    def total():
+        out = collections.Counter()
+        for keys, n in kneser.folded(batches(), 0, ORDER):
+            assert (np.diff(keys) > 0).all()
+            out.update(dict(zip(keys.tolist(), n.tolist())))
+        return out
+
+    whole = total()
+    df = frame(list(enumerate(texts)), "doc_id bigint, text string").withColumn("lang", F.lit("x"))
+    scores = lambda: {r.doc_id: r.nll for r in kneser.scored(df, df.filter("doc_id < 4"), ORDER).collect()}
+    before = scores()
+    monkeypatch.setattr(kneser, "FOLD_BYTES", 64)
+    monkeypatch.setattr(kneser, "MOST_KEYS", 20)
+    assert total() == whole and sum(whole.values()) == sum(len((t or "").encode()) for t in texts)
+    data = np.frombuffer(texts[3].encode(), np.uint8)
+    assert (np.concatenate(list(kneser.pieces(data, np.array([0, len(data)]), ORDER))) == kneser.ngrams(data, np.array([0, len(data)]), ORDER)).all()
+    assert all(abs(before[i] - n) < 1e-6 * max(1, abs(n)) for i, n in scores().items())
+
+
 def test_separates_junk_and_keeps_good_documents(spark):
     sf = "/root/testdata/sf0.01"
     docs, labels = (spark.read.parquet(f"{sf}/{t}.parquet") for t in ("documents", "labels"))
