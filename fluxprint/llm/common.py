@@ -30,15 +30,22 @@ def join_ids(df: DataFrame, ids: DataFrame, how: str, key: str = "doc_id", limit
     return df.join(F.broadcast(ids) if few else ids.hint("merge"), key, how)
 
 
+# A graph of up to this many links (16 MB of pairs of longs) is worked on in one task a round, without a shuffle.
+FEW_LINKS = 1_000_000
+
+
 def components(edges: DataFrame, most_rounds: int = 40) -> DataFrame:
     """Connected components as (node, component), component = smallest node; nodes without an edge are absent.
 
     ``edges`` has long columns ``a`` and ``b``. Large-star and small-star rounds until nothing changes;
     every round is one grouped minimum and one join, pre-aggregated, and is written to the shared folder.
+    The links are counted each round: up to FEW_LINKS of them are one partition, more are dealt out.
     """
     now = materialize(edges.filter("a <> b").selectExpr("greatest(a, b) as hi", "least(a, b) as lo").distinct(), "links")
-    last = None
+    last, count = None, now.count()
     for _ in range(most_rounds):
+        if count <= FEW_LINKS:
+            now = now.coalesce(1)
         both = now.select(F.col("hi").alias("u"), F.col("lo").alias("v")).union(now.select("lo", "hi"))
         least = both.groupBy("u").agg(F.least(F.min("v"), F.first("u")).alias("m"))
         # large star: larger neighbours of u go to its minimum
@@ -51,7 +58,7 @@ def components(edges: DataFrame, most_rounds: int = 40) -> DataFrame:
         state = tuple(now.agg(F.count("*"), F.sum(F.xxhash64("hi", "lo").cast("decimal(38,0)"))).first())
         if state == last:
             break
-        last = state
+        last, count = state, state[0]
     else:
         raise RuntimeError(f"components did not settle in {most_rounds} rounds")
     star = now.select(F.col("hi").alias("node"), F.col("lo").alias("component"))

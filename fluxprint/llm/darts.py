@@ -10,11 +10,10 @@ agrees with the probability of their similarity.
 
 Equal documents are folded first. Representatives that share a band are candidates: all pairs
 of a small bucket; in a large one each member against the members closest to the bucket's
-modal signature, and those linked to none of these anew in buckets of one more band, where
-fewer meet, LEVELS times. Candidates whose signatures agree well enough are compared exactly.
+modal signature. Candidates whose signatures agree well enough are compared exactly.
 
-This only saves work. What a large bucket holds besides its main component, linked so far, meets
-all of the bucket at last: both sides are cut into blocks, every two blocks are a group of their
+The centres only save work. What a large bucket holds besides its main component, linked so far,
+meets all of the bucket at last: both sides are cut into blocks, every two blocks are a group of their
 own, and only a spanning forest of the links found leaves it. So two documents that share a
 band are in one class whenever their signatures agree and they are similar.
 """
@@ -41,10 +40,8 @@ LEAST_AGREEMENT = 0.66       # of the coordinates: four standard deviations unde
 SMALL = 16                   # bucket size up to which all pairs are compared
 CENTRES = 2                  # per large bucket
 SAMPLED = 32                 # signatures that give a large bucket's mode
-LEVELS = 3
 BLOCK = 1024                 # members of a block, fewer if they are long: ...
 BLOCK_ELEMENTS = 1 << 20     # ... elements of a block, on average
-FOLLOWING = 4                # bands, after the last one of a large bucket, that it is split by
 _STEP = np.uint64(0x9E3779B97F4A7C15)
 _POISSON = np.cumsum([np.exp(-1) / np.prod(np.arange(1, k + 1), dtype=float) for k in range(14)])
 
@@ -135,7 +132,7 @@ def _sigs(column: pa.Array) -> np.ndarray:
 
 
 def banded(sigs: DataFrame) -> DataFrame:
-    """(band, j, doc_id): one row per representative and band, the j-th of its bands."""
+    """(band, doc_id): one row per representative and band."""
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             sig = _sigs(batch.column(1)).astype(np.uint64).reshape(-1, BANDS, ROWS)
@@ -143,10 +140,10 @@ def banded(sigs: DataFrame) -> DataFrame:
             for j in range(ROWS):
                 h = blocks.mix(h * _STEP + sig[:, :, j])
             yield pa.RecordBatch.from_arrays(
-                [pa.array(h.reshape(-1).view(np.int64)), pa.array(np.tile(np.arange(BANDS, dtype=np.int32), len(sig))),
-                 batch.column(0).take(pa.array(np.repeat(np.arange(len(sig)), BANDS)))], names=["band", "j", "doc_id"])
+                [pa.array(h.reshape(-1).view(np.int64)), batch.column(0).take(pa.array(np.repeat(np.arange(len(sig)), BANDS)))],
+                names=["band", "doc_id"])
 
-    return sigs.select("doc_id", "sig").mapInArrow(scan, "band bigint, j int, doc_id bigint")
+    return sigs.select("doc_id", "sig").mapInArrow(scan, "band bigint, doc_id bigint")
 
 
 def all_pairs(rows: DataFrame) -> DataFrame:
@@ -322,31 +319,16 @@ def remaining(large: DataFrame, sigs: DataFrame, links: DataFrame, docs: DataFra
 def linked(docs: DataFrame, sigs: DataFrame) -> DataFrame:
     """Links (a, b) between representatives, all of SIMILARITY or more."""
     bands = materialize(banded(sigs), "bands")
-    rows, out, crowded = bands, None, None
-    for level in range(LEVELS):
-        sizes = materialize(rows.groupBy("band").agg(F.count("*").alias("size")).filter("size > 1"), "bucket-sizes")
-        pairs = all_pairs(rows.join(sizes.filter(F.col("size") <= SMALL), "band").select("band", "doc_id"))
-        large = materialize(rows.join(sizes.filter(F.col("size") > SMALL), "band").select("band", "j", "doc_id"), "large-buckets")
-        if not large.head(1):
-            links = materialize(compared(agreeing(pairs, sigs), docs), "links")
-            out = links if out is None else out.union(links)
-            break
-        crowded = large.select("band", "doc_id") if crowded is None else crowded
+    sizes = materialize(bands.groupBy("band").agg(F.count("*").alias("size")).filter("size > 1"), "bucket-sizes")
+    pairs = all_pairs(bands.join(sizes.filter(F.col("size") <= SMALL), "band"))
+    large = materialize(bands.join(sizes.filter(F.col("size") > SMALL), "band").select("band", "doc_id"), "large-buckets")
+    crowded = large.head(1)
+    if crowded:
         hubs = materialize(centres(large.join(sigs.select("doc_id", "sig"), "doc_id").select("band", "doc_id", "sig")), "centres")
-        star = large.select("band", "doc_id").join(hubs, "band").filter("doc_id <> centre")
+        star = large.join(hubs, "band").filter("doc_id <> centre")
         pairs = pairs.union(star.select(F.least("doc_id", "centre").alias("a"), F.greatest("doc_id", "centre").alias("b"))).distinct()
-        links = materialize(compared(agreeing(pairs, sigs), docs), "links")
-        out = links if out is None else out.union(links)
-        if level == LEVELS - 1:
-            break
-        # members without a link to a centre of theirs go on, by one more band
-        reached = links.select(F.expr("explode(array(struct(a as doc_id, b as other), struct(b as doc_id, a as other))) as e")).select("e.*")
-        met = star.select("doc_id", F.col("centre").alias("other")).distinct().join(reached, ["doc_id", "other"], "left_semi")
-        rest = large.join(met.select("doc_id").union(hubs.select("centre")).distinct(), "doc_id", "left_anti")
-        next_ = rest.select("doc_id", "band", F.explode(F.sequence(F.col("j") + 1, F.col("j") + FOLLOWING)).alias("k")) \
-            .select("doc_id", F.col("band").alias("before"), (F.col("k") % BANDS).alias("j"))
-        rows = materialize(next_.join(bands, ["doc_id", "j"]).select(F.xxhash64("before", "band").alias("band"), "j", "doc_id"), "bands")
-    return out if crowded is None else out.union(remaining(crowded, sigs, out, docs))
+    links = materialize(compared(agreeing(pairs, sigs), docs), "links")
+    return links.union(remaining(large, sigs, links, docs)) if crowded else links
 
 
 def classes(docs: DataFrame) -> DataFrame:

@@ -7,7 +7,7 @@ import re
 
 import numpy as np
 
-from fluxprint.llm import blocks, darts
+from fluxprint.llm import blocks, common, darts
 
 
 def bag(text):
@@ -80,6 +80,16 @@ def test_caps_only_save_work(spark, frame, monkeypatch):
     assert max(sizes) <= 2, sizes
 
 
+def test_components_in_one_task_and_dealt_out(spark, monkeypatch):
+    rng = random.Random(4)
+    edges = [(k, k + 1) for k in range(40)] + [(100, k) for k in range(101, 140)] + [(rng.randrange(200, 400), rng.randrange(200, 400)) for _ in range(120)] + [(7, 7)]
+    table = spark.createDataFrame(edges, "a bigint, b bigint")
+    few = {tuple(r) for r in common.components(table).collect()}
+    monkeypatch.setattr(common, "FEW_LINKS", 0)
+    assert few == {tuple(r) for r in common.components(table).collect()}
+    assert {c for n, c in few if n <= 40} == {0} and {c for n, c in few if 100 <= n < 140} == {100} and len(few) == len({n for n, _ in few})
+
+
 def test_null_ids_repeated_rows_and_empty_table(spark, frame):
     text = "a b c d e f g"
     rows = [(2, text), (2, text), (None, text), (5, text), (5, "quite another text of some six words")]
