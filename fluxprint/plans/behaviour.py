@@ -152,6 +152,80 @@ top AS (
   FROM (SELECT *, greatest({', '.join(COMPONENTS)}) AS mxc FROM sc))"""
 
 
+
+def _rows(rows) -> str:
+    """Literal rows of text and numbers, in SQL."""
+    text = lambda v: "NULL::DOUBLE" if v is None else f"'{v}'" if isinstance(v, str) else f"{v!r}::DOUBLE"
+    return "(VALUES " + ", ".join("(" + ", ".join(map(text, row)) + ")" for row in rows) + ")"
+
+
+CHANGES = deviation.SCENARIOS
+CHANGED = ["flow_count", "tcp_failed_ratio", "bytes_total"]
+INJECTED_SQL = f""",
+numbers AS (SELECT * FROM {_rows((s, *[x["numbers"].get(c) for c in CHANGED]) for s, x in CHANGES.items())}
+  x(scenario, {', '.join(CHANGED)})),
+planted AS (SELECT * FROM {_rows((s, kind, v) for s, x in CHANGES.items() for kind in ('destination', 'port', 'domain')
+                                 for v in x.get(kind + 's', []))} x(scenario, kind, value)),
+forced AS (SELECT * FROM {_rows((s, k, v) for s, x in CHANGES.items() for k, v in x.get('services', {}).items())}
+  x(scenario, service, share)),
+middle AS (SELECT device, quantile_cont(flow_count::DOUBLE, 0.5) AS med FROM w WHERE ws < {CUT} GROUP BY device),
+typ AS (
+  SELECT device, ws FROM (
+    SELECT device, ws, row_number() OVER (PARTITION BY device ORDER BY abs(flow_count - med), ws) AS i
+    FROM w JOIN middle USING (device) WHERE ws < {CUT}) WHERE i = 1),
+pairs AS (SELECT device, ws, scenario FROM typ CROSS JOIN numbers),
+iw AS (
+  SELECT device, scenario, {', '.join(f'coalesce(n.{c}, w.{c}::DOUBLE) AS {c}' for c in CHANGED)}
+  FROM pairs JOIN w USING (device, ws) JOIN numbers n USING (scenario)),
+iu AS (
+  SELECT device, scenario, x.kind, NOT EXISTS (
+    SELECT 1 FROM known kn WHERE kn.device = x.device AND kn.kind = x.kind AND kn.value = x.value) AS unseen
+  FROM (
+    SELECT device, scenario, kind, value FROM pairs JOIN we USING (device, ws)
+    WHERE (scenario, kind) NOT IN (SELECT scenario, kind FROM planted)
+    UNION ALL SELECT device, scenario, kind, value FROM pairs JOIN planted USING (scenario)) x),
+ius AS (
+  SELECT device, scenario, {', '.join(f"coalesce(avg(unseen::INT) FILTER (WHERE kind = '{k}'), 0) AS new_{k}s"
+                                      for k in ('destination', 'domain', 'port'))} FROM iu GROUP BY ALL),
+im AS (
+  SELECT device, scenario, service, share FROM pairs JOIN sh USING (device, ws)
+  WHERE scenario NOT IN (SELECT scenario FROM forced)
+  UNION ALL SELECT device, scenario, service, share FROM pairs JOIN forced USING (scenario)),
+idr AS (
+  SELECT device, scenario, round(0.5 * sum(abs(coalesce(share, 0) - coalesce(b, 0))), 12) AS protocol_drift
+  FROM (SELECT device, scenario, service FROM im UNION SELECT device, scenario, service FROM pairs JOIN bs USING (device))
+  LEFT JOIN im USING (device, scenario, service) LEFT JOIN bs USING (device, service)
+  WHERE device IN (SELECT device FROM bs) GROUP BY ALL),
+iz AS (
+  SELECT iw.device, scenario, f.feature, mx, m, spread, CASE WHEN trim_space = 'log1p' THEN ln(1 + v) ELSE v END AS c
+  FROM (UNPIVOT (SELECT device, scenario, bytes_total, flow_count FROM iw) ON bytes_total, flow_count
+        INTO NAME feature VALUE v) iw
+  LEFT JOIN (SELECT DISTINCT device, feature, m, mx, spread, trim_space FROM fz) f
+    ON f.device = iw.device AND f.feature = iw.feature),
+iq AS (
+  SELECT device, scenario, max(z / (z + 6)) FILTER (WHERE feature = 'bytes_total') AS volume,
+         max(z / (z + 6)) FILTER (WHERE feature = 'flow_count') AS flow_rate
+  FROM (SELECT device, scenario, feature, CASE WHEN m IS NULL OR c <= m THEN 0 WHEN spread <= 0 THEN
+          CASE WHEN c <= mx OR mx <= 0 THEN 0 ELSE 6.0 * c / mx END ELSE (c - m) / spread END AS z FROM iz)
+  GROUP BY ALL),
+iraw AS (
+  SELECT device, scenario, coalesce(new_destinations, 0) AS new_destinations, coalesce(new_domains, 0) AS new_domains,
+         coalesce(new_ports, 0) AS new_ports, coalesce(protocol_drift, 0) AS protocol_drift, CASE
+           WHEN iw.tcp_failed_ratio > f.p99 AND f.p99 < 1 THEN (iw.tcp_failed_ratio - f.p99) / (1 - f.p99) ELSE 0 END
+           AS failed_conns, coalesce(volume, 0) AS volume, coalesce(flow_rate, 0) AS flow_rate
+  FROM iw LEFT JOIN ius USING (device, scenario) LEFT JOIN idr USING (device, scenario) LEFT JOIN iq USING (device, scenario)
+  LEFT JOIN (SELECT device, p99 FROM rs WHERE feature = 'tcp_failed_ratio') f USING (device)),
+icl AS (
+  UNPIVOT (SELECT device, scenario, {', '.join(f'{c}::DOUBLE AS {c}' for c in COMPONENTS)} FROM iraw)
+  ON {', '.join(COMPONENTS)} INTO NAME component VALUE v),
+isc AS (
+  SELECT device, scenario, 1 - product(1 - x) AS deviation_score, max(x) AS mxc,
+    {', '.join(f"max(x) FILTER (WHERE component = '{c}') AS {c}" for c in COMPONENTS)}
+  FROM (SELECT device, scenario, component, CASE WHEN p99 IS NULL THEN v
+          ELSE greatest(0, least(1, (v - least(p99, 0.99)) / (1 - least(p99, 0.99)))) END AS x
+        FROM icl LEFT JOIN cal USING (device, component)) GROUP BY ALL)"""
+
+
 def sql(body: str) -> str:
     return f"WITH {CTES}\n{body}"
 
@@ -412,7 +486,12 @@ def _(spark, sf):
     return deviation.top_windows(late, 5).select(*KEYS, "deviation_score", "position")
 
 
-@query("e10_injected_changes")
+@query("e10_injected_changes", f"""WITH {CTES}{INJECTED_SQL}
+SELECT device::VARCHAR AS device, scenario, {r('deviation_score')} AS deviation_score,
+  CASE {' '.join(f"WHEN {c} = mxc AND mxc > 0 THEN '{c}'" for c in COMPONENTS)} END AS top_component,
+  deviation_score > 0.5 AS detected,
+  CASE scenario {' '.join(f"WHEN '{s}' THEN " + ' OR '.join(f'{c} > 0' for c in x['expected'])
+                          for s, x in CHANGES.items())} END AS expected_driver FROM isc""")
 def _(spark, sf):
     p, _scores, (w, s, e) = fitted(spark, sf)
     changed = deviation.injected_changes(deviation.typical_windows(training(w)), s, e)
