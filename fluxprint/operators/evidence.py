@@ -74,17 +74,24 @@ def trace_id(fields: list[str]) -> Column:
 def link_traces(events: DataFrame) -> DataFrame:
     """Give events without a trace the one of the decision they carry out.
 
-    Decisions are one row per decision id, so the join keeps the event count.
+    Decisions are one row per decision id, so the join keeps the event count. Only events that lack
+    a trace and name a decision are joined: the others have no key, and would all meet in one task.
     """
     decisions = events.filter((F.col("kind") == "decision") & F.col("trace_id").isNotNull()).groupBy(
         F.col("decision_id").alias("_d")).agg(F.max_by("trace_id", "recorded_at").alias("_t"))
-    linked = events.join(decisions, F.col("request_decision_id") == F.col("_d"), "left")
-    return linked.withColumn("trace_id", F.coalesce("trace_id", "_t", F.lit("unlinked"))).drop("_d", "_t")
+    asks = F.col("trace_id").isNull() & F.col("request_decision_id").isNotNull()
+    linked = events.filter(asks).join(decisions, F.col("request_decision_id") == F.col("_d"), "left").withColumn("trace_id", F.col("_t")).drop("_d", "_t")
+    return events.filter(~asks).unionByName(linked).withColumn("trace_id", F.coalesce("trace_id", F.lit("unlinked")))
 
 
 # C17
 def assemble_traces(events: DataFrame) -> DataFrame:
-    """One row per trace: newest value per kind, counts, and stage latencies."""
+    """One row per trace: newest value per kind, counts, and stage latencies.
+
+    Newest values are found by sorting, so events are dealt out first: a task then sorts its share of
+    the traces and not all rows of a large split. Events without a trace are spread over many tasks.
+    """
+    lane = F.when(F.col("trace_id") == "unlinked", F.xxhash64(*events.columns))
     def of(kind: str, column: str) -> Column:
         # equal instants are decided by the value, so the result has no order
         newest = F.max(F.when(F.col("kind") == kind, F.struct("recorded_at", column)))
@@ -94,7 +101,7 @@ def assemble_traces(events: DataFrame) -> DataFrame:
         return F.max(F.when(F.col("kind") == kind, F.col("recorded_at")))
 
     kinds = ["window", "gnn_evidence", "mud_evidence", "joined_evidence", "decision", "controller_outcome"]
-    rows = events.groupBy("trace_id").agg(
+    rows = events.repartition("trace_id", lane).groupBy("trace_id").agg(
         F.count(F.lit(1)).alias("events"), *[at(k).alias(f"{k}_at") for k in kinds],
         of("window", "window_end").alias("window_end"), of("window", "first_flow").alias("first_flow"),
         of("window", "flows").alias("flows"), of("gnn_evidence", "flagged").alias("flagged"),
