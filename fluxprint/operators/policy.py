@@ -162,7 +162,9 @@ def document_facts(documents: DataFrame) -> DataFrame:
     fact = (F.when(kind == "domain", F.lower(text)).when(kind == "network", text).when(kind == "permission", field)
             .when(kind == "port", F.concat_ws("/", proto, port)))
     rows = m.select("document_id", kind.alias("kind"), fact.alias("fact")).filter("kind is not null")
-    counted = rows.groupBy("document_id", "kind", "fact").agg(F.count(F.lit(1)).alias("n"))
+    # documents unfold to many facts, so these are dealt out before any task folds all of its split
+    keys = ["document_id", "kind", "fact"]
+    counted = rows.repartition(*keys).groupBy(*keys).agg(F.count(F.lit(1)).alias("n"))
     # only permissions are counted; the other kinds are sets
     return counted.withColumn("n", F.when(F.col("kind") == "permission", F.col("n")).otherwise(1))
 
