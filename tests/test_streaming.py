@@ -1,12 +1,13 @@
 import random
 
 import pytest
+from pyspark.sql import Row
 from pyspark.sql import functions as F
 
 from fluxprint.operators import device_features as D
 from fluxprint.operators import graph
 from fluxprint.schemas import Clock
-from fluxprint.streaming import features, ledger, telemetry
+from fluxprint.streaming import features, ledger, processors, telemetry
 from fluxprint.streaming.sinks import BatchTables, append, drain, not_ahead, timed
 
 ARRIVALS = "observation string, branch string, payload_hash string, at double"
@@ -220,3 +221,57 @@ def test_windows_close_by_timers(spark, tmp_path):
         (w, "closed"): (False, w + 60.0) for w in range(180, 420, 60)}
     # run 2 has stopped after its first window, of which nothing was heard; run 3 has said nothing yet
     assert rows(got.filter("run_id > 1"), "run_id", "window_start", "complete", "watermark", "fate") == [(2, 120, False, 180.0, "closed")]
+
+
+def test_a_device_may_have_any_number_of_initiators(spark, tmp_path):
+    many, clock = features.MOST_PEERS + 4, Clock(window=60)
+    data = [(0, f"u{i}", "tcp", 443, 1.0, True, 1.0, True, False, "a", False, None, f"10.0.{i // 256}.{i % 256}", 1, 1, 1, 1, False) for i in range(many)]
+    data.append((600, "z", "tcp", 443, 600.0, True, 1.0, True, False, "a", True, None, "x", 1, 1, 1, 1, False))
+    inventory = spark.createDataFrame([("a", "device", "hub", 0.0, None)], "device string, kind string, value string, start double, end double")
+    for stream in delivered(spark, tmp_path / "in", [data], VIEW):
+        got = append(features.closed_windows(timed(stream, F.col("flow_start"), 0), inventory, clock), str(tmp_path / "out"))
+    assert got.filter("kind = 'row'").count() == many
+
+
+class Held:
+    """State in memory that counts its calls."""
+
+    def __init__(self):
+        self.calls, self.value, self.map = 0, None, {}
+
+    def get(self):
+        self.calls += 1
+        return self.value
+
+    def update(self, value):
+        self.calls += 1
+        self.value = value
+
+    def exists(self):
+        self.calls += 1
+        return self.value is not None
+
+    def containsKey(self, key):
+        self.calls += 1
+        return key in self.map
+
+    def getValue(self, key):
+        self.calls += 1
+        return self.map.get(key)
+
+    def updateValue(self, key, value):
+        self.calls += 1
+        self.map[key] = value
+
+
+def test_state_is_asked_once_for_what_repeats():
+    ingest = processors.IngestProcessor()
+    ingest.top, ingest.accepted = Held(), Held()
+    arrivals = [Row(window_start=60, payload_hash="a", at=float(k)) for k in range(500)] + [Row(window_start=0, payload_hash="a", at=500.0 + k) for k in range(500)]
+    for status in (["accepted"] + ["replay"] * 499 + ["out_of_order"] * 500, ["replay"] * 500 + ["out_of_order"] * 500):
+        assert [r["status"] for r in ingest.handleInputRows(("s",), iter(arrivals), None)] == status
+    assert ingest.top.calls + ingest.accepted.calls < 12
+    signals = processors.SignalProcessor(["window_start", "established_at", "rejected_at", "syn_at"])
+    signals.first = Held()
+    silent = [Row(window_start=w, established_at=None, rejected_at=None, syn_at=None) for w in (0, 60)]
+    assert len(list(signals.handleInputRows(("c",), iter(silent), None))) == 2 and signals.first.calls == 1
