@@ -4,7 +4,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from fluxprint.operators import device_features as D
-from fluxprint.operators import evidence, graph, identity, policy
+from fluxprint.operators import evidence, graph, identity, policy, residuals
 from fluxprint.schemas import Clock
 
 CLOCK = Clock(window=60)
@@ -87,3 +87,57 @@ def test_facts_are_dealt_out_before_they_are_folded(spark):
     facts = policy.document_facts(spark.createDataFrame([(1, text), (2, text)], "document_id long, text string"))
     assert sorted(tuple(r) for r in facts.collect()) == [(1, "permission", "controller", 2), (2, "permission", "controller", 2)]
     assert "REPARTITION_BY_COL" in plan(facts)
+
+
+def final_plan(df):
+    """The plan that was run, with what the engine chose anew on the way."""
+    df.collect()
+    text = plan(df)
+    assert "isFinalPlan=true" in text
+    return text.split("== Initial Plan ==")[0]
+
+
+@pytest.fixture(scope="module")
+def network(spark):
+    """Telemetry and a grid of four devices, of which one is known by its MAC alone, one gets another and one is dark for a window."""
+    devices = spark.createDataFrame([(f"d{d}", "hub", f"aa:{d}") for d in range(4)], "device string, device_type string, mac string")
+    leases = spark.createDataFrame([(f"d{d}", f"10.0.0.{d}", 0, 300) for d in range(3)], "device string, ip string, lease_start long, lease_end long")
+    dark = spark.createDataFrame([("d1", 60, 120)], "device string, start long, end long")
+    spans = spark.createDataFrame([("d2", "mac:1", 0.0, 100.0), ("d2", "mac:2", 100.0, None)], "device string, value string, start double, end double")
+    rows = [(60 * w, f"u{w}{d}", f"10.0.0.{d}", f"10.0.0.{(d + 1) % 4}", f"AA:{d}" if d == 3 else None, None, "tcp", 443, 60.0 * w + d, True, 1.0, True, False, 10, 5, 1, 1)
+            for w in range(5) for d in range(4)]
+    schema = ("window_start long, uid string, orig_h string, resp_h string, orig_mac string, resp_mac string, proto string, resp_p int, flow_start double, new_flow boolean, "
+              "observed_duration double, established boolean, failed boolean, orig_ip_bytes long, resp_ip_bytes long, orig_pkts long, resp_pkts long")
+    flows = identity.resolve_flow(spark.createDataFrame(rows, schema), leases, devices)
+    return flows, D.Minutes(D.endpoint_view(flows), D.dense_grid(devices, 0, 300, dark, CLOCK, spans), CLOCK)
+
+
+def excess(flows, m):
+    cells = D.on_grid(m, D.volume(m))
+    return D.external_excess(cells, D.external_baseline(cells))
+
+
+def scores(flows, m):
+    edges = graph.edges(flows, m.grid).select("window_start", F.col("source").alias("device"), F.log1p("ip_bytes").alias("score"))
+    return residuals.source_scores(edges, m.grid.select("device", "window_start"), ["device", "window_start"])
+
+
+DEVICE_STEPS = {
+    "resolved": (lambda flows, m: flows, 20), "grid": (lambda flows, m: m.grid, 20), "degrees": (lambda flows, m: graph.local_degrees(graph.edges(flows, m.grid)), 18),
+    "excess": (excess, 19), "scores": (scores, 20), "concentration": (lambda flows, m: D.inbound_concentration(m, D.peer_services(m)), 8)}
+
+
+@pytest.mark.parametrize("name", DEVICE_STEPS)
+def test_what_grows_with_the_devices_stays_off_the_driver(network, name):
+    make, n = DEVICE_STEPS[name]
+    df = make(*network)
+    assert "Broadcast" not in final_plan(df)
+    assert df.count() == n
+
+
+def test_rows_that_ask_for_no_mac_are_dealt_out(network):
+    flows, m = network
+    assert {(r["orig_h"], r["orig_device"]) for r in flows.collect()} == {(f"10.0.0.{d}", f"d{d}") for d in range(4)}
+    assert {r["resp_device"] for r in flows.filter("resp_h = '10.0.0.3'").collect()} == {None}
+    joins = [line for line in plan(flows).splitlines() if "SortMergeJoin" in line and "lower(orig_mac" in line]
+    assert joins and all("xxhash64(orig_h" in line for line in joins)
