@@ -275,3 +275,86 @@ def test_state_is_asked_once_for_what_repeats():
     signals.first = Held()
     silent = [Row(window_start=w, established_at=None, rejected_at=None, syn_at=None) for w in (0, 60)]
     assert len(list(signals.handleInputRows(("c",), iter(silent), None))) == 2 and signals.first.calls == 1
+
+
+class HeldList(Held):
+    """A list in memory that counts its calls."""
+
+    def __init__(self):
+        super().__init__()
+        self.value = []
+
+    def get(self):
+        self.calls += 1
+        return iter(list(self.value))
+
+    def exists(self):
+        self.calls += 1
+        return bool(self.value)
+
+    def put(self, rows):
+        self.calls += 1
+        self.value = list(rows)
+
+    def appendList(self, rows):
+        self.calls += 1
+        self.value += rows
+
+    def appendValue(self, row):
+        self.appendList([row])
+
+    def clear(self):
+        self.put([])
+
+
+class Lists:
+    """Gives out counted state, and takes timers."""
+
+    def __init__(self):
+        self.states, self.mark = {}, 0
+
+    def getValueState(self, name, *schema):
+        return self.states.setdefault(name, Held())
+
+    def getListState(self, name, *schema):
+        return self.states.setdefault(name, HeldList())
+
+    def registerTimer(self, at):
+        pass
+
+    def getCurrentWatermarkInMs(self):
+        return self.mark
+
+    def calls(self):
+        return sum(s.calls for s in self.states.values())
+
+
+def test_calls_to_the_state_do_not_grow_with_peers():
+    clock, calls, told = Clock(window=60), {}, {}
+    names = [c.split()[0] for c in VIEW.split(", ")]
+    for peers in (10, 400):
+        device, lists = processors.DeviceProcessor(clock, dict(c.split() for c in VIEW.split(", ")), None), Lists()
+        device.init(lists)
+        device.handleInitialState(("a",), Row(kind="device", value="hub", start=0.0, end=None), None)
+        device.handleInitialState(("a",), Row(kind="identity", value="mac:1", start=0.0, end=130.0), None)
+        device.handleInitialState(("a",), Row(kind="identity", value="mac:2", start=180.0, end=None), None)
+        out = []
+        for first in (0, 120, 240):        # the identity changes at 180, between the second and third window of all
+            data = [dict.fromkeys(names) | {"window_start": w, "flow_start": w + 1.0, "device": "a", "originated": o, "peer_address": f"p{i}", "proto": "tcp", "port": 443,
+                                            "tx_bytes": 1, "new_flow": True, "local": False} for w in (first, first + 60) for o in (True, False) for i in range(peers)]
+            assert list(device.handleInputRows(("a",), iter(data), None)) == []
+            lists.mark = (first + 120) * 1000
+            out += [r for r in device.handleExpiredTimer(("a",), lists, None) if r["kind"] == "cell"]
+        calls[peers], told[peers] = lists.calls(), [(r["window_start"], r["lifetime"], r["new_destination_fraction"], r["new_initiator_fraction"]) for r in out]
+    assert told[10] == told[400] == [(0, 0, 1.0, 1.0), (60, 0, 0.0, 0.0), (120, 0, 0.0, 0.0), (180, 1, 1.0, 1.0), (240, 1, 0.0, 0.0), (300, 1, 0.0, 0.0)]
+    assert calls[10] == calls[400] < 80
+    assert len(lists.states["destinations"].value) == 400
+
+
+def test_pairs_are_asked_once_a_batch():
+    pairs, lists = processors.PairProcessor(["window_start", "source", "target", "new_edge"], None), Lists()
+    pairs.init(lists)
+    edge = lambda w, k, life=0: Row(window_start=w, source="a", target=f"t{k}", source_life=life, target_life=0)
+    for w, life, new in ((0, 0, True), (60, 0, False), (120, 1, True), (180, 1, False)):
+        assert [r["new_edge"] for r in pairs.handleInputRows(("a",), iter([edge(w, k, life) for k in range(200)]), None)] == [new] * 200
+    assert lists.calls() <= 6
