@@ -24,6 +24,7 @@ def tables(spark, tmp_path_factory):
 
 NAMES = [
     "f16_edges",
+    "f20_neighbour_messages",
 ]
 
 
