@@ -25,6 +25,7 @@ def tables(spark, tmp_path_factory):
 NAMES = [
     "f16_edges",
     "f20_neighbour_messages",
+    "f15_peer_degrees",
 ]
 
 
