@@ -26,6 +26,7 @@ NAMES = [
     "f16_edges",
     "f20_neighbour_messages",
     "f15_peer_degrees",
+    "f19_edge_descriptor",
 ]
 
 
