@@ -27,6 +27,7 @@ NAMES = [
     "f20_neighbour_messages",
     "f15_peer_degrees",
     "f19_edge_descriptor",
+    "f21_undirected",
 ]
 
 
