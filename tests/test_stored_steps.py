@@ -28,6 +28,7 @@ NAMES = [
     "f15_peer_degrees",
     "f19_edge_descriptor",
     "f21_undirected",
+    "g8_service_context",
 ]
 
 
