@@ -29,6 +29,7 @@ NAMES = [
     "f19_edge_descriptor",
     "f21_undirected",
     "g8_service_context",
+    "f14_inbound_concentration",
 ]
 
 
