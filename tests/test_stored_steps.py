@@ -30,6 +30,7 @@ NAMES = [
     "f21_undirected",
     "g8_service_context",
     "f14_inbound_concentration",
+    "f2_destinations_ports",
 ]
 
 
