@@ -31,6 +31,7 @@ NAMES = [
     "g8_service_context",
     "f14_inbound_concentration",
     "f2_destinations_ports",
+    "f6_gap_features",
 ]
 
 
