@@ -32,6 +32,7 @@ NAMES = [
     "f14_inbound_concentration",
     "f2_destinations_ports",
     "f6_gap_features",
+    "f4_new_destinations",
 ]
 
 
