@@ -33,6 +33,7 @@ NAMES = [
     "f2_destinations_ports",
     "f6_gap_features",
     "f4_new_destinations",
+    "g4_first_seen",
 ]
 
 
