@@ -38,7 +38,10 @@ KMER = 24
 REACH = SPAN - KMER + 1              # k-mers in a window, and windows of a phrase at most
 FLUSH_ANCHORS = 1 << 21
 FLUSH_BYTES = 1 << 24
-INDEX_WINDOWS = 1 << 17              # anchors are indexed together up to about so many windows
+INDEX_WINDOWS = 1 << 17              # anchors are indexed together up to so many windows
+PART_PHRASES = 1 << 19               # phrases of a shard that are worked on together, about; an anchor stays whole
+GATHER_BYTES = 1 << 18
+CLASS_WINDOWS = 1 << 21              # windows of a crowded anchor that are compared together, about
 _PLACE = np.uint64((1 << 28) - 1)
 _LOW = np.uint64(0xFFFFFFFF)
 
@@ -137,11 +140,16 @@ def anchors(docs: DataFrame, shards: int) -> DataFrame:
     return docs.select("doc_id", "text", F.spark_partition_id()).mapInArrow(scan, "shard int, block int, n int, hashes binary, flags binary")
 
 
+def _values(column: pa.Array) -> list:
+    """Python values; those of a binary column are views of the batch, not copies."""
+    return [v.as_buffer() for v in column] if pa.types.is_binary(column.type) else column.to_pylist()
+
+
 def _by_key(batches: Iterator[pa.RecordBatch], *columns: str) -> Iterator[tuple[int, list[tuple]]]:
     """Rows that are sorted by their first column, gathered by it."""
     key, held = None, []
     for batch in batches:
-        for row in zip(*(batch.column(c).to_pylist() for c in columns)):
+        for row in zip(*(_values(batch.column(c)) for c in columns)):
             if row[0] != key and held:
                 yield key, held
                 held = []
@@ -172,7 +180,7 @@ def shared_anchors(found: DataFrame, shards: int) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out), (pa.int32(), pa.int32(), pa.int32(), pa.binary()))],
                                                  names=["block", "shard", "n", "hashes"])
 
-    return found.repartition(shards, "shard").sortWithinPartitions("shard").mapInArrow(scan, "block int, shard int, n int, hashes binary")
+    return found.repartitionById(shards, F.col("shard")).sortWithinPartitions("shard").mapInArrow(scan, "block int, shard int, n int, hashes binary")
 
 
 def packed(docs: DataFrame) -> DataFrame:
@@ -196,7 +204,7 @@ def _meet(answers: DataFrame, docs: DataFrame, n: int) -> DataFrame:
     right = [F.lit(None).cast(t).alias(c) for c, t in answers.dtypes if c != "block"]
     both = answers.select("block", F.lit(0).alias("kind"), *[c for c in answers.columns if c != "block"], *left).union(
         texts.select("block", F.lit(1).alias("kind"), *right, "ids", "sizes", "texts"))
-    return both.repartition(n, "block").sortWithinPartitions("block", "kind")
+    return both.repartitionById(n, F.col("block")).sortWithinPartitions("block", "kind")
 
 
 def _walk(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, int, dict]]:
@@ -236,7 +244,16 @@ class Members:
 
 
 def _gather(data: np.ndarray, start: np.ndarray, size: np.ndarray) -> np.ndarray:
-    return data[np.repeat(start - (np.cumsum(size) - size), size) + np.arange(int(size.sum()))]
+    """The given ranges of bytes one after the other, some at a time, as an index takes many times the bytes."""
+    end = np.cumsum(size)
+    out = np.empty(int(end[-1]) if len(end) else 0, data.dtype)
+    lo = done = 0
+    while lo < len(end):
+        hi = max(lo + 1, int(np.searchsorted(end, done + GATHER_BYTES, "right")))
+        upto = int(end[hi - 1])
+        out[done:upto] = data[np.repeat(start[lo:hi] - (end[lo:hi] - size[lo:hi]), size[lo:hi]) + np.arange(done, upto)]
+        lo, done = hi, upto
+    return out
 
 
 PHRASES = "shard int, block int, anchors binary, hashes binary, firsts binary, windows binary, texts binary"
@@ -295,64 +312,142 @@ def repeated_phrases(docs: DataFrame, shared: DataFrame, shards: int, n: int) ->
     return _meet(shared, docs, n).mapInArrow(scan, PHRASES)
 
 
+def _window_hashes(text: np.ndarray, size: np.ndarray) -> np.ndarray:
+    """Hashes of the windows of phrases that lie in ``text`` one after the other."""
+    power, inverse = blocks._grown(len(text) + 1)
+    total = np.zeros(len(text) + 1, np.uint64)
+    np.cumsum((text + np.uint64(1)) * power[:len(text)], out=total[1:])
+    windows = size - SPAN + 1
+    start = np.repeat(np.cumsum(size) - size - (np.cumsum(windows) - windows), windows) + np.arange(int(windows.sum()))
+    return blocks.mix((total[start + SPAN] - total[start]) * inverse[start])
+
+
+def _crowded(first: np.ndarray, windows: np.ndarray, text: np.ndarray) -> np.ndarray:
+    """Marks of the distinct phrases of one anchor, sorted by document, which are too many for one index.
+
+    Equal windows have equal hashes, so windows are taken by classes of their hash. Those that share
+    their hash with no other one can't recur and leave; the others are indexed some at a time, all of a hash together.
+    """
+    out = np.zeros(len(first), np.int64)
+    size = windows + SPAN - 1
+    end, upto = np.cumsum(size), np.cumsum(windows)
+    classes = -(-int(upto[-1]) // CLASS_WINDOWS)
+    for k in range(classes):
+        parts, lo = [], 0
+        while lo < len(first):
+            hi = max(lo + 1, int(np.searchsorted(end, (end[lo - 1] if lo else 0) + blocks.SLICE, "right")))
+            base = int(end[lo] - size[lo])
+            hashes = _window_hashes(text[base:int(end[hi - 1])], size[lo:hi])
+            mine = np.flatnonzero(hashes % np.uint64(classes) == k)
+            parts.append((hashes[mine], mine + (int(upto[lo - 1]) if lo else 0)))
+            lo = hi
+        hashes, number = (np.concatenate([p[i] for p in parts]) for i in (0, 1))
+        order = np.argsort(hashes, kind="stable")
+        hashes, number = hashes[order], number[order]
+        same = hashes[1:] == hashes[:-1]
+        several = np.concatenate((same, [False])) | np.concatenate(([False], same))
+        hashes, number = hashes[several], number[several]
+        heads = np.flatnonzero(np.concatenate(([True], hashes[1:] != hashes[:-1]))) if len(hashes) else np.zeros(0, np.int64)
+        for lo, hi in _runs(np.append(heads, len(hashes)), INDEX_WINDOWS):
+            held = np.zeros(0, np.int64)    # of a hash with more windows than that, those without a smaller document so far
+            for a in range(lo, hi, INDEX_WINDOWS):
+                mine = np.concatenate((held, number[a:min(a + INDEX_WINDOWS, hi)]))
+                of = np.searchsorted(upto, mine, "right")
+                step = mine - (upto[of] - windows[of])
+                spans = np.full(len(mine), SPAN)
+                marked = runindex.repeated(_gather(text, end[of] - size[of] + step, spans), spans, first[of]) > 0
+                np.bitwise_or.at(out, of[marked], np.int64(1) << step[marked])
+                held = mine[~marked]
+    return out
+
+
+def _runs(cuts: np.ndarray, most: int) -> Iterator[tuple[int, int]]:
+    """Ranges between some of the sorted ``cuts``, of up to ``most``; what lies between two neighbours stays whole."""
+    i = 0
+    while i < len(cuts) - 1:
+        j = max(i + 1, int(np.searchsorted(cuts, cuts[i] + most, "right")) - 1)
+        yield int(cuts[i]), int(cuts[j])
+        i = j
+
+
 def _marks(key: np.ndarray, first: np.ndarray, windows: np.ndarray, text: np.ndarray) -> np.ndarray:
     """Marks of distinct phrases that are sorted by anchor; anchors are indexed some at a time, as they share no window."""
     out = np.zeros(len(key), np.int64)
     size = windows + SPAN - 1
     end = np.cumsum(size)
     group = np.flatnonzero(np.concatenate(([True], key[1:] != key[:-1]))) if len(key) else np.zeros(0, np.int64)
-    seen = np.cumsum(windows)
-    lo = 0
-    while lo < len(key):
-        to = int(np.searchsorted(seen, (seen[lo - 1] if lo else 0) + INDEX_WINDOWS, "right"))
-        later = group[np.searchsorted(group, max(to, lo + 1)):] if to < len(key) else ()
-        hi = int(later[0]) if len(later) else len(key)
-        out[lo:hi] = runindex.repeated(text[end[lo] - size[lo]:end[hi - 1]], size[lo:hi], first[lo:hi])
-        lo = hi
+    seen = np.concatenate(([0], np.cumsum(windows)))
+    cuts = np.append(group, len(key))
+    for lo, hi in _runs(seen[cuts], INDEX_WINDOWS):
+        a, b = (int(x) for x in np.searchsorted(seen, (lo, hi)))
+        one = _crowded if hi - lo > INDEX_WINDOWS else lambda first, windows, text: runindex.repeated(text, windows + SPAN - 1, first)
+        out[a:b] = one(first[a:b], windows[a:b], text[end[a] - size[a]:end[b - 1]])
     return out
 
 
+def _told(rows: list[tuple], anchors: list[np.ndarray], lo: np.ndarray, hi: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """First document of all and marks of the phrases ``lo`` to ``hi`` of each row, row after row."""
+    whole = [np.frombuffer(r[3], np.uint64)[i:j] for r, i, j in zip(rows, lo, hi)]
+    cut = np.cumsum([0] + [len(w) for w in whole])
+    whole = np.concatenate(whole)
+    anchor = np.concatenate([a[i:j] for a, i, j in zip(anchors, lo, hi)])
+    first = np.concatenate([np.frombuffer(zstandard.decompress(r[4]), np.int64)[i:j] for r, i, j in zip(rows, lo, hi)])
+    windows = np.concatenate([np.frombuffer(r[5], np.uint8)[i:j] for r, i, j in zip(rows, lo, hi)]).astype(np.int64)
+    distinct, at, back = np.unique(whole, return_index=True, return_inverse=True)
+    least = np.full(len(distinct), np.iinfo(np.int64).max)
+    np.minimum.at(least, back, first)
+    # phrases alone at their anchor share no window with another one
+    _, group, crowd = np.unique(anchor[at], return_inverse=True, return_counts=True)
+    together = np.flatnonzero(crowd[group] > 1)
+    together = together[np.lexsort((least[together], anchor[at][together]))]
+    marks = np.zeros(len(distinct), np.int64)
+    if len(together):
+        wanted = np.zeros(len(whole), bool)
+        wanted[at[together]] = True
+        texts, offset, filled = [], np.zeros(len(whole), np.int64), 0
+        for r, i, a, b in zip(rows, lo, cut[:-1], cut[1:]):
+            mine = np.flatnonzero(wanted[a:b])
+            if len(mine):
+                here = np.frombuffer(r[5], np.uint8).astype(np.int64) + SPAN - 1
+                start, mine = np.cumsum(here) - here, mine + i
+                texts.append(_gather(np.frombuffer(zstandard.decompress(r[6]), np.uint8), start[mine], here[mine]))
+                offset[a + mine - i] = filled + np.cumsum(here[mine]) - here[mine]
+                filled += len(texts[-1])
+        ordered = at[together]
+        text = np.concatenate(texts)
+        del texts
+        text = _gather(text, offset[ordered], windows[ordered] + SPAN - 1)
+        marks[together] = _marks(anchor[ordered], least[together], windows[ordered], text)
+    return least[back], marks[back].astype(np.uint32)
+
+
 def answered(found: DataFrame, shards: int) -> DataFrame:
-    """(block, hashes, answers): for each phrase sent by a block its first document of all and the marks of its windows there."""
+    """(block, hashes, answers): for each phrase sent by a block its first document of all and the marks of its windows there.
+
+    The phrases of a row are sorted by anchor; a shard is worked on by ranges of anchors, so that what its phrases take unpacked does not grow with it.
+    """
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for _, rows in _by_key(batches, "shard", "block", "anchors", "hashes", "firsts", "windows", "texts"):
-            whole = [np.frombuffer(r[3], np.uint64) for r in rows]
-            cut = np.cumsum([0] + [len(w) for w in whole])
-            whole = np.concatenate(whole)
-            anchor = np.concatenate([np.frombuffer(r[2], np.uint32) for r in rows])
-            first = np.concatenate([np.frombuffer(zstandard.decompress(r[4]), np.int64) for r in rows])
-            windows = np.concatenate([np.frombuffer(r[5], np.uint8) for r in rows]).astype(np.int64)
-            distinct, at, back = np.unique(whole, return_index=True, return_inverse=True)
-            least = np.full(len(distinct), np.iinfo(np.int64).max)
-            np.minimum.at(least, back, first)
-            # phrases alone at their anchor share no window with another one
-            _, group, crowd = np.unique(anchor[at], return_inverse=True, return_counts=True)
-            together = np.flatnonzero(crowd[group] > 1)
-            together = together[np.lexsort((least[together], anchor[at][together]))]
-            marks = np.zeros(len(distinct), np.int64)
-            if len(together):
-                size = windows + SPAN - 1
-                wanted = np.zeros(len(whole), bool)
-                wanted[at[together]] = True
-                texts, offset, filled = [], np.zeros(len(whole), np.int64), 0
-                for r, lo, hi in zip(rows, cut[:-1], cut[1:]):
-                    mine = np.flatnonzero(wanted[lo:hi])
-                    if len(mine):
-                        data = np.frombuffer(zstandard.decompress(r[6]), np.uint8)
-                        here = size[lo:hi]
-                        texts.append(_gather(data, (np.cumsum(here) - here)[mine], here[mine]))
-                        offset[lo + mine] = filled + np.cumsum(here[mine]) - here[mine]
-                        filled += len(texts[-1])
-                ordered = at[together]
-                marks[together] = _marks(anchor[ordered], least[together], windows[ordered], _gather(np.concatenate(texts), offset[ordered], size[ordered]))
-            for r, lo, hi in zip(rows, cut[:-1], cut[1:]):
-                mine = back[lo:hi]
+            anchors = [np.frombuffer(r[2], np.uint32) for r in rows]
+            base = np.cumsum([0] + [len(a) for a in anchors])
+            least, marks = np.zeros(base[-1], np.int64), np.zeros(base[-1], np.uint32)
+            parts = -(-int(base[-1]) // PART_PHRASES)
+            bounds = [(k << 32) // parts for k in range(parts + 1)]
+            lo = np.zeros(len(rows), np.int64)
+            for bound in bounds[1:]:
+                hi = np.array([np.searchsorted(a, bound) for a in anchors])
+                if (hi > lo).any():
+                    told, cut = _told(rows, anchors, lo, hi), np.cumsum([0, *(hi - lo)])
+                    for b, i, j, x, y in zip(base, lo, hi, cut[:-1], cut[1:]):
+                        least[b + i:b + j], marks[b + i:b + j] = told[0][x:y], told[1][x:y]
+                lo = hi
+            for r, a, b in zip(rows, base[:-1], base[1:]):
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array([r[1]], pa.int32()), pa.array([whole[lo:hi].tobytes()], pa.binary()),
-                     pa.array([zstandard.compress(least[mine].tobytes() + marks[mine].astype(np.uint32).tobytes(), 1)], pa.binary())],
+                    [pa.array([r[1]], pa.int32()), pa.array([r[3].to_pybytes()], pa.binary()),
+                     pa.array([zstandard.compress(least[a:b].tobytes() + marks[a:b].tobytes(), 1)], pa.binary())],
                     names=["block", "hashes", "answers"])
 
-    return found.repartition(shards, "shard").sortWithinPartitions("shard").mapInArrow(scan, "block int, hashes binary, answers binary")
+    return found.repartitionById(shards, F.col("shard")).sortWithinPartitions("shard").mapInArrow(scan, "block int, hashes binary, answers binary")
 
 
 def cover(start: np.ndarray, n: int) -> np.ndarray:

@@ -2,8 +2,10 @@
 
 import hashlib
 import random
+import tracemalloc
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
 from fluxprint.llm import repeats, runindex
@@ -103,3 +105,87 @@ def test_query_digests_its_operator(spark):
     want = brute(sorted(docs.items()))
     assert {r.doc_id: tuple(r) for r in rows} == {
         i: (i, n, sum(b - a for a, b in spans), len(spans), hashlib.sha256(kept).hexdigest()) for i, (n, spans, kept) in want.items()}
+
+
+def crowd(n, seed=5):
+    """Distinct phrases of one anchor: what precedes a common passage differs, some of it only in part."""
+    rng = np.random.default_rng(seed)
+    common = rng.integers(97, 123, 49, np.uint8)
+    rows = {bytes(rng.integers(97, 99 if i % 2 else 123, rng.integers(1, 28), np.uint8)) + common.tobytes() for i in range(n)}
+    rows = sorted(rows, key=lambda r: hash_of(r))
+    sizes = np.array([len(r) for r in rows])
+    return np.frombuffer(b"".join(rows), np.uint8), sizes, np.sort(rng.integers(0, n, len(rows)))
+
+
+def hash_of(raw):
+    return hashlib.md5(raw).digest()
+
+
+def test_a_crowded_anchor_is_marked_as_by_one_index(monkeypatch):
+    text, sizes, first = crowd(3000)
+    want = runindex.repeated(text, sizes, first)
+    assert (want > 0).sum() > 100
+    key = np.zeros(len(sizes), np.uint32)
+    for index, classes in ((1 << 10, 1 << 12), (64, 1 << 30), (1 << 30, 1 << 30)):
+        monkeypatch.setattr(repeats, "INDEX_WINDOWS", index)
+        monkeypatch.setattr(repeats, "CLASS_WINDOWS", classes, raising=False)
+        assert (repeats._marks(key, first, sizes - SPAN + 1, text) == want).all()
+
+
+def test_memory_of_a_crowded_anchor_follows_its_text():
+    text, sizes, first = crowd(60_000)
+    tracemalloc.start()
+    repeats._marks(np.zeros(len(sizes), np.uint32), first, sizes - SPAN + 1, text)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 40 * len(text)
+
+
+def test_ranges_are_gathered_without_an_index_of_all_their_bytes():
+    data = np.arange(1 << 20, dtype=np.uint8)
+    start, size = np.arange(0, 1 << 20, 40), np.full(1 << 20, 70)[:len(range(0, 1 << 20, 40))]
+    start, size = start[:-2], size[:-2]
+    tracemalloc.start()
+    got = repeats._gather(data, start, size)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert got.tobytes() == b"".join(data[a:a + 70].tobytes() for a in start) and peak < 10 * len(got)
+
+
+@pytest.mark.parametrize("seed", [1, 2])
+def test_parts_of_a_shard_and_crowded_anchors_equal_brute_force(spark, frame, seed, monkeypatch):
+    monkeypatch.setattr(repeats, "PART_PHRASES", 8, raising=False)
+    monkeypatch.setattr(repeats, "INDEX_WINDOWS", 16)
+    monkeypatch.setattr(repeats, "CLASS_WINDOWS", 64, raising=False)
+    rows = [(i, t) for i, t in corpus(seed) if len(t) < 10_000]
+    docs = frame(rows, "doc_id bigint, text string").repartition(3)
+    found = repeats.materialize(docs, "docs")
+    shared = repeats.shared_anchors(repeats.anchors(found, 2), 2)
+    sent = repeats.repeated_phrases(found, shared, 2, 3).collect()
+    phrases = [pa.RecordBatch.from_pylist([r.asDict() for r in sorted(sent, key=lambda r: r.shard)], schema=pa.schema(
+        [("shard", pa.int32()), ("block", pa.int32()), *[(c, pa.binary()) for c in ("anchors", "hashes", "firsts", "windows", "texts")]]))]
+    run = []
+    monkeypatch.setattr(type(docs), "mapInArrow", lambda self, f, schema: run.append(f))
+    repeats.answered(spark.createDataFrame([], repeats.PHRASES), 2)
+    told = {}
+    for batch in run[0](iter(phrases)):
+        n = len(whole := np.frombuffer(batch.column(1)[0].as_py(), np.uint64))
+        raw = repeats.zstandard.decompress(batch.column(2)[0].as_py())
+        told |= dict(zip(whole.tolist(), zip(np.frombuffer(raw, np.int64, n).tolist(), np.frombuffer(raw, np.uint32, offset=8 * n).tolist())))
+    want = {}
+    windows = {}
+    for i, t in rows:
+        data = np.frombuffer(t.encode(), np.uint8)
+        for j in range(len(data) - SPAN + 1):
+            w = data[j:j + SPAN].tobytes()
+            windows[w] = min(windows.get(w, i), i)
+    for i, t in rows:
+        data = np.frombuffer(t.encode(), np.uint8)
+        start, many, _, whole, _ = repeats.phrases(data, np.array([0, len(data)]))
+        for s, m, h in zip(start, many, whole.tolist()):
+            if h in told:
+                bits = [windows[data[s + k:s + k + SPAN].tobytes()] for k in range(m)]
+                want[h] = min(want.get(h, (i, None))[0], i), bits
+    assert told.keys() == want.keys() and len(told) > 20
+    for h, (least, marks) in told.items():
+        assert least == want[h][0] and marks == sum(1 << k for k, w in enumerate(want[h][1]) if w < least)
