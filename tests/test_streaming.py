@@ -1,4 +1,5 @@
 import random
+from statistics import fmean, pstdev
 
 import pytest
 from pyspark.sql import Row
@@ -351,6 +352,35 @@ def test_calls_to_the_state_do_not_grow_with_peers():
     assert len(lists.states["destinations"].value) == 400
 
 
+def test_a_delivery_costs_few_calls_and_entries(monkeypatch):
+    monkeypatch.setattr(processors, "PACK", 30, raising=False)
+    device, lists = processors.DeviceProcessor(Clock(window=60), dict(c.split() for c in VIEW.split(", ")), None), Lists()
+    device.init(lists)
+    facts = [Row(kind="identity", value="mac:1", start=0.0, end=None), Row(kind="device", value="hub", start=0.0, end=None), Row(kind="outage", value=None, start=60.0, end=120.0)]
+    device.handleInitialState(("a",), Row(device="a", facts=facts), None)
+    names = [c.split()[0] for c in VIEW.split(", ")]
+    data = [dict.fromkeys(names) | {"window_start": w, "flow_start": w + 1.0, "device": "a", "originated": i % 2 == 0, "peer_address": f"p{i}", "proto": "tcp", "port": 443,
+                                    "tx_bytes": 1, "new_flow": True, "local": False} for w in (0, 60, 120, 180) for i in range(20)]
+    began, lists.mark = lists.calls(), 120_000
+    assert list(device.handleInputRows(("a",), iter(data), None)) == [] and len(lists.states["held"].value) == 3
+    out = list(device.handleExpiredTimer(("a",), lists, None))
+    assert [(r["window_start"], r["available"]) for r in out if r["kind"] == "cell"] == [(0, True), (60, False)]
+    assert lists.calls() - began <= 13 and len(lists.states["held"].value) == 2
+    lists.mark = 240_000
+    out = list(device.handleExpiredTimer(("a",), lists, None))
+    assert sum(r["kind"] == "row" for r in out) == 40 and lists.states["held"].value == []
+    assert [(r["window_start"], r["epoch"], r["new_destination_fraction"]) for r in out if r["kind"] == "cell"] == [(120, 1, 0.0), (180, 1, 0.0)]
+
+
+def test_variation_of_gaps():
+    rng = random.Random(4)
+    for n in (2, 5, 40):
+        gaps = [rng.uniform(1, 1e5) for _ in range(n)]
+        assert processors.variation(gaps, 2) == pytest.approx(pstdev(gaps) / fmean(gaps), rel=1e-12)
+    assert processors.variation([0.1] * 7, 4) == 0.0 and processors.variation([0.1] * 3, 4) is None and processors.variation([], 0) is None
+    assert processors.variation([3.0, 3.0 + 1e-9], 2) == pytest.approx(pstdev([3.0, 3.0 + 1e-9]) / 3, rel=1e-9)
+
+
 def test_pairs_are_asked_once_a_batch():
     pairs, lists = processors.PairProcessor(["window_start", "source", "target", "new_edge"], None), Lists()
     pairs.init(lists)
